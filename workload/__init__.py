@@ -1,4 +1,4 @@
 """Registered queries over the given tables, each with its SQL twin where SQL can express it."""
 
-from workload import page_queries, url_queries  # noqa: F401
+from workload import chunk_queries, page_queries, text_queries, url_queries  # noqa: F401
 from workload.base import QUERIES, SQL  # noqa: F401
