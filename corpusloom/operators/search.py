@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import complexity, max_variations, prefix_key, strip, text_key, text_url_key
-from corpusloom.session import BROADCAST_ROWS, broadcast_if_small, fits_broadcast, keep_first, top_k
+from corpusloom.session import (
+    BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, fits_broadcast, keep_first, materialize, top_k,
+)
 
 # ---- fixed values -----------------------------------------------------------
 BM25_K1, BM25_B = 1.2, 0.75
@@ -18,6 +20,8 @@ SCORE_DIGITS = 6  # scores are compared at this precision, ties by id
 # ------------------------------------------------------------------------------
 
 CELLS = 4_000_000  # scores computed at a time inside a task
+TERM_ROWS = 200_000  # (query, term) pairs that may be broadcast
+HIT_ROWS = 50_000  # hits (ids and scores) that may be broadcast
 SLICE_ROWS = 50_000  # rows of one block of a block-by-block join
 
 
@@ -74,15 +78,13 @@ def _block_best(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int)
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
         return _best(
-            left["query_id"].tolist(), _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64)),
-            right["chunk_id"].to_numpy(), _unit(np.stack(right["embedding"].to_numpy()).astype(np.float64)), k,
+            left["query_id"].tolist(), _unit(np.stack(left["q_vec"].to_numpy()).astype(np.float64)),
+            right["chunk_id"].to_numpy(), _unit(np.stack(right["c_vec"].to_numpy()).astype(np.float64)), k,
         )
 
-    return (
-        queries.select("query_id", "embedding", *keys).groupBy(*keys)
-        .cogroup(chunks.select("chunk_id", "embedding", *keys).groupBy(*keys))
-        .applyInPandas(score, schema)
-    )
+    left = queries.select("query_id", F.col("embedding").alias("q_vec"), *[F.col(c).alias(c) for c in keys])
+    right = chunks.select("chunk_id", F.col("embedding").alias("c_vec"), *[F.col(c).alias(c) for c in keys])
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
 
 
 def _rank_hits(candidates: DataFrame, k: int, method: str) -> DataFrame:
@@ -155,9 +157,9 @@ def knn_lsh(
         return pd.Series(list((signs @ (1 << np.arange(bits))).astype(np.int32)))
 
     def bucketed(df: DataFrame, key: str) -> DataFrame:
-        return df.filter(F.col("embedding").isNotNull()).select(
-            key, "embedding", F.posexplode(signature("embedding")).alias("_t", "_b")
-        )
+        vector = F.col("embedding").alias("embedding")  # fresh columns: both sides may be one table
+        own = df.filter(F.col("embedding").isNotNull()).select(F.col(key).alias(key), vector)
+        return own.select(key, "embedding", F.posexplode(signature("embedding")).alias("_t", "_b"))
 
     left, right = bucketed(queries, "query_id"), bucketed(chunks, "chunk_id")
     sizes = right.groupBy("_t", "_b").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_n"))
@@ -178,56 +180,69 @@ def bm25(
 ) -> DataFrame:
     """BM25 top-k of every query (query_id, text) over docs (chunk_id, text).
 
-    Only tokens in the queries' vocabulary leave the scan. One shuffle by chunk_id
-    then serves both the term counts and the scores: all scores of a document are
-    summed in one task and pruned to k per query before the final ranking shuffle.
+    The corpus is read and tokenised once. Only tokens in the queries' vocabulary
+    leave the scan (plus one empty term per document, which carries its length);
+    the resulting postings are written to the checkpoint folder and serve the
+    statistics, the document frequencies and the scores. Scores are summed where a
+    document's postings already are, and pruned to k per query before the ranking
+    shuffle.
     """
     q_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = broadcast_if_small(q_terms.select("term").distinct(), 50 * BROADCAST_ROWS)
+    n_terms = q_terms.limit(TERM_ROWS + 1).count()
+    vocabulary = q_terms.select("term").unionByName(
+        q_terms.sparkSession.createDataFrame([("",)], "term string")
+    ).distinct()
     tokens = docs.select("chunk_id", terms(F.col("text")).alias("_terms"))
-    n, avg_len = tokens.agg(F.count("*"), F.avg(F.size("_terms"))).first()
-    counts = (
-        tokens.select("chunk_id", F.size("_terms").alias("_len"), F.explode("_terms").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .repartition("chunk_id")
+    postings = materialize(
+        tokens.select(
+            "chunk_id", F.size("_terms").alias("_len"),
+            F.explode(F.concat(F.array(F.lit("")), "_terms")).alias("term"),
+        )
+        .join(broadcast_if_bounded(vocabulary, n_terms + 1, TERM_ROWS), "term", "left_semi")
         .groupBy("chunk_id", "_len", "term")
         .agg(F.count("*").alias("tf"))
     )
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    n, avg_len = postings.filter("term = ''").agg(F.count("*"), F.avg("_len")).first()
+    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = broadcast_if_small(
-        q_terms.join(df, "term").select("query_id", "term", idf.alias("idf")), 50 * BROADCAST_ROWS
-    )
+    weights = q_terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
     norm = k1 * (1 - b + b * F.col("_len") / F.lit(float(avg_len or 1.0)))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     scores = (
-        counts.join(weights, "term")
-        .groupBy("chunk_id", "query_id")
-        .agg(F.round(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)), SCORE_DIGITS).alias("score"))
+        postings.join(broadcast_if_bounded(weights, n_terms, TERM_ROWS), "term")
+        .groupBy("query_id", "chunk_id")
+        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
     )
     hits = top_k(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
     return hits.select("query_id", "chunk_id", "score", "rank", F.lit("bm25").alias("method"))
 
 
-def with_texts(hits: DataFrame, docs: DataFrame, queries: DataFrame | None = None) -> DataFrame:
-    """Attach document columns (and the question) to hits. Only hit documents are kept from the scan."""
-    out = docs.join(broadcast_if_small(hits, 10 * BROADCAST_ROWS), "chunk_id")
+def with_texts(
+    hits: DataFrame, docs: DataFrame, queries: DataFrame | None = None, max_hits: int | None = None
+) -> DataFrame:
+    """Attach document columns (and the question) to hits.
+
+    With a known bound on the hits (questions x k) they are broadcast, and the
+    documents are filtered where they are scanned.
+    """
+    out = docs.join(broadcast_if_bounded(hits, max_hits, HIT_ROWS), "chunk_id")
     if queries is not None:
-        out = out.join(
-            broadcast_if_small(queries.select("query_id", F.col("text").alias("question"))), "query_id"
-        )
+        asked = queries.select("query_id", F.col("text").alias("question"))
+        out = out.join(broadcast_if_small(asked), "query_id")
     return out
 
 
 def expand_queries(queries: DataFrame, variations: str = "variations_text") -> DataFrame:
     """Original (number 0) and up to 1/2/3 variations: query_id, variation_no, text, strategy, complexity."""
-    q = queries.withColumn("_c", complexity(F.col("text")))
     lines = F.array_remove(
         F.transform(F.split(F.coalesce(F.col(variations), F.lit("")), "\n"), strip), ""
     )
-    texts = F.concat(F.array("text"), F.slice(lines, F.lit(1), max_variations(F.col("_c.strategy"))))
-    return q.select(
-        "query_id", F.posexplode(texts).alias("variation_no", "text"),
-        F.col("_c.strategy").alias("strategy"), F.col("_c.score").alias("complexity"),
+    q = queries.select("query_id", "text", lines.alias("_lines"), complexity(F.col("text")).alias("_c")).select(
+        "query_id", "text", "_lines", F.col("_c.strategy").alias("strategy"), F.col("_c.score").alias("complexity")
+    )
+    texts = F.concat(F.array("text"), F.slice("_lines", F.lit(1), max_variations(F.col("strategy"))))
+    return q.select("query_id", "strategy", "complexity", texts.alias("_texts")).select(
+        "query_id", F.posexplode("_texts").alias("variation_no", "text"), "strategy", "complexity"
     )
 
 
@@ -281,9 +296,11 @@ def fallback_text(queries: DataFrame, hits: DataFrame, docs: DataFrame, k: int)
     return hits.select(*cols, "method").unionByName(found)
 
 
-def attach_embeddings(hits: DataFrame, embeddings: DataFrame, missing: float | None = None) -> DataFrame:
+def attach_embeddings(
+    hits: DataFrame, embeddings: DataFrame, missing: float | None = None, max_hits: int | None = None
+) -> DataFrame:
     """Add each hit's vector and `semantic_fallback`: the prior score, or a fixed one, where it is missing."""
-    ids = broadcast_if_small(hits.select("chunk_id").distinct(), 10 * BROADCAST_ROWS)
+    ids = broadcast_if_bounded(hits.select("chunk_id").distinct(), max_hits, HIT_ROWS)
     needed = embeddings.select("chunk_id", "embedding").join(ids, "chunk_id", "left_semi")
     out = hits.join(needed, "chunk_id", "left")
     fallback = F.col("score") if missing is None else F.lit(missing)

@@ -38,6 +38,11 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, rows) else df
 
 
+def broadcast_if_bounded(df: DataFrame, max_rows: int | None, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when a bound on the rows is already known (queries x k, say); nothing is run."""
+    return F.broadcast(df) if max_rows is not None and max_rows <= rows else df
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the least in `order`.
 
