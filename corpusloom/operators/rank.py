@@ -85,7 +85,7 @@ def token_overlap(hits: DataFrame, stop: list[str] = STOP_WORDS) -> DataFrame:
 
 def _found(question: Column, content: Column, stop: list[str]) -> Column:
     """Question words that occur anywhere in the document text."""
-    return F.filter(content_words(question, stop), lambda w: F.lower(content).contains(w))
+    return let(F.lower(content), lambda low: F.filter(content_words(question, stop), lambda w: low.contains(w)))
 
 
 def relevance_unified_score(question: Column, content: Column) -> Column:

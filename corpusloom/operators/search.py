@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.text import complexity, max_variations, prefix_key, strip, text_key, text_url_key
 from corpusloom.session import (
@@ -39,27 +41,43 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
-def _best(q_ids: list, q_unit: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
-    """Exact top-k (rounded score descending, id ascending) of one block for every query."""
-    best: pd.DataFrame | None = None
-    step = max(1, CELLS // max(1, len(q_ids)))
-    floor = np.full(len(q_ids), -np.inf)
-    for at in range(0, len(ids), step):
-        scores = np.rint(q_unit @ unit[at : at + step].T * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
-        if scores.shape[1] > k:  # everything at or above the block's own k-th score, ties included
-            floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
-        qi, ci = np.nonzero(scores >= floor[:, None])
-        found = pd.DataFrame({"q": qi, "chunk_id": ids[at + ci], "score": scores[qi, ci]})
-        best = found if best is None else pd.concat([best, found])
+class _Best:
+    """Exact running top-k (rounded score descending, id ascending) of every query inside one task."""
+
+    def __init__(self, q_ids: list, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.floor = np.full(len(q_ids), -np.inf)
+        self.rows = pd.DataFrame({"q": np.empty(0, int), "chunk_id": np.empty(0, object), "score": np.empty(0)})
+
+    def add(self, ids: np.ndarray, raw: np.ndarray) -> None:
+        """Scores of some rows, one line per query; minus infinity stands for "no candidate"."""
+        scores = np.rint(raw * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
+        if scores.shape[1] > self.k:  # keep whatever reaches the block's own k-th score, ties included
+            self.floor = np.maximum(self.floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+        qi, ci = np.nonzero((scores >= self.floor[:, None]) & (scores > -np.inf))
+        found = pd.DataFrame({"q": qi, "chunk_id": ids[ci], "score": scores[qi, ci]})
+        best = pd.concat([self.rows, found]) if len(self.rows) else found
         best = best.sort_values(["q", "score", "chunk_id"], ascending=[True, False, True])
-        best = best[best.groupby("q").cumcount() < k]
+        self.rows = best = best[best.groupby("q").cumcount() < self.k]
         kth = best.groupby("q")["score"].agg(["size", "min"])
-        full = kth.index[kth["size"] == k]
-        floor[full] = np.maximum(floor[full], kth.loc[full, "min"])
-    if best is None:
-        best = pd.DataFrame({"q": [], "chunk_id": [], "score": []})
-    best["query_id"] = [q_ids[int(i)] for i in best["q"]]
-    return best[["query_id", "chunk_id", "score"]]
+        full = kth.index[kth["size"] == self.k]
+        self.floor[full] = np.maximum(self.floor[full], kth.loc[full, "min"])
+
+    def frame(self) -> pd.DataFrame:
+        out = self.rows.assign(query_id=[self.q_ids[int(i)] for i in self.rows["q"]])
+        return out[["query_id", "chunk_id", "score"]]
+
+
+def _best_cosine(q_ids: list, q_unit: np.ndarray, ids: np.ndarray, unit: np.ndarray, k: int) -> pd.DataFrame:
+    best = _Best(q_ids, k)
+    step = max(1, CELLS // max(1, len(q_ids)))
+    for at in range(0, len(ids), step):
+        best.add(ids[at : at + step], q_unit @ unit[at : at + step].T)
+    return best.frame()
+
+
+def _emit(found: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
 
 
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
@@ -77,7 +95,7 @@ def _block_best(queries: DataFrame, chunks: DataFrame, keys: list[str], k: int)
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
-        return _best(
+        return _best_cosine(
             left["query_id"].tolist(), _unit(np.stack(left["q_vec"].to_numpy()).astype(np.float64)),
             right["chunk_id"].to_numpy(), _unit(np.stack(right["c_vec"].to_numpy()).astype(np.float64)), k,
         )
@@ -115,6 +133,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROA
         (small["query_id"].to_pylist(), _unit(_matrix(small["embedding"], small.num_rows)))
     )
     schema = _hit_schema(queries, chunks)
+    arrow_schema = to_arrow_schema(schema)
 
     def score(batches):
         q_ids, q_unit = q.value
@@ -122,8 +141,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROA
             if batch.num_rows:
                 unit = _unit(_matrix(batch.column("embedding"), batch.num_rows))
                 ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                found = _best(q_ids, q_unit, ids, unit, k)
-                yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+                found = _best_cosine(q_ids, q_unit, ids, unit, k)
+                yield _emit(found, arrow_schema)
 
     return _rank_hits(chunks.mapInArrow(score, schema), k, "knn")
 
@@ -175,44 +194,112 @@ def terms(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
 
 
+def _query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+
+
 def bm25(
-    queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B
+    queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, max_terms: int = TERM_ROWS
 ) -> DataFrame:
     """BM25 top-k of every query (query_id, text) over docs (chunk_id, text).
 
-    The corpus is read and tokenised once. Only tokens in the queries' vocabulary
-    leave the scan (plus one empty term per document, which carries its length);
-    the resulting postings are written to the checkpoint folder and serve the
-    statistics, the document frequencies and the scores. Scores are summed where a
-    document's postings already are, and pruned to k per query before the ranking
-    shuffle.
+    Two passes over the corpus and no shuffle of it. The first counts the documents
+    of each query term (combined on the map side, one row per term and task). The
+    second scores each task's documents against all queries and emits k rows per
+    query: neither tokens nor (query, document) pairs ever leave their task. A
+    query set with more terms than may be broadcast is joined by term instead.
     """
-    q_terms = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    n_terms = q_terms.limit(TERM_ROWS + 1).count()
-    vocabulary = q_terms.select("term").unionByName(
-        q_terms.sparkSession.createDataFrame([("",)], "term string")
-    ).distinct()
+    q_terms = _query_terms(queries)
+    small = q_terms.limit(max_terms + 1).toArrow()
     tokens = docs.select("chunk_id", terms(F.col("text")).alias("_terms"))
-    postings = materialize(
+    if small.num_rows > max_terms:
+        return _ranked_lexical(_bm25_join(q_terms, tokens, k1, b), k)
+
+    # Pass 1: document frequencies; the empty term stands for "every document" and carries the lengths.
+    vocabulary = q_terms.select("term").distinct().unionByName(
+        q_terms.sparkSession.createDataFrame([("",)], "term string")
+    )
+    counted = (
         tokens.select(
-            "chunk_id", F.size("_terms").alias("_len"),
-            F.explode(F.concat(F.array(F.lit("")), "_terms")).alias("term"),
+            F.size("_terms").alias("_len"),
+            F.explode(F.concat(F.array(F.lit("")), F.array_distinct("_terms"))).alias("term"),
         )
-        .join(broadcast_if_bounded(vocabulary, n_terms + 1, TERM_ROWS), "term", "left_semi")
+        .join(F.broadcast(vocabulary), "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("_len").alias("total"))
+        .toArrow()
+        .to_pandas()
+        .set_index("term")
+    )
+    n, total = (int(counted.at["", c]) for c in ("df", "total")) if "" in counted.index else (0, 0)
+    pairs = small.to_pandas().drop_duplicates()
+    pairs = pairs[pairs["term"].isin(counted.index)]
+    q_ids = sorted(pairs["query_id"].unique().tolist())
+    vocab = sorted(pairs["term"].unique().tolist())
+    df = counted.loc[vocab, "df"].to_numpy(dtype=np.float64)
+    # Postings of the queries: which queries hold a term, term by term.
+    t_of = pd.Index(vocab).get_indexer(pairs["term"])
+    q_of = pd.Index(q_ids).get_indexer(pairs["query_id"])[np.argsort(t_of, kind="stable")]
+    shared = queries.sparkSession.sparkContext.broadcast((
+        q_ids, pa.array(vocab, pa.string()), np.log((n - df + 0.5) / (df + 0.5) + 1),
+        q_of, np.concatenate([[0], np.cumsum(np.bincount(t_of, minlength=len(vocab)))]).astype(np.int64),
+        total / n if n else 1.0,
+    ))
+    schema = _hit_schema(queries, docs)
+    arrow_schema = to_arrow_schema(schema)
+
+    def score(batches):
+        q_ids, vocab, idf, q_of, starts, avg_len = shared.value
+        for batch in batches:
+            if not batch.num_rows or not q_ids:
+                continue
+            best = _Best(q_ids, k)
+            step = max(1, CELLS // len(q_ids))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                raw = _lexical_scores(part.column("_terms"), vocab, idf, q_of, starts, len(q_ids), avg_len, k1, b)
+                best.add(part.column("chunk_id").to_numpy(zero_copy_only=False), raw)
+            yield _emit(best.frame(), arrow_schema)
+
+    return _ranked_lexical(tokens.mapInArrow(score, schema), k)
+
+
+def _lexical_scores(lists, vocab, idf, q_of, starts, n_queries: int, avg_len: float, k1: float, b: float) -> np.ndarray:
+    """Scores of some documents, one line per query; minus infinity where no term is shared."""
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
+    known = term >= 0
+    cells, tf = np.unique(doc[known] * len(vocab) + term[known], return_counts=True)
+    doc, term = cells // len(vocab), cells % len(vocab)
+    weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avg_len))
+    fan = starts[term + 1] - starts[term]  # queries that hold the term
+    within = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
+    query = q_of[np.repeat(starts[term], fan) + within]
+    flat = np.bincount(
+        query * len(lengths) + np.repeat(doc, fan), weights=np.repeat(weight, fan), minlength=n_queries * len(lengths)
+    ).reshape(n_queries, len(lengths))
+    return np.where(flat > 0, flat, -np.inf)
+
+
+def _bm25_join(q_terms: DataFrame, tokens: DataFrame, k1: float, b: float) -> DataFrame:
+    """Scores of all (query, document) pairs that share a term, by joins on the term (AQE splits hot terms)."""
+    postings = materialize(
+        tokens.select("chunk_id", F.size("_terms").alias("_len"), F.explode("_terms").alias("term"))
         .groupBy("chunk_id", "_len", "term")
         .agg(F.count("*").alias("tf"))
     )
-    n, avg_len = postings.filter("term = ''").agg(F.count("*"), F.avg("_len")).first()
-    df = postings.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    n, avg_len = tokens.agg(F.count("*"), F.avg(F.size("_terms"))).first()
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weights = q_terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
     norm = k1 * (1 - b + b * F.col("_len") / F.lit(float(avg_len or 1.0)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scores = (
-        postings.join(broadcast_if_bounded(weights, n_terms, TERM_ROWS), "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-    )
+    scored = postings.join(weights, "term").groupBy("query_id", "chunk_id")
+    return scored.agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+
+
+def _ranked_lexical(scores: DataFrame, k: int) -> DataFrame:
     hits = top_k(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
     return hits.select("query_id", "chunk_id", "score", "rank", F.lit("bm25").alias("method"))
 

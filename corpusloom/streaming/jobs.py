@@ -7,8 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.operators.ingest import build_chunks
 from corpusloom.sources.collections import append_collection
@@ -48,83 +46,59 @@ def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(rows).sort_values(["ts", "id"])
 
 
-class TtlCache(StatefulProcessor):
-    """Lookups of one key: an entry not older than the ttl is a hit and is not renewed by it."""
+def _stateful(stream: DataFrame, step, schema: str, state: str) -> DataFrame:
+    return stream.groupBy("key").applyInPandasWithState(step, schema, state, "append", "NoTimeout")
 
-    def __init__(self, ttl_seconds: int):
-        self.ttl = pd.Timedelta(seconds=ttl_seconds)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", T.StructType([T.StructField("ts", T.TimestampType())]))
+def ttl_cache(lookups: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Hit or miss of every lookup (key, id, ts) of a stream.
+
+    An entry not older than the ttl is a hit and is not renewed by it; an older one
+    is a miss and stored anew. The state of a key is the time of its entry.
+    """
+    ttl = pd.Timedelta(seconds=ttl_seconds)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(self.stored.get()[0]) if self.stored.exists() else None
-        pdf = _in_order(rows)
-        hits = []
+    def step(key, rows, state) -> Iterator[pd.DataFrame]:
+        stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        pdf, hits = _in_order(rows), []
         for ts in pdf["ts"]:
-            hit = at is not None and ts - at <= self.ttl
-            at = at if hit else ts
+            hit = stored is not None and ts - stored <= ttl
+            stored = stored if hit else ts
             hits.append(hit)
-        self.stored.update((at.to_pydatetime(),))
-        yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "ts": pdf["ts"], "hit": hits})
+        state.update((stored.value // 1000,))
+        yield pd.DataFrame({"key": key[0], "id": pdf["id"], "ts": pdf["ts"], "hit": hits})
 
-    def close(self) -> None:
-        pass
+    return _stateful(lookups, step, "key string, id long, ts timestamp, hit boolean", "stored_us long")
 
 
-class CircuitBreaker(StatefulProcessor):
-    """Requests of one provider: three primary failures open the breaker for five minutes.
+def circuit_breaker(
+    requests: DataFrame, threshold: int = BREAKER_THRESHOLD, reset_seconds: int = BREAKER_RESET_SECONDS
+) -> DataFrame:
+    """Provider that serves each request (key, id, ts, success) of a stream, and the breaker after it.
 
-    While it is open requests go to the fallback; successes do not reset the counter.
+    `threshold` primary failures open it; requests then go to the fallback until the
+    reset time is over, which also clears the counter. Successes do not.
     """
+    reset = pd.Timedelta(seconds=reset_seconds)
 
-    def __init__(self, threshold: int, reset_seconds: int):
-        self.threshold, self.reset = threshold, pd.Timedelta(seconds=reset_seconds)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "breaker",
-            T.StructType([T.StructField("failures", T.IntegerType()), T.StructField("opened", T.TimestampType())]),
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures, opened = self.state.get() if self.state.exists() else (0, None)
-        opened = None if opened is None else pd.Timestamp(opened)
-        pdf = _in_order(rows)
-        used, is_open = [], []
+    def step(key, rows, state) -> Iterator[pd.DataFrame]:
+        failures, opened_us = state.get if state.exists else (0, None)
+        opened = None if opened_us is None else pd.Timestamp(opened_us, unit="us")
+        pdf, used, is_open = _in_order(rows), [], []
         for ts, ok in zip(pdf["ts"], pdf["success"]):
-            if opened is not None and ts - opened > self.reset:
+            if opened is not None and ts - opened > reset:
                 failures, opened = 0, None
             used.append("primary" if opened is None else "fallback")
             if opened is None and not ok:
                 failures += 1
-                opened = ts if failures >= self.threshold else None
+                opened = ts if failures >= threshold else None
             is_open.append(opened is not None)
-        self.state.update((failures, None if opened is None else opened.to_pydatetime()))
-        yield pd.DataFrame({
-            "key": pdf["key"], "id": pdf["id"], "ts": pdf["ts"], "provider": used, "open_after": is_open,
-        })
-
-    def close(self) -> None:
-        pass
-
-
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return stream.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None"
-    )
-
-
-def ttl_cache(lookups: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Hit or miss of every lookup (key, id, ts) of a stream."""
-    return _stateful(lookups, TtlCache(ttl_seconds), "key string, id long, ts timestamp, hit boolean")
-
+        state.update((failures, None if opened is None else opened.value // 1000))
+        yield pd.DataFrame(
+            {"key": key[0], "id": pdf["id"], "ts": pdf["ts"], "provider": used, "open_after": is_open}
+        )
 
-def circuit_breaker(
-    requests: DataFrame, threshold: int = BREAKER_THRESHOLD, reset_seconds: int = BREAKER_RESET_SECONDS
-) -> DataFrame:
-    """Provider that serves each request (key, id, ts, success) of a stream, and the breaker after it."""
     return _stateful(
-        requests, CircuitBreaker(threshold, reset_seconds),
-        "key string, id long, ts timestamp, provider string, open_after boolean",
+        requests, step, "key string, id long, ts timestamp, provider string, open_after boolean",
+        "failures int, opened_us long",
     )

@@ -250,7 +250,7 @@ SELECT query_id, form, array_to_string(list_filter([CASE WHEN form % 3 + 1 > CAS
 def variation_rules(spark, sf_dir):
     q = asked(spark, sf_dir).withColumn("_c", T.complexity(DOC))
     form = F.col("form")
-    first = F.when(form % 5 == 0, " ").when(form % 2 == 0, F.upper("text")).otherwise("andere Frage")
+    first = F.when(form % 5 == 0, " ").when(form % 2 == 0, F.concat(F.lit("  "), F.lower("text"))).otherwise("andere Frage")
     second = F.when((form % 2 == 0) & (form % 5 == 0), F.lower("text")).otherwise("zweite Frage")
     texts = F.slice(F.array(first, second, F.lit("dritte Frage")), F.lit(1), form % 3 + 1)
     q = q.select("query_id", "form", "text", F.col("_c.strategy").alias("strategy"),
