@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import (
-    answer_type, clean_wiki, excerpt, is_valid_context, parse_answer, quality_score, strip,
+    answer_type, clean_wiki, excerpt, parse_answer, quality_score, strip,
     truncate_sentences, truncate_words,
 )
 from corpusloom.operators.rank import usable
+from corpusloom.session import where_computed
 
 # ---- fixed values -----------------------------------------------------------
 NO_CONTEXT = "No relevant context found."
@@ -113,9 +114,8 @@ def build_context(hits: DataFrame, queries: DataFrame | None = None) -> DataFram
 def valid_context(hits: DataFrame) -> DataFrame:
     """Hits that pass the context check: valid text and url, quality above 0.1."""
     quality = quality_score(F.col("content"), F.col("url"), F.col("score"))
-    return hits.withColumn("quality", quality).filter(
-        is_valid_context(F.col("content"), F.col("url")) & (F.col("quality") > 0.1)
-    )
+    # An invalid text has quality 0, so the threshold covers validity too.
+    return where_computed(hits, "quality", quality, lambda q: q > 0.1)
 
 
 def context_metrics(hits: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.chunks import chunk_by_headers, chunk_semantic
 from corpusloom.functions.html import html_h1, html_hrefs, html_canonical, html_lang, html_meta, html_title
-from corpusloom.functions.text import approx_tokens, info_score, section_info
+from corpusloom.functions.text import approx_tokens, info_score, let, section_info
 from corpusloom.functions.urls import netloc, resolve_url, urldefrag
 from corpusloom.session import materialize, with_position
 
@@ -68,10 +68,16 @@ def crawl_stats(docs: DataFrame) -> DataFrame:
 
 def build_chunks(docs: DataFrame, max_len: int = 1500, overlap: int = 150, text: str = "markdown") -> DataFrame:
     """Chunk rows of every document (url, markdown). One narrow stage, no shuffle."""
-    parts = docs.select("url", chunk_by_headers(F.col(text), max_len, overlap).alias("_chunks"))
-    rows = parts.select(
-        "url", F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "content")
+    numbered = let(
+        chunk_by_headers(F.col(text), max_len, overlap),
+        lambda chunks: F.transform(
+            chunks,
+            lambda c, i: F.struct(
+                F.size(chunks).alias("total_chunks"), i.alias("chunk_index"), c.alias("content")
+            ),
+        ),
     )
+    rows = docs.select("url", F.inline(numbered))
     return rows.select(
         F.concat(F.lit("doc_"), "url", F.lit("_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         "url", "chunk_index", "total_chunks", "content",
@@ -81,8 +87,14 @@ def build_chunks(docs: DataFrame, max_len: int = 1500, overlap: int = 150, text:
 
 def semantic_chunks(docs: DataFrame, id_col: str, text: str, target: int = 1200, overlap: int = 150) -> DataFrame:
     """Rows of the semantic cascade: id, chunk_index, chunk_type, content."""
-    parts = docs.select(id_col, chunk_semantic(F.col(text), target, overlap).alias("_c"))
-    return parts.select(id_col, F.col("_c.chunk_type"), F.posexplode("_c.texts").alias("chunk_index", "content"))
+    numbered = let(
+        chunk_semantic(F.col(text), target, overlap),
+        lambda c: F.transform(
+            c["texts"],
+            lambda t, i: F.struct(c["chunk_type"].alias("chunk_type"), i.alias("chunk_index"), t.alias("content")),
+        ),
+    )
+    return docs.select(id_col, F.inline(numbered))
 
 
 def gate_embeddings(chunks: DataFrame, max_failed: float = MAX_FAILED_SHARE) -> DataFrame:

@@ -119,12 +119,12 @@ def relevance_extended_score(question: Column, content: Column) -> Column:
 def relevance_unified(hits: DataFrame, n: int = 15) -> DataFrame:
     """Relevance filter (> 2.0) and top n. hits carry question and content."""
     scored = hits.withColumn("score", relevance_unified_score(F.col("question"), F.col("content")))
-    return rank_top(scored.filter("score > 2.0"), n)
+    return rank_top(scored, n).filter("score > 2.0")  # the best come first, so the order of the two is free
 
 
 def relevance_extended(hits: DataFrame, n: int = 15) -> DataFrame:
     scored = hits.withColumn("score", relevance_extended_score(F.col("question"), F.col("content")))
-    return rank_top(scored.filter("score > 1.0"), n)
+    return rank_top(scored, n).filter("score > 1.0")
 
 
 def score_bonus(question: Column, content: Column, url: Column) -> Column:
@@ -173,13 +173,12 @@ def rerank_fallback(hits: DataFrame, n: int, external: str = "rerank_score") ->
 
 def high_recall(chunks: DataFrame, by: list[str], order: list[Column], text: str = "content") -> DataFrame:
     """Distinct texts of 30 or more characters that are neither repetitive nor boilerplate; neutral score."""
-    keyed = chunks.withColumn("_t", strip(F.col(text))).withColumn("_md5", F.md5("_t")).withColumn(
-        "_len", F.length("_t")
-    )
-    # The cheap row-wise tests depend on the text alone, so they give the same rows before the dedup shuffle.
-    keyed = keyed.filter((F.col("_len") >= 30) & (entropy(F.col("_t")) >= 1.0) & ~is_boilerplate(F.col("_t")))
-    first = keep_first(keyed.drop("_t"), [*by, "_md5", "_len"], order)
-    return first.drop("_md5", "_len", "_copies").withColumn("score", F.lit(0.5))
+    content = strip(F.col(text))
+    keyed = chunks.withColumn("_md5", F.md5(content)).withColumn("_len", F.length(content)).filter("_len >= 30")
+    first = keep_first(keyed, [*by, "_md5", "_len"], order)
+    # The costly tests run after the dedup, once per distinct text.
+    good = first.filter((entropy(content) >= 1.0) & ~is_boilerplate(content))
+    return good.drop("_md5", "_len", "_copies").withColumn("score", F.lit(0.5))
 
 
 def usable(hits: DataFrame, cleaned: str, n: int = 3) -> DataFrame:

@@ -285,7 +285,7 @@ def _lexical_scores(lists, vocab, idf, q_of, starts, n_queries: int, avg_len: fl
 def _bm25_join(q_terms: DataFrame, tokens: DataFrame, k1: float, b: float) -> DataFrame:
     """Scores of all (query, document) pairs that share a term, by joins on the term (AQE splits hot terms)."""
     postings = materialize(
-        tokens.select("chunk_id", F.size("_terms").alias("_len"), F.explode("_terms").alias("term"))
+        tokens.select("chunk_id", F.size("_terms").alias("_len"), F.explode(F.array_compact("_terms")).alias("term"))
         .groupBy("chunk_id", "_len", "term")
         .agg(F.count("*").alias("tf"))
     )

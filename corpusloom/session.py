@@ -43,6 +43,16 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None, rows: int = BROADC
     return F.broadcast(df) if max_rows is not None and max_rows <= rows else df
 
 
+def where_computed(df: DataFrame, name: str, value: Column, keep) -> DataFrame:
+    """Add a costly column and keep the rows whose value passes, computing it once per row.
+
+    A filter on a projected expression is pushed below the projection and evaluates
+    it a second time; a filter inside the generator is not.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.filter(F.array(value), keep)).alias(name))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the least in `order`.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions.html import html_to_markdown
+from corpusloom.session import where_computed
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -25,7 +26,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def pages_to_docs(pages: DataFrame) -> DataFrame:
     """Crawled pages as documents with markdown; pages without any text are dropped."""
-    return pages.withColumn("markdown", html_to_markdown(F.col("html"))).filter("markdown <> ''").drop("html")
+    docs = where_computed(pages, "markdown", html_to_markdown(F.col("html")), lambda m: m != "")
+    return docs.drop("html")
 
 
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from corpusloom.functions import vectors as V
 from corpusloom.functions.html import html_to_markdown
 from corpusloom.operators import embed, ingest
 from corpusloom.operators import metrics as M
+from corpusloom.session import where_computed
 from corpusloom.sources import collections as S
 from workload.base import DOC_URL_SQL, documents, query, scratch, strip_sql, table, words_sql
 from workload.page_queries import DOCS, markdown_sql, pages
@@ -57,7 +58,7 @@ def chunk_headers(spark, sf_dir):
 # Page markdown with second-level headers in front of some paragraphs.
 def page_docs(spark, sf_dir):
     md = F.replace(html_to_markdown(F.col("html")), F.lit("\n\nThe "), F.lit("\n\n## The "))
-    return pages(spark, sf_dir).select("page_id", "url", md.alias("markdown")).filter("markdown <> ''")
+    return where_computed(pages(spark, sf_dir), "markdown", md, lambda m: m != "").drop("html")
 
 
 PAGE_DOCS = f"""pdocs AS (SELECT url AS chunk_id, replace({markdown_sql('html')}, chr(10) || chr(10) || 'The ', chr(10) || chr(10) || '## The ') AS text FROM pages)"""
@@ -161,7 +162,7 @@ EMBED = f"""
 SELECT doc_id AS chunk_id, b AS dim, round((c / n)::FLOAT::DOUBLE, 5) AS weight FROM tk JOIN nm USING (doc_id)""")
 def embed_documents(spark, sf_dir):
     e = embed.with_embedding(documents(spark, sf_dir).select("chunk_id", "text"), "text")
-    return e.select("chunk_id", F.posexplode("embedding").alias("dim", "w")).filter("w <> 0").select(
+    return e.select("chunk_id", F.posexplode(F.array_compact("embedding")).alias("dim", "w")).filter("w <> 0").select(
         "chunk_id", "dim", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 
