@@ -175,7 +175,7 @@ def pack_batches(
         sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
         return sums, np.searchsorted(sums, sums[:-1] + budget, side="right") - 1
 
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sums, close = jumps(pdf.sort_values(order)["tokens"].to_numpy())
         n = len(close)
         closed, used = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
@@ -198,7 +198,7 @@ def pack_batches(
             [(key[0], key[1], *o) for o in out], columns=["g", "_seg", "lo", "hi", "adds", "closed", "used"]
         )
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, carry, batch = [], 0, 0
         for seg, part in pdf.sort_values(["_seg", "lo"]).groupby("_seg", sort=True):
             out.append((key[0], seg, carry, batch))
@@ -214,7 +214,7 @@ def pack_batches(
     )
     starts = summary.groupBy("g").applyInPandas(chain, f"g {g_type}, _seg int, carry long, base long")
 
-    def number(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(order)
         sums, close = jumps(left["tokens"].to_numpy())
         carry, batch = int(right["carry"].iloc[0]), int(right["base"].iloc[0])

@@ -108,13 +108,13 @@ def get_collection(
 def list_collections(spark: SparkSession, root: str) -> DataFrame:
     """collection, embedding_model, distance_function, chunks."""
     fs, target = _fs(spark, _dir(root, "collections"))
-    if not fs.exists(target) or not fs.listStatus(target):
+    if not fs.exists(target) or not any("collection=" in s.getPath().getName() for s in fs.listStatus(target)):
         return spark.createDataFrame(
             [], "collection string, embedding_model string, distance_function string, chunks long"
         )
     meta = spark.read.option("basePath", _dir(root, "collections")).parquet(_dir(root, "collections"))
     fs, target = _fs(spark, _dir(root, "chunks"))
-    if not fs.exists(target):
+    if not fs.exists(target) or not any("collection=" in s.getPath().getName() for s in fs.listStatus(target)):
         return meta.select("collection", "embedding_model", "distance_function", F.lit(0).cast("long").alias("chunks"))
     sizes = spark.read.parquet(_dir(root, "chunks")).groupBy("collection").agg(F.count("*").alias("chunks"))
     return meta.withColumn("collection", F.col("collection").cast("string")).join(
