@@ -121,8 +121,8 @@ def valid_context(hits: DataFrame) -> DataFrame:
 def context_metrics(hits: DataFrame) -> DataFrame:
     """Average relevance and length and number of sources of the context of each query."""
     return hits.groupBy("query_id").agg(
-        F.round(F.avg("score"), 6).alias("avg_relevance"),
-        F.round(F.avg(F.length("content")), 6).alias("avg_length"),
+        F.avg("score").alias("avg_relevance"),
+        F.avg(F.length("content")).alias("avg_length"),
         F.countDistinct("url").alias("unique_sources"),
         F.count("*").alias("documents"),
     )
@@ -180,7 +180,7 @@ def retrieval_metadata(hits: DataFrame, queries: DataFrame, method: str, rerank_
     per_query = hits.groupBy("query_id").agg(
         F.max("total_candidates").alias("total_documents_searched"),
         F.count("*").alias("documents_retrieved"),
-        F.round(F.avg("score"), 6).alias("average_relevance_score"),
+        F.avg("score").alias("average_relevance_score"),
     )
     low = F.col("average_relevance_score") < LOW_CONFIDENCE
     return used.join(per_query, "query_id", "left").select(
@@ -200,7 +200,7 @@ def score_bands(hits: DataFrame) -> DataFrame:
         F.count_if(s >= 0.8).alias("excellent"),
         F.count_if((s >= 0.6) & (s < 0.8)).alias("good"),
         F.count_if(s < 0.6).alias("fair"),
-        F.round(F.avg(s), 6).alias("avg_score"),
+        F.avg(s).alias("avg_score"),
         F.min(s).alias("min_score"),
         F.max(s).alias("max_score"),
         F.countDistinct("url").alias("unique_sources"),

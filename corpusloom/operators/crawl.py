@@ -29,7 +29,7 @@ def crawl_bfs(
     Only links of the seed's host are followed; a level is cut at the page limit in
     url order. One join per level, materialised so that the plan does not grow.
     """
-    known = pages.select(urldefrag(F.col("url")).alias("url")).distinct().withColumn("success", F.lit(True))
+    known = materialize(pages.select(urldefrag(F.col("url")).alias("url")).distinct()).withColumn("success", F.lit(True))
     edges = materialize(
         links.select(urldefrag(F.col("url")).alias("url"), "link")
         .filter(netloc(F.col("url")) == netloc(F.col("link")))

@@ -163,8 +163,9 @@ def pack_batches(
     closed, carry out)", the tiny summaries are chained, and every segment then
     numbers its rows from its own carry. No group is ever gathered in one task.
     """
+    counted = texts.select(group, order, approx_tokens(F.col(text)).alias("tokens"))
     rows = materialize(
-        texts.select(group, order, approx_tokens(F.col(text)).alias("tokens"))
+        materialize(counted)  # narrow; range partitioning reads it twice
         .filter(F.col("tokens") <= budget)
         .repartitionByRange(group, order)
         .withColumn("_seg", F.spark_partition_id())

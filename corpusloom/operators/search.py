@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusloom.functions.text import complexity, max_variations, prefix_key, strip, text_key, text_url_key
 from corpusloom.session import (
-    BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, fits_broadcast, keep_first, materialize, top_k,
+    BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, keep_first, materialize, top_k,
 )
 
 # ---- fixed values -----------------------------------------------------------
@@ -110,23 +110,33 @@ def _rank_hits(candidates: DataFrame, k: int, method: str) -> DataFrame:
     return hits.withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS)).withColumn("method", F.lit(method))
 
 
-def _sliced(n_rows: int) -> int:
-    return max(1, -(-n_rows // SLICE_ROWS))
+def _in_blocks(queries: DataFrame, blocks: int, depth: int, run) -> DataFrame:
+    """Run one search per block of queries and unite the hits (a few rows per query, written once per block)."""
+    queries = materialize(queries)
+    out = None
+    for i in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(blocks)) == i)
+        hits = materialize(run(block))
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
+def knn(
+    queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS, _depth: int = 0
+) -> DataFrame:
     """Exact cosine top-k of every query: query_id, chunk_id, score, rank, distance, method.
 
-    With a query set of checked size each task scores its own chunks against all
-    queries as one matrix product and emits k rows per query: the chunk table is
-    never shuffled and no (query, chunk) pair leaves its task. A larger query set
-    is joined block by block, with the same result.
+    The query vectors (a set of checked size) go to every task; each task scores its
+    own chunks against all of them as one matrix product and emits k rows per query.
+    The chunk table is never shuffled and no (query, chunk) pair leaves its task. A
+    larger query set is searched block by block, one scan of the chunks each.
     """
-    queries = queries.filter(F.col("embedding").isNotNull())
+    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     chunks = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
-    if not fits_broadcast(queries, max_broadcast):
-        return _rank_hits(_knn_blocks(queries, chunks, k, max_broadcast), k, "knn")
-    small = queries.select("query_id", "embedding").limit(max_broadcast).toArrow()
+    small = queries.limit(max_broadcast + 1).toArrow()
+    if small.num_rows > max_broadcast:
+        blocks = -(-queries.count() * 2 // max_broadcast)
+        return _in_blocks(queries, blocks, _depth, lambda q: knn(q, chunks, k, max_broadcast, _depth + 1))
     if small.num_rows == 0:
         return _rank_hits(queries.sparkSession.createDataFrame([], _hit_schema(queries, chunks)), k, "knn")
     q = queries.sparkSession.sparkContext.broadcast(
@@ -141,32 +151,19 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROA
             if batch.num_rows:
                 unit = _unit(_matrix(batch.column("embedding"), batch.num_rows))
                 ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                found = _best_cosine(q_ids, q_unit, ids, unit, k)
-                yield _emit(found, arrow_schema)
+                yield _emit(_best_cosine(q_ids, q_unit, ids, unit, k), arrow_schema)
 
     return _rank_hits(chunks.mapInArrow(score, schema), k, "knn")
 
 
-def _knn_blocks(queries: DataFrame, chunks: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Block nested loop: each block of queries meets each slice of chunks in one task."""
-    blocks = max(1, -(-queries.count() * 2 // block_rows))
-    slices = _sliced(chunks.count())
-    left = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
-    )
-    right = chunks.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    )
-    return _block_best(left, right, ["_b", "_s"], k)
-
-
 def knn_lsh(
     queries: DataFrame, chunks: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 7
 ) -> DataFrame:
     """Approximate cosine top-k: random-hyperplane buckets, exact scores inside a bucket.
 
-    A bucket of any size is cut into slices of bounded size (its queries go to each
-    slice), so a bucket that holds a third of all rows is spread over many tasks.
+    A bucket of any size is cut into slices of bounded size on both sides, and each
+    task meets one pair of slices, so a bucket that holds a third of all rows is
+    spread over many tasks.
     """
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
@@ -181,11 +178,22 @@ def knn_lsh(
         return own.select(key, "embedding", F.posexplode(signature("embedding")).alias("_t", "_b"))
 
     left, right = bucketed(queries, "query_id"), bucketed(chunks, "chunk_id")
-    sizes = right.groupBy("_t", "_b").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("_n"))
+
+
+    def slices(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("_t", "_b").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    def own(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    sizes = slices(right, SLICE_ROWS, "_n").join(slices(left, BROADCAST_ROWS, "_m"), ["_t", "_b"])
     sizes = F.broadcast(sizes)  # tables * 2**bits rows at most
-    right = right.join(sizes, ["_t", "_b"]).withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int"))
-    left = left.join(sizes, ["_t", "_b"]).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    found = _block_best(left, right, ["_t", "_b", "_s"], k)
+    right = right.join(sizes, ["_t", "_b"]).withColumn("_s", own("chunk_id", "_n")).withColumn("_q", each("_m"))
+    left = left.join(sizes, ["_t", "_b"]).withColumn("_q", own("query_id", "_m")).withColumn("_s", each("_n"))
+    found = _block_best(left, right, ["_t", "_b", "_s", "_q"], k)
     return _rank_hits(found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_lsh")
 
 
@@ -199,7 +207,8 @@ def _query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(
-    queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B, max_terms: int = TERM_ROWS
+    queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B,
+    max_terms: int = TERM_ROWS, _depth: int = 0,
 ) -> DataFrame:
     """BM25 top-k of every query (query_id, text) over docs (chunk_id, text).
 
@@ -207,13 +216,18 @@ def bm25(
     of each query term (combined on the map side, one row per term and task). The
     second scores each task's documents against all queries and emits k rows per
     query: neither tokens nor (query, document) pairs ever leave their task. A
-    query set with more terms than may be broadcast is joined by term instead.
+    query set with more terms than may be broadcast is searched block by block.
     """
     q_terms = _query_terms(queries)
     small = q_terms.limit(max_terms + 1).toArrow()
     tokens = docs.select("chunk_id", terms(F.col("text")).alias("_terms"))
-    if small.num_rows > max_terms:
-        return _ranked_lexical(_bm25_join(q_terms, tokens, k1, b), k)
+    if small.num_rows > max_terms and len(small["query_id"].unique()) > 1:
+        blocks = -(-q_terms.count() * 2 // max_terms)
+        return _in_blocks(
+            queries.select("query_id", "text"), blocks, _depth, lambda q: bm25(q, docs, k, k1, b, max_terms, _depth + 1)
+        )
+    if small.num_rows > max_terms:  # one question with very many terms: all of them
+        small = q_terms.toArrow()
 
     # Pass 1: document frequencies; the empty term stands for "every document" and carries the lengths.
     vocabulary = q_terms.select("term").distinct().unionByName(
@@ -282,23 +296,6 @@ def _lexical_scores(lists, vocab, idf, q_of, starts, n_queries: int, avg_len: fl
     return np.where(flat > 0, flat, -np.inf)
 
 
-def _bm25_join(q_terms: DataFrame, tokens: DataFrame, k1: float, b: float) -> DataFrame:
-    """Scores of all (query, document) pairs that share a term, by joins on the term (AQE splits hot terms)."""
-    postings = materialize(
-        tokens.select("chunk_id", F.size("_terms").alias("_len"), F.explode(F.array_compact("_terms")).alias("term"))
-        .groupBy("chunk_id", "_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    n, avg_len = tokens.agg(F.count("*"), F.avg(F.size("_terms"))).first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = q_terms.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    norm = k1 * (1 - b + b * F.col("_len") / F.lit(float(avg_len or 1.0)))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = postings.join(weights, "term").groupBy("query_id", "chunk_id")
-    return scored.agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
-
-
 def _ranked_lexical(scores: DataFrame, k: int) -> DataFrame:
     hits = top_k(scores, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
     return hits.select("query_id", "chunk_id", "score", "rank", F.lit("bm25").alias("method"))

@@ -83,7 +83,8 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position") ->
     before each partition is a running sum over one small row per partition.
     """
     placed = materialize(
-        df.repartitionByRange(*order)
+        materialize(df)  # range partitioning samples its input first: do not compute it twice
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_mono", F.monotonically_increasing_id())
     )

@@ -17,11 +17,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; its output columns get comparable types (see `comparable`)."""
+def query(name: str, sql: str | None = None, digits: int = 6):
+    """Register a query; its output columns get comparable types (see `comparable`).
+
+    A mean of six-digit scores may end exactly between two six-digit values, so
+    queries with such means are compared at nine digits.
+    """
 
     def add(fn):
-        QUERIES[name] = lambda spark, sf_dir: comparable(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: comparable(fn(spark, sf_dir), digits)
         QUERIES[name].__doc__ = fn.__doc__
         if sql is not None:
             SQL[name] = sql
@@ -30,15 +34,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def comparable(df: DataFrame) -> DataFrame:
-    """Integers as bigint, doubles at six digits, string arrays as one string, timestamps as text."""
+def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Integers as bigint, doubles rounded, string arrays as one string, timestamps as text."""
 
     def column(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.IntegerType, T.ShortType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
             c = F.array_join(c, "|")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

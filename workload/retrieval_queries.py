@@ -37,10 +37,10 @@ def lexical_topk(spark, sf_dir):
     return S.bm25(questions(spark, sf_dir), documents(spark, sf_dir), 10).drop("method")
 
 
-@query("lexical_topk_join", f"WITH {bm25_sql(10)} SELECT * FROM hits")
-def lexical_topk_join(spark, sf_dir):
-    """The way taken when the questions have too many terms to broadcast."""
-    return S.bm25(questions(spark, sf_dir), documents(spark, sf_dir), 10, max_terms=10).drop("method")
+@query("lexical_topk_blocks", f"WITH {bm25_sql(10)} SELECT * FROM hits")
+def lexical_topk_blocks(spark, sf_dir):
+    """The way taken when the questions have too many terms for one broadcast."""
+    return S.bm25(questions(spark, sf_dir), documents(spark, sf_dir), 10, max_terms=1000).drop("method")
 
 
 # ---- flagship -------------------------------------------------------------------
@@ -101,7 +101,7 @@ def vector_topk(spark, sf_dir):
 @query("vector_topk_blocks", f"WITH {KNN} SELECT query_id, chunk_id, score, distance, rank FROM kn WHERE rank <= 5")
 def vector_topk_blocks(spark, sf_dir):
     """The way taken when the question set is too large to broadcast."""
-    return S.knn(*vectors(spark, sf_dir), 5, max_broadcast=100).drop("method")
+    return S.knn(*vectors(spark, sf_dir), 5, max_broadcast=300).drop("method")
 
 
 @query("vector_topk_lsh")
@@ -339,8 +339,8 @@ def context_full(spark, sf_dir):
     return X.build_context_full(h, "bm25")
 
 
-@query("context_metrics", f"""WITH {HITS} SELECT query_id, round(avg(score), 6) AS avg_relevance, round(avg(length(content)), 6) AS avg_length,
-  count(DISTINCT url) AS unique_sources, count(*) AS documents FROM h GROUP BY query_id""")
+@query("context_metrics", f"""WITH {HITS} SELECT query_id, round(avg(score), 9) AS avg_relevance, round(avg(length(content)), 9) AS avg_length,
+  count(DISTINCT url) AS unique_sources, count(*) AS documents FROM h GROUP BY query_id""", digits=9)
 def context_metrics(spark, sf_dir):
     return X.context_metrics(hits(spark, sf_dir))
 
@@ -352,15 +352,15 @@ def confidence(spark, sf_dir):
 
 
 @query("score_bands", f"""WITH {HITS} SELECT query_id, count(*) FILTER (score >= 0.8) AS excellent, count(*) FILTER (score >= 0.6 AND score < 0.8) AS good,
-  count(*) FILTER (score < 0.6) AS fair, round(avg(score), 6) AS avg_score, min(score) AS min_score, max(score) AS max_score,
-  count(DISTINCT url) AS unique_sources FROM h GROUP BY query_id""")
+  count(*) FILTER (score < 0.6) AS fair, round(avg(score), 9) AS avg_score, min(score) AS min_score, max(score) AS max_score,
+  count(DISTINCT url) AS unique_sources FROM h GROUP BY query_id""", digits=9)
 def score_bands(spark, sf_dir):
     return X.score_bands(hits(spark, sf_dir))
 
 
-@query("retrieval_metadata", f"""WITH {HITS}, a AS (SELECT query_id, count(*) AS n, round(avg(CASE WHEN query_id % 4 = 0 THEN score / 5 ELSE score END), 6) AS s FROM h GROUP BY query_id)
+@query("retrieval_metadata", f"""WITH {HITS}, a AS (SELECT query_id, count(*) AS n, round(avg(CASE WHEN query_id % 4 = 0 THEN score / 5 ELSE score END), 9) AS s FROM h GROUP BY query_id)
 SELECT query_id, (1 + query_id % 3) AS queries_used, (query_id + 100) AS total_documents_searched, n AS documents_retrieved, s AS average_relevance_score,
-  CASE WHEN s < 0.25 THEN 'pool_low_confidence' ELSE 'pool' END AS retrieval_method, 'score' AS reranking_method FROM a""")
+  CASE WHEN s < 0.25 THEN 'pool_low_confidence' ELSE 'pool' END AS retrieval_method, 'score' AS reranking_method FROM a""", digits=9)
 def retrieval_metadata(spark, sf_dir):
     h = hits(spark, sf_dir).withColumn("total_candidates", F.col("query_id") + 100).withColumn(
         "score", F.when(F.col("query_id") % 4 == 0, F.col("score") / 5).otherwise(F.col("score")))
