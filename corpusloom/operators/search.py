@@ -254,16 +254,16 @@ def bm25(
     # Postings of the queries: which queries hold a term, term by term.
     t_of = pd.Index(vocab).get_indexer(pairs["term"])
     q_of = pd.Index(q_ids).get_indexer(pairs["query_id"])[np.argsort(t_of, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(t_of, minlength=len(vocab)))]).astype(np.int64)
     shared = queries.sparkSession.sparkContext.broadcast((
-        q_ids, pa.array(vocab, pa.string()), np.log((n - df + 0.5) / (df + 0.5) + 1),
-        q_of, np.concatenate([[0], np.cumsum(np.bincount(t_of, minlength=len(vocab)))]).astype(np.int64),
-        total / n if n else 1.0,
+        q_ids, pa.array(vocab, pa.string()), np.log((n - df + 0.5) / (df + 0.5) + 1), total / n if n else 1.0,
+        q_of, starts, *_common_terms(q_of, starts, len(q_ids)),
     ))
     schema = _hit_schema(queries, docs)
     arrow_schema = to_arrow_schema(schema)
 
     def score(batches):
-        q_ids, vocab, idf, q_of, starts, avg_len = shared.value
+        q_ids, *index = shared.value
         for batch in batches:
             if not batch.num_rows or not q_ids:
                 continue
@@ -271,15 +271,33 @@ def bm25(
             step = max(1, CELLS // len(q_ids))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                raw = _lexical_scores(part.column("_terms"), vocab, idf, q_of, starts, len(q_ids), avg_len, k1, b)
+                raw = _lexical_scores(part.column("_terms"), len(q_ids), k1, b, *index)
                 best.add(part.column("chunk_id").to_numpy(zero_copy_only=False), raw)
             yield _emit(best.frame(), arrow_schema)
 
     return _ranked_lexical(tokens.mapInArrow(score, schema), k)
 
 
-def _lexical_scores(lists, vocab, idf, q_of, starts, n_queries: int, avg_len: float, k1: float, b: float) -> np.ndarray:
-    """Scores of some documents, one line per query; minus infinity where no term is shared."""
+def _common_terms(q_of: np.ndarray, starts: np.ndarray, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms that many queries hold: their column (-1 for the others) and the query x column membership matrix."""
+    fan = np.diff(starts)
+    order = np.argsort(-fan, kind="stable")[: max(1, min(1024, CELLS // max(1, n_queries)))]
+    order = order[fan[order] >= 8]
+    column = np.full(len(fan), -1)
+    column[order] = np.arange(len(order))
+    member = np.zeros((n_queries, len(order)))
+    for c, t in enumerate(order):
+        member[q_of[starts[t] : starts[t + 1]], c] = 1.0
+    return column, member
+
+
+def _lexical_scores(
+    lists, n_queries: int, k1: float, b: float, vocab, idf, avg_len: float, q_of, starts, column, member
+) -> np.ndarray:
+    """Scores of some documents, one line per query; minus infinity where no term is shared.
+
+    Common terms are one matrix product; rare ones are spread over the few queries that hold them.
+    """
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     term = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocab), -1).to_numpy(zero_copy_only=False)
@@ -287,12 +305,17 @@ def _lexical_scores(lists, vocab, idf, q_of, starts, n_queries: int, avg_len: fl
     cells, tf = np.unique(doc[known] * len(vocab) + term[known], return_counts=True)
     doc, term = cells // len(vocab), cells % len(vocab)
     weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[doc] / avg_len))
+    common = column[term] >= 0
+    dense = np.zeros((len(lengths), member.shape[1]))
+    dense[doc[common], column[term[common]]] = weight[common]
+    doc, term, weight = doc[~common], term[~common], weight[~common]
     fan = starts[term + 1] - starts[term]  # queries that hold the term
     within = np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
     query = q_of[np.repeat(starts[term], fan) + within]
     flat = np.bincount(
         query * len(lengths) + np.repeat(doc, fan), weights=np.repeat(weight, fan), minlength=n_queries * len(lengths)
     ).reshape(n_queries, len(lengths))
+    flat = flat + member @ dense.T
     return np.where(flat > 0, flat, -np.inf)
 
 

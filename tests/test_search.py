@@ -65,6 +65,16 @@ def test_lsh_recall(spark):
     assert recall > 0.9
 
 
+def test_lsh_splits_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(search, "SLICE_ROWS", 40)
+    monkeypatch.setattr(search, "BROADCAST_ROWS", 7)
+    same = [1.0, 2.0, 3.0]
+    c = spark.createDataFrame([(i, same) for i in range(300)] + [(1000 + i, [-1.0, 0.5, float(i)]) for i in range(20)], "chunk_id int, embedding array<float>")
+    q = spark.createDataFrame([(i, same) for i in range(30)], "query_id int, embedding array<float>")
+    got = ranked(search.knn_lsh(q, c, 10, dim=3, tables=2, bits=2))
+    assert got == {i: list(range(10)) for i in range(30)}  # every copy ties: least ids, no row lost
+
+
 def brute_bm25(queries, docs, k):
     import re
 
@@ -89,12 +99,12 @@ def brute_bm25(queries, docs, k):
     return out
 
 
-@pytest.mark.parametrize("max_terms", [200_000, 2])
+@pytest.mark.parametrize("max_terms", [200_000, 20])
 def test_bm25_equals_brute_force(spark, max_terms):
     rnd = random.Random(4)
     vocab = ["the"] * 8 + [f"w{i}" for i in range(30)]
     docs = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
-    queries = [(i, " ".join(rnd.choice(vocab) for _ in range(4))) for i in range(8)] + [(99, "nothing here")]
+    queries = [(i, " ".join(rnd.choice(vocab) for _ in range(4))) for i in range(24)] + [(99, "nothing here")]
     q = spark.createDataFrame(queries, "query_id int, text string")
     d = spark.createDataFrame(docs, "chunk_id int, text string").repartition(5)
     assert ranked(search.bm25(q, d, 7, max_terms=max_terms)) == brute_bm25(queries, docs, 7)
