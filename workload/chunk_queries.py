@@ -9,7 +9,9 @@ from corpusloom.functions.html import html_to_markdown
 from corpusloom.operators import embed, ingest
 from corpusloom.operators import metrics as M
 from corpusloom.session import where_computed
+from corpusloom import sql_functions
 from corpusloom.sources import collections as S
+from corpusloom.sources.pages import read_text_docs
 from workload.base import DOC_URL_SQL, documents, query, scratch, strip_sql, table, words_sql
 from workload.page_queries import DOCS, markdown_sql, pages
 from workload.text_queries import HEADED, headed, headers_sql
@@ -55,6 +57,35 @@ def chunk_headers(spark, sf_dir):
     return exploded(headed(spark, sf_dir), C.chunk_by_headers(DOC, 600, 60))
 
 
+@query("sql_chunk_functions", f"""WITH {HEADED}, {header_chunks_sql('headed', 600, 60)} SELECT * FROM hc""")
+def sql_chunk_functions(spark, sf_dir):
+    """The header chunker as a SQL table function."""
+    sql_functions.register(spark)
+    docs = headed(spark, sf_dir).select("chunk_id", "text")
+    return spark.sql("SELECT d.chunk_id, c.* FROM {docs} d, LATERAL chunk_headers(d.text, 600, 60) c", docs=docs)
+
+
+@query("text_documents", """SELECT sum(length(text) + 1)::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines
+FROM conversations""")
+def text_documents(spark, sf_dir):
+    """Conversation texts written as text files, each file read back as one document."""
+    out = scratch(spark)
+    table(spark, sf_dir, "conversations").select("text").write.text(out)
+    n = F.length("markdown")
+    return read_text_docs(spark, out).agg(
+        F.sum(n).alias("chars"), F.sum(n - F.length(F.translate("markdown", "\n", ""))).alias("lines"))
+
+
+@query("generated_text", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN role ELSE substr(text, 1, 20) END AS generated FROM conversations""")
+def generated_text(spark, sf_dir):
+    """A generator that answers some prompts with nothing: those rows take their fallback."""
+    def generate(prompts):
+        return prompts.map(lambda p: "" if len(p) % 3 == 0 else p[:20])
+
+    c = table(spark, sf_dir, "conversations")
+    return embed.with_generated(c, "text", "generated", "role", generate).select("conv_id", "turn", "generated")
+
+
 # Page markdown with second-level headers in front of some paragraphs.
 def page_docs(spark, sf_dir):
     md = F.replace(html_to_markdown(F.col("html")), F.lit("\n\nThe "), F.lit("\n\n## The "))

@@ -383,7 +383,22 @@ def usable_chunks(spark, sf_dir):
     return R.usable(h, "cleaned").select("query_id", "chunk_id", "rank", "cleaned")
 
 
-@query("extractive_answer")
+@query("extractive_answer", rf"""
+WITH {HITS}, c AS (SELECT query_id, rank, url, {clean_wiki_sql('content')} AS t FROM h),
+u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM c WHERE rank <= 3 AND length(t) > 50 AND t NOT LIKE '↑%'),
+s AS (SELECT query_id, string_split(t, '. ') AS p FROM u WHERE i = 1),
+l AS (SELECT query_id, j, p[j] AS p, sum(length(p[j])) OVER (PARTITION BY query_id ORDER BY j) AS used FROM (SELECT *, unnest(range(1, len(p) + 1)) AS j FROM s)),
+k AS (SELECT query_id, coalesce(string_agg(p, '. ' ORDER BY j) FILTER (used <= 800), '') AS cut FROM l GROUP BY query_id),
+m AS (SELECT u.query_id, CASE WHEN length(t) <= 800 THEN t WHEN cut LIKE '%.' THEN cut ELSE cut || '.' END AS main FROM u JOIN k USING (query_id) WHERE i = 1),
+w AS (SELECT query_id, t, substr(t, 1, 300) AS head, length(substr(t, 1, 300)) - instr(reverse(substr(t, 1, 300)), ' ') AS sp FROM u WHERE i = 2),
+a AS (SELECT query_id, CASE WHEN length(t) <= 300 THEN t WHEN contains(head, ' ') AND sp > 200 THEN substr(head, 1, sp) || '...' ELSE head END AS more FROM w),
+g AS (SELECT query_id, count(*) AS used, list_sort(list_distinct(list(url))) AS urls FROM u GROUP BY query_id),
+f AS (SELECT query_id, count(*) AS found FROM h GROUP BY query_id)
+SELECT f.query_id, CASE WHEN used IS NULL THEN '{X.NO_USABLE}' ELSE '**Antwort basierend auf ''documents'':**' || chr(10) || chr(10) || main || chr(10)
+  || coalesce(chr(10) || '**Weitere relevante Informationen:**' || chr(10) || '• ' || more || chr(10), '') || chr(10) || '**Quellen:**' || chr(10)
+  || array_to_string(list_transform(range(1, len(urls) + 1), lambda n: n || '. ' || urls[n]), chr(10)) || chr(10) || chr(10)
+  || '*Gefunden: ' || found || ' Chunks, verwendet: ' || used || ' nach Bereinigung*' END AS answer
+FROM f LEFT JOIN g USING (query_id) LEFT JOIN m USING (query_id) LEFT JOIN a USING (query_id)""")
 def extractive_answer(spark, sf_dir):
     return X.extractive_answer(hits(spark, sf_dir), "documents")
 
