@@ -144,7 +144,19 @@ def chunk_overlap(spark, sf_dir):
     return exploded(documents(spark, sf_dir), C.overlap_chunks(C.split_sentences(DOC)))
 
 
-@query("chunk_sections")
+def sections_sql(source):
+    """CTEs up to se(chunk_id, text, ss): sections by the first header pattern that gives any."""
+    heads = ", ".join(f"regexp_extract_all(text, '{p}') AS h{i}, string_split_regex(text, '{p}') AS g{i}" for i, p in enumerate(C.SECTION_PATTERNS))
+    lists = ", ".join(
+        f"CASE WHEN len(h{i}) >= 2 THEN list_filter(list_transform(list_concat(g{i}[1:len(h{i}) - 1], [g{i}[len(h{i})] || h{i}[len(h{i})] || g{i}[len(h{i}) + 1]]), "
+        f"lambda x: {strip_sql('x')}), lambda x: length(x) BETWEEN 300 AND 1800) ELSE [] END AS s{i}" for i in range(len(C.SECTION_PATTERNS)))
+    first = " ".join(f"WHEN len(s{i}) > 0 THEN s{i}" for i in range(len(C.SECTION_PATTERNS)))
+    return f"""se0 AS (SELECT chunk_id, text, {heads} FROM {source}), se1 AS (SELECT chunk_id, text, {lists} FROM se0),
+    se AS (SELECT chunk_id, text, CASE {first} ELSE [] END AS ss FROM se1)"""
+
+
+@query("chunk_sections", f"""WITH {PAGE_DOCS}, {sections_sql('pdocs')}
+SELECT chunk_id, (i - 1)::BIGINT AS chunk_index, ss[i] AS content FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM se)""")
 def chunk_sections(spark, sf_dir):
     d = page_docs(spark, sf_dir).withColumnRenamed("url", "chunk_id")
     return exploded(d, C.split_sections(F.col("markdown")))
@@ -163,7 +175,15 @@ def chunk_characters(spark, sf_dir):
     return exploded(documents(spark, sf_dir), C.split_chars(DOC, 1000))
 
 
-@query("chunk_semantic")
+@query("chunk_semantic", rf"""WITH RECURSIVE {PAGE_DOCS},
+src AS (SELECT doc_id::VARCHAR AS chunk_id, text FROM documents UNION ALL SELECT chunk_id, text FROM pdocs WHERE text <> ''),
+{sections_sql('(SELECT * FROM src WHERE length(text) > 1200)')}, {parts_sql('(SELECT * FROM se WHERE len(ss) = 0)', r'\n\s*\n')}, {fill_sql('parts', 'chr(10) || chr(10)')},
+raw AS (SELECT chunk_id, 'section' AS chunk_type, i - 1 AS chunk_index, ss[i] AS content FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM se)
+  UNION ALL SELECT chunk_id, 'paragraph_group', chunk_index, content FROM fl),
+lg AS (SELECT *, right(lag(content) OVER (PARTITION BY chunk_id ORDER BY chunk_index), 150) AS tail FROM raw)
+SELECT chunk_id AS id, chunk_type, chunk_index::BIGINT AS chunk_index, CASE WHEN tail IS NULL THEN content
+  ELSE {strip_sql(r"CASE WHEN NOT regexp_matches(tail, '^\s') AND instr(tail, ' ') > 1 THEN substr(tail, instr(tail, ' ') + 1) ELSE tail END || ' ' || content")} END AS content FROM lg
+UNION ALL SELECT chunk_id, 'complete', 0, text FROM src WHERE length(text) <= 1200""")
 def chunk_semantic(spark, sf_dir):
     docs = documents(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("id"), "text")
     web = page_docs(spark, sf_dir).select(F.col("url").alias("id"), F.col("markdown").alias("text"))
