@@ -13,7 +13,8 @@ from workload.base import (
     DOC_URL_SQL, bm25_sql, contains_any_sql, documents, list_sql, query, questions, strip_sql, table, text_sql, words_sql,
 )
 from workload.chunk_queries import windows_sql
-from workload.text_queries import ENTROPY, boilerplate_sql, clean_wiki_sql
+from corpusloom.functions.text import ANSWER_TYPES
+from workload.text_queries import clean_wiki_sql, parse_sql
 
 K = 30
 
@@ -406,24 +407,65 @@ def extractive_answer(spark, sf_dir):
 def answers(spark, sf_dir):
     h = materialize(hits(spark, sf_dir).withColumn("total_candidates", F.lit(K)))
     q = questions(spark, sf_dir)
-    texts = h.filter("rank = 1").select("query_id", F.col("content").alias("answer_text"))
+    extra = F.when(F.col("query_id") % 3 == 0, "").otherwise("\nKey:\n- eins zwei\nContact\na@example.org")
+    texts = h.filter("rank = 1").select("query_id", F.concat("content", extra).alias("answer_text"))
     meta = X.retrieval_metadata(h, q.withColumn("variation_no", F.lit(0)), "bm25", "none")
     return X.structured_answer(q, h, texts, meta)
 
 
-@query("structured_answer")
-def structured_answer(spark, sf_dir):
-    return answers(spark, sf_dir).withColumn("sources", F.to_json("sources"))
+# The best hit's text stands for the generated answer; two thirds of them get details and a contact.
+ANSWERS = f"""{HITS},
+    at_ AS (SELECT query_id, content || CASE WHEN query_id % 3 = 0 THEN '' ELSE chr(10) || 'Key:' || chr(10) || '- eins zwei' || chr(10) || 'Contact' || chr(10) || 'a@example.org' END AS t FROM h WHERE rank = 1),
+    {parse_sql('at_', 'query_id')},
+    cf AS (SELECT query_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(score) * 0.4::DOUBLE + count(*) FILTER (score > 0.7) / count(*) * 0.2::DOUBLE
+      + count(DISTINCT url) / count(*) * 0.15::DOUBLE + 0.7::DOUBLE * 0.15::DOUBLE)), 6) AS confidence, avg(score) AS rel, count(*) AS n FROM h GROUP BY query_id),
+    so AS (SELECT query_id, rank, url, score, CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS ex FROM h WHERE rank <= 10),
+    an AS (SELECT item_id AS query_id, text AS question, summary, details, contact_info, confidence, rel, n, CASE
+      {' '.join(f"WHEN {contains_any_sql('lower(text)', words)} THEN '{kind}'" for kind, words in ANSWER_TYPES)} ELSE 'informational' END AS answer_type
+      FROM benchmark JOIN pa ON query_id = item_id JOIN cf USING (query_id))"""
 
 
-@query("rendered_answers")
+@query("structured_answer", f"""WITH {ANSWERS}, sj AS (SELECT query_id, string_agg(rank || ' ' || url || ' ' || printf('%.6f', score) || ' ' || ex, '|' ORDER BY rank) AS sources FROM so GROUP BY query_id)
+SELECT query_id, question, summary, array_to_string(details, '|') AS key_details, contact_info, confidence, sources, answer_type, 1::BIGINT AS queries_used,
+  30::BIGINT AS total_documents_searched, n AS documents_retrieved, round(rel, 9) AS average_relevance_score,
+  CASE WHEN rel < 0.25 THEN 'bm25_low_confidence' ELSE 'bm25' END AS retrieval_method, 'none' AS reranking_method
+FROM an JOIN sj USING (query_id)""", digits=9)
+def structured_answer(spark, sf_dir):
+    line = lambda s: F.concat_ws(
+        " ", s["citation_number"].cast("string"), s["url"], X.fixed(s["relevance_score"], "0.000000"), s["excerpt"])
+    return answers(spark, sf_dir).withColumn("sources", F.array_join(F.transform("sources", line), "|"))
+
+
+def _bullets(rule):
+    return f"array_to_string(list_transform(details, lambda d: '- ' || d || chr(10)), '') {rule}"
+
+
+@query("rendered_answers", f"""WITH {ANSWERS},
+sx AS (SELECT query_id, string_agg('(' || rank || '): ' || url || chr(10), '' ORDER BY rank) AS s_all,
+  string_agg('[' || rank || '](' || url || ')' || chr(10), '' ORDER BY rank) FILTER (rank <= 5) AS s_text,
+  string_agg(rank || '. [Quelle](' || url || ')' || chr(10) || '   > ' || ex || chr(10) || chr(10), '' ORDER BY rank) FILTER (rank <= 5) AS s_md FROM so GROUP BY query_id),
+r AS (SELECT *, printf('%.1f', confidence * 100) || '%' AS pc, {_bullets('')} AS bl FROM an JOIN sx USING (query_id))
+SELECT query_id, 'structured' AS format, {text_sql('**Zusammenfassung:**' + chr(10))} || summary || {text_sql(chr(10) * 2 + '**Wichtige Details:**' + chr(10))} || bl
+  || coalesce({text_sql(chr(10) + '**Kontakt:**' + chr(10))} || contact_info || chr(10), '') || {text_sql(chr(10) + '**Konfidenz:** ')} || pc
+  || {text_sql(chr(10) * 2 + '**Quellen:**' + chr(10))} || s_all AS response FROM r
+UNION ALL SELECT query_id, 'text', summary || {text_sql(chr(10) * 2 + '**Wichtige Details:**' + chr(10))} || bl
+  || coalesce({text_sql(chr(10) + '**Kontakt:**' + chr(10))} || contact_info || chr(10), '') || {text_sql(chr(10) + '**Konfidenz:** ')} || pc || chr(10)
+  || {text_sql(chr(10) + '**Quellen:**' + chr(10))} || s_text || {text_sql(chr(10) + '**Retrieval-Informationen:**' + chr(10) + '- Durchsuchte Dokumente: 30' + chr(10) + '- Verwendete Queries: 1' + chr(10) + '- Durchschnittliche Relevanz: ')}
+  || printf('%.3f', rel) || chr(10) FROM r
+UNION ALL SELECT query_id, 'markdown', {text_sql('# Antwort' + chr(10) * 2)} || summary || {text_sql(chr(10) * 2 + '## Wichtige Details' + chr(10) * 2)} || bl || chr(10)
+  || coalesce({text_sql('## Kontakt' + chr(10) * 2)} || contact_info || chr(10) || chr(10), '') || {text_sql('## Qualitätsbewertung' + chr(10) * 2 + '**Konfidenz:** ')} || pc
+  || {text_sql(chr(10) * 2 + '## Quellen' + chr(10) * 2)} || s_md || {text_sql('## Retrieval-Informationen' + chr(10) * 2 + '- **Durchsuchte Dokumente:** 30' + chr(10) + '- **Verwendete Queries:** 1' + chr(10) + '- **Retrieval-Methode:** bm25')} || CASE WHEN rel < 0.25 THEN '_low_confidence' ELSE '' END
+  || {text_sql(chr(10) + '- **Re-Ranking-Methode:** none' + chr(10) + '- **Durchschnittliche Relevanz:** ')}
+  || printf('%.3f', rel) || chr(10) FROM r""")
 def rendered_answers(spark, sf_dir):
     a = materialize(answers(spark, sf_dir))
-    out = None
-    for fmt in ("structured", "text", "markdown", "json"):
-        one = X.render_answer(a, fmt, show_metadata=True).withColumn("format", F.lit(fmt))
-        out = one if out is None else out.unionByName(one)
-    return out
+    one = [X.render_answer(a, f, show_metadata=True).withColumn("format", F.lit(f)) for f in ("structured", "text", "markdown")]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+@query("rendered_json")
+def rendered_json(spark, sf_dir):
+    return X.render_answer(answers(spark, sf_dir), "json", show_metadata=True)
 
 
 @query("answer_all_questions")

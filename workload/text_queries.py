@@ -258,22 +258,28 @@ def variation_rules(spark, sf_dir):
     return check_variations(q).select("query_id", "form", "violations")
 
 
+def parse_sql(source, keys):
+    """CTEs up to pa(keys, summary, details list, contact_info) from source(keys, t)."""
+    return rf"""
+pl AS (SELECT {keys}, i, {strip_sql('p[i]')} AS s FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split(t, chr(10)) AS p FROM {source}))),
+pm AS (SELECT *, CASE WHEN {contains_any_sql('lower(s)', T.DETAIL_MARKERS)} THEN 'details' WHEN {contains_any_sql('lower(s)', T.CONTACT_MARKERS)} THEN 'contact' END AS mk
+  FROM pl WHERE s <> ''),
+pc AS (SELECT *, coalesce(last_value(mk IGNORE NULLS) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'summary') AS sec,
+  s LIKE '-%' OR s LIKE '•%' OR s LIKE '*%' AS bullet FROM pm),
+pn AS (SELECT *, row_number() OVER (PARTITION BY {keys}, sec, mk IS NULL ORDER BY i) AS k FROM pc),
+pg AS (SELECT {keys}, string_agg(s, ' ' ORDER BY i) FILTER (mk IS NULL AND sec = 'summary' AND k <= 3) AS summary,
+  list(ltrim(s, '-•* ') ORDER BY i) FILTER (mk IS NULL AND sec = 'details' AND bullet) AS details,
+  arg_max(s, i) FILTER (mk IS NULL AND sec = 'contact') AS contact,
+  list(regexp_extract(s, '^[-•*]\s*(.+)$', 1) ORDER BY i) FILTER (regexp_matches(s, '^[-•*]\s*.+$')) AS bullets FROM pn GROUP BY {keys}),
+pa AS (SELECT {keys}, coalesce(summary, nullif(array_to_string(list_transform(list_filter(list_transform(string_split(t, '.')[1:2], lambda x: {strip_sql('x')}),
+  lambda x: x <> ''), lambda x: x || '.'), ' '), ''), substr(t, 1, 200) || '...') AS summary,
+  coalesce(details, bullets, ['{T.NO_DETAILS}']) AS details, contact AS contact_info FROM {source} LEFT JOIN pg USING ({keys}))"""
+
+
 @query("answer_parsing", rf"""
 WITH a AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || {text_sql(chr(10) + 'Wichtige Details:' + chr(10) + '- eins' + chr(10) + '* zwei' + chr(10) + 'Kontakt' + chr(10) + 'mail@example.org')}
     WHEN 1 THEN 'Key facts' || chr(10) || text WHEN 2 THEN replace(text, chr(10), chr(10) || '- ') ELSE text END AS t FROM conversations WHERE role = 'assistant'),
-l AS (SELECT conv_id, turn, i, {strip_sql('p[i]')} AS s FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, string_split(t, chr(10)) AS p FROM a))),
-m AS (SELECT *, CASE WHEN {contains_any_sql('lower(s)', T.DETAIL_MARKERS)} THEN 'details' WHEN {contains_any_sql('lower(s)', T.CONTACT_MARKERS)} THEN 'contact' END AS mk
-  FROM l WHERE s <> ''),
-c AS (SELECT *, coalesce(last_value(mk IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'summary') AS sec,
-  s LIKE '-%' OR s LIKE '•%' OR s LIKE '*%' AS bullet FROM m),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, sec, mk IS NULL ORDER BY i) AS k FROM c),
-g AS (SELECT conv_id, turn, string_agg(s, ' ' ORDER BY i) FILTER (mk IS NULL AND sec = 'summary' AND k <= 3) AS summary,
-  string_agg(ltrim(s, '-•* '), '|' ORDER BY i) FILTER (mk IS NULL AND sec = 'details' AND bullet) AS details,
-  arg_max(s, i) FILTER (mk IS NULL AND sec = 'contact') AS contact,
-  string_agg(regexp_extract(s, '^[-•*]\s*(.+)$', 1), '|' ORDER BY i) FILTER (regexp_matches(s, '^[-•*]\s*.+$')) AS bullets FROM n GROUP BY conv_id, turn)
-SELECT a.conv_id, a.turn, coalesce(summary, nullif(array_to_string(list_transform(list_filter(list_transform(string_split(t, '.')[1:2], lambda x: {strip_sql('x')}),
-  lambda x: x <> ''), lambda x: x || '.'), ' '), ''), substr(t, 1, 200) || '...') AS summary,
-  coalesce(details, bullets, '{T.NO_DETAILS}') AS key_details, contact AS contact_info FROM a LEFT JOIN g USING (conv_id, turn)""")
+{parse_sql('a', 'conv_id, turn')} SELECT conv_id, turn, summary, array_to_string(details, '|') AS key_details, contact_info FROM pa""")
 def answer_parsing(spark, sf_dir):
     """Assistant turns as generated answers: marker lines put between their lines."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
