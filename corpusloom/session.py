@@ -12,12 +12,14 @@ BROADCAST_ROWS = 4096
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder named by the cluster; make one up only where none is set."""
+    """Use the shared folder named by the cluster; make one up only in local mode where none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusloom-ckpt-"))
     return sc.getCheckpointDir()
 
