@@ -63,14 +63,17 @@ def scratch(spark: SparkSession) -> str:
 
 # ---- derived inputs (the same derivation on both sides) -----------------------
 
-DOC_URL = F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("lang"))
+def doc_url():
+    return F.concat(F.lit("https://"), "source", F.lit(".example.org/"), F.col("lang"))
+
+
 DOC_URL_SQL = "'https://' || source || '.example.org/' || lang"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, text, content, url, lang, source."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("chunk_id"), "text", F.col("text").alias("content"), DOC_URL.alias("url"), "lang", "source"
+        F.col("doc_id").alias("chunk_id"), "text", F.col("text").alias("content"), doc_url().alias("url"), "lang", "source"
     )
 
 

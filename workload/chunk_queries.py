@@ -16,7 +16,8 @@ from workload.base import DOC_URL_SQL, documents, query, scratch, strip_sql, tab
 from workload.page_queries import DOCS, markdown_sql, pages
 from workload.text_queries import HEADED, headed, headers_sql
 
-DOC = F.col("text")
+def doc():
+    return F.col("text")
 
 
 def windows_sql(x, max_len, overlap):
@@ -34,7 +35,7 @@ def exploded(df, chunks, key="chunk_id"):
 WITH w AS (SELECT doc_id AS chunk_id, {windows_sql('text', 1500, 150)} AS cs FROM documents)
 SELECT chunk_id, (i - 1)::BIGINT AS chunk_index, cs[i] AS content FROM (SELECT chunk_id, cs, unnest(range(1, len(cs) + 1)) AS i FROM w)""")
 def chunk_windows(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), C.chunk_fixed(DOC, 1500, 150))
+    return exploded(documents(spark, sf_dir), C.chunk_fixed(doc(), 1500, 150))
 
 
 def _level_sql(name, source, marks):
@@ -54,7 +55,7 @@ def header_chunks_sql(source, max_len, overlap):
 
 @query("chunk_headers", f"WITH {HEADED}, {header_chunks_sql('headed', 600, 60)} SELECT * FROM hc")
 def chunk_headers(spark, sf_dir):
-    return exploded(headed(spark, sf_dir), C.chunk_by_headers(DOC, 600, 60))
+    return exploded(headed(spark, sf_dir), C.chunk_by_headers(doc(), 600, 60))
 
 
 @query("sql_chunk_functions", f"""WITH {HEADED}, {header_chunks_sql('headed', 600, 60)} SELECT * FROM hc""")
@@ -134,14 +135,14 @@ SENTENCES = rf"""dd AS (SELECT doc_id AS chunk_id, text FROM documents), {parts_
 
 @query("chunk_sentences", f"WITH RECURSIVE {SENTENCES} SELECT * FROM fl")
 def chunk_sentences(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), C.split_sentences(DOC))
+    return exploded(documents(spark, sf_dir), C.split_sentences(doc()))
 
 
 @query("chunk_overlap", rf"""WITH RECURSIVE {SENTENCES},
 lg AS (SELECT *, right(lag(content) OVER (PARTITION BY chunk_id ORDER BY chunk_index), 150) AS tail FROM fl)
 SELECT chunk_id, chunk_index, CASE WHEN tail IS NULL THEN content ELSE {strip_sql(r"CASE WHEN NOT regexp_matches(tail, '^\s') AND instr(tail, ' ') > 1 THEN substr(tail, instr(tail, ' ') + 1) ELSE tail END || ' ' || content")} END AS content FROM lg""")
 def chunk_overlap(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), C.overlap_chunks(C.split_sentences(DOC)))
+    return exploded(documents(spark, sf_dir), C.overlap_chunks(C.split_sentences(doc())))
 
 
 def sections_sql(source):
@@ -172,7 +173,7 @@ c AS (SELECT chunk_id, text AS rest, NULL::VARCHAR AS piece, -1 AS n FROM d UNIO
 t AS (SELECT chunk_id, n, trim(piece, ' ' || chr(9) || chr(10)) AS content FROM c WHERE n >= 0)
 SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY n) - 1 AS chunk_index, content FROM t WHERE content <> ''""")
 def chunk_characters(spark, sf_dir):
-    return exploded(documents(spark, sf_dir), C.split_chars(DOC, 1000))
+    return exploded(documents(spark, sf_dir), C.split_chars(doc(), 1000))
 
 
 @query("chunk_semantic", rf"""WITH RECURSIVE {PAGE_DOCS},

@@ -14,13 +14,14 @@ from workload.base import (
     DOC_URL_SQL, contains_any_sql, documents, list_sql, query, strip_sql, table, text_sql, words_sql,
 )
 
-DOC = F.col("text")
+def doc():
+    return F.col("text")
 
 
 def headed(spark, sf_dir):
     """Documents with markdown headers put in front of some sentences."""
     d = documents(spark, sf_dir)
-    text = F.replace(F.replace(DOC, F.lit(".\n"), F.lit(".\n## ")), F.lit(", "), F.lit("\n### "))
+    text = F.replace(F.replace(doc(), F.lit(".\n"), F.lit(".\n## ")), F.lit(", "), F.lit("\n### "))
     return d.withColumn("text", F.concat(F.lit("# Doc "), F.col("chunk_id").cast("string"), F.lit("\n"), text))
 
 
@@ -37,7 +38,7 @@ def headers_sql(source, keep):
 @query("section_info", f"""WITH {HEADED}, {headers_sql('headed', 'chunk_id, text')} SELECT chunk_id, headers, length(text) AS char_count,
   len({words_sql('text')}) AS word_count FROM hd""")
 def section_info(spark, sf_dir):
-    return headed(spark, sf_dir).select("chunk_id", T.section_info(DOC).alias("r")).select("chunk_id", "r.*")
+    return headed(spark, sf_dir).select("chunk_id", T.section_info(doc()).alias("r")).select("chunk_id", "r.*")
 
 
 ENTROPY = rf"""
@@ -55,8 +56,8 @@ SELECT doc_id AS chunk_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, fl
   CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS excerpt FROM documents JOIN ent USING (doc_id)""")
 def text_features(spark, sf_dir):
     return documents(spark, sf_dir).select(
-        "chunk_id", T.approx_tokens(DOC).alias("tokens"), T.entropy(DOC).alias("entropy"),
-        T.info_score(DOC).alias("info"), T.excerpt(DOC).alias("excerpt"))
+        "chunk_id", T.approx_tokens(doc()).alias("tokens"), T.entropy(doc()).alias("entropy"),
+        T.info_score(doc()).alias("info"), T.excerpt(doc()).alias("excerpt"))
 
 
 # Boilerplate phrases and stop words mixed into the documents (on both sides).
@@ -67,7 +68,7 @@ PHRASES = ["© 2024 x. All rights reserved", "Cookie: please accept", "Follow us
 def boiler(spark, sf_dir):
     d = documents(spark, sf_dir)
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("chunk_id") % 5 + 1).cast("int"))
-    body = F.when(F.col("chunk_id") % 5 == 3, F.lit("zu lang")).otherwise(DOC)
+    body = F.when(F.col("chunk_id") % 5 == 3, F.lit("zu lang")).otherwise(doc())
     return d.withColumn("text", F.concat_ws(" ", phrase, body))
 
 
@@ -84,7 +85,7 @@ def boilerplate_sql(x):
 
 @query("boilerplate", f"WITH {BOILER} SELECT chunk_id, {boilerplate_sql('text')} AS boilerplate FROM boiler")
 def boilerplate(spark, sf_dir):
-    return boiler(spark, sf_dir).select("chunk_id", T.is_boilerplate(DOC).alias("boilerplate"))
+    return boiler(spark, sf_dir).select("chunk_id", T.is_boilerplate(doc()).alias("boilerplate"))
 
 
 @query("context_quality", rf"""
@@ -101,7 +102,7 @@ def context_quality(spark, sf_dir):
     n = F.col("chunk_id")
     url = F.when(n % 9 == 0, " ").otherwise(F.col("url"))
     score = F.when(n % 4 == 0, -1.0).otherwise((n % 7) / 4)
-    return d.select("chunk_id", T.is_valid_context(DOC, url).alias("valid"), T.quality_score(DOC, url, score).alias("quality"))
+    return d.select("chunk_id", T.is_valid_context(doc(), url).alias("valid"), T.quality_score(doc(), url, score).alias("quality"))
 
 
 # ---- questions: conversation turns behind openers of every kind ----------------
@@ -112,7 +113,7 @@ OPENERS = ["", "Was ist ", "Definition von ", "Unterschied zwischen ", "Wie ", "
 def asked(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     short = F.substring_index("text", " ", 2)
-    forms = [F.concat(F.lit(o), DOC) for o in OPENERS] + [F.concat(F.lit(o), short) for o in OPENERS]
+    forms = [F.concat(F.lit(o), doc()) for o in OPENERS] + [F.concat(F.lit(o), short) for o in OPENERS]
     return c.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.posexplode(F.array(*forms)).alias("form", "text"))
 
@@ -141,14 +142,14 @@ STRATEGY_SQL, COMPLEXITY_SQL = complexity_sql("text")
 @query("question_complexity", f"""WITH {ASKED} SELECT query_id, form, {STRATEGY_SQL} AS strategy,
   round({COMPLEXITY_SQL}, 6) AS score FROM asked""")
 def question_complexity(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", "form", T.complexity(DOC).alias("r")).select("query_id", "form", "r.*")
+    return asked(spark, sf_dir).select("query_id", "form", T.complexity(doc()).alias("r")).select("query_id", "form", "r.*")
 
 
 @query("answer_type", f"""WITH {ASKED} SELECT query_id, form, CASE
   {' '.join(f"WHEN {contains_any_sql('lower(text)', words)} THEN '{kind}'" for kind, words in T.ANSWER_TYPES)}
   ELSE 'informational' END AS answer_type FROM asked""")
 def answer_type(spark, sf_dir):
-    return asked(spark, sf_dir).select("query_id", "form", T.answer_type(DOC).alias("answer_type"))
+    return asked(spark, sf_dir).select("query_id", "form", T.answer_type(doc()).alias("answer_type"))
 
 
 @query("cache_keys", rf"""
@@ -157,8 +158,8 @@ SELECT conv_id, turn, sha256(lower({strip_sql('q')}) || '|' || {strip_sql(r"rege
   md5(lower({strip_sql('q')})) AS query_key FROM x""")
 def cache_keys(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    q = F.concat(F.lit("  "), DOC, F.lit("\n"))
-    ctx = F.concat(DOC, F.lit(" https://a.b/c?d="), F.col("turn").cast("string"), F.lit("   "), F.col("role"))
+    q = F.concat(F.lit("  "), doc(), F.lit("\n"))
+    ctx = F.concat(doc(), F.lit(" https://a.b/c?d="), F.col("turn").cast("string"), F.lit("   "), F.col("role"))
     return c.select("conv_id", "turn", T.cache_key(q, ctx).alias("cache_key"), T.query_key(q).alias("query_key"))
 
 
@@ -166,8 +167,8 @@ def cache_keys(spark, sf_dir):
   md5(text) || '_' || length(text) || '_' || {DOC_URL_SQL} AS text_url_key, substr(text, 1, 100) AS prefix FROM documents""")
 def dedup_keys(spark, sf_dir):
     return documents(spark, sf_dir).select(
-        "chunk_id", T.text_key(DOC).alias("text_key"), T.text_url_key(DOC, F.col("url")).alias("text_url_key"),
-        T.prefix_key(DOC).alias("prefix"))
+        "chunk_id", T.text_key(doc()).alias("text_key"), T.text_url_key(doc(), F.col("url")).alias("text_url_key"),
+        T.prefix_key(doc()).alias("prefix"))
 
 
 @query("truncation", r"""
@@ -180,13 +181,13 @@ SELECT s.doc_id AS chunk_id, CASE WHEN length(text) <= 800 THEN text WHEN coales
 FROM s JOIN k USING (doc_id) JOIN h USING (doc_id)""")
 def truncation(spark, sf_dir):
     return documents(spark, sf_dir).select(
-        "chunk_id", T.truncate_sentences(DOC).alias("sentences"), T.truncate_words(DOC).alias("words"))
+        "chunk_id", T.truncate_sentences(doc()).alias("sentences"), T.truncate_words(doc()).alias("words"))
 
 
 # Wiki marks put into the documents (on both sides).
 def wiki(spark, sf_dir):
     d = documents(spark, sf_dir)
-    marked = F.replace(F.replace(DOC, F.lit(", "), F.lit("[12] [a b], ")), F.lit(".\n"), F.lit(".\n \n → Hauptartikel: x y\nSiehe auch: z\n"))
+    marked = F.replace(F.replace(doc(), F.lit(", "), F.lit("[12] [a b], ")), F.lit(".\n"), F.lit(".\n \n → Hauptartikel: x y\nSiehe auch: z\n"))
     tail = F.when(F.col("chunk_id") % 3 == 0, "\nWeblinks\na\nb").when(F.col("chunk_id") % 3 == 1, "\n  Literatur: c\nd").otherwise(" \nEinzelnachweise\n↑ e")
     return d.withColumn("text", F.concat(F.lit("Datei:Karte.svg) [Bearbeiten | Quelltext bearbeiten] "), marked, tail))
 
@@ -205,7 +206,7 @@ def clean_wiki_sql(x):
 
 @query("wiki_cleanup", f"WITH {WIKI} SELECT chunk_id, {clean_wiki_sql('text')} AS cleaned FROM wiki")
 def wiki_cleanup(spark, sf_dir):
-    return wiki(spark, sf_dir).select("chunk_id", T.clean_wiki(DOC).alias("cleaned"))
+    return wiki(spark, sf_dir).select("chunk_id", T.clean_wiki(doc()).alias("cleaned"))
 
 
 def _prompt_sql(prompt, x):
@@ -218,10 +219,10 @@ SELECT query_id, form, CASE strategy {' '.join(f"WHEN '{k}' THEN {_prompt_sql(v,
   CASE WHEN len({words_sql('text')}) <= 3 AND {contains_any_sql('lower(text)', T.SHORT_HYDE_OPENERS)} THEN {_prompt_sql(T.SHORT_HYDE_PROMPT, 'text')}
     ELSE {_prompt_sql(T.HYDE_PROMPT, 'text')} END AS hyde_prompt FROM s""")
 def prompts(spark, sf_dir):
-    strategy = T.complexity(DOC)["strategy"]
+    strategy = T.complexity(doc())["strategy"]
     return asked(spark, sf_dir).withColumn("strategy", strategy).select(
-        "query_id", "form", T.variation_prompt(DOC, F.col("strategy")).alias("variation_prompt"),
-        T.hyde_prompt(DOC).alias("hyde_prompt"))
+        "query_id", "form", T.variation_prompt(doc(), F.col("strategy")).alias("variation_prompt"),
+        T.hyde_prompt(doc()).alias("hyde_prompt"))
 
 
 def variations(spark, sf_dir):
@@ -248,7 +249,7 @@ SELECT query_id, form, array_to_string(list_filter([CASE WHEN form % 3 + 1 > CAS
   CASE WHEN NOT score BETWEEN CASE strategy WHEN 'simple' THEN 0 WHEN 'moderate' THEN 0.33::DOUBLE ELSE 0.66::DOUBLE END
     AND CASE strategy WHEN 'simple' THEN 0.33::DOUBLE WHEN 'moderate' THEN 0.66::DOUBLE ELSE 1 END THEN 'score' END], lambda x: x IS NOT NULL), '|') AS violations FROM v""")
 def variation_rules(spark, sf_dir):
-    q = asked(spark, sf_dir).withColumn("_c", T.complexity(DOC))
+    q = asked(spark, sf_dir).withColumn("_c", T.complexity(doc()))
     form = F.col("form")
     first = F.when(form % 5 == 0, " ").when(form % 2 == 0, F.concat(F.lit("  "), F.lower("text"))).otherwise("andere Frage")
     second = F.when((form % 2 == 0) & (form % 5 == 0), F.lower("text")).otherwise("zweite Frage")
@@ -285,8 +286,8 @@ def answer_parsing(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     m = F.col("conv_id") % 4
     text = (
-        F.when(m == 0, F.concat(DOC, F.lit("\nWichtige Details:\n- eins\n* zwei\nKontakt\nmail@example.org")))
-        .when(m == 1, F.concat(F.lit("Key facts\n"), DOC)).when(m == 2, F.replace(DOC, F.lit("\n"), F.lit("\n- "))).otherwise(DOC)
+        F.when(m == 0, F.concat(doc(), F.lit("\nWichtige Details:\n- eins\n* zwei\nKontakt\nmail@example.org")))
+        .when(m == 1, F.concat(F.lit("Key facts\n"), doc())).when(m == 2, F.replace(doc(), F.lit("\n"), F.lit("\n- "))).otherwise(doc())
     )
     return c.select("conv_id", "turn", T.parse_answer(text).alias("r")).select("conv_id", "turn", "r.*")
 
