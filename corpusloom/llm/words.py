@@ -23,7 +23,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(64, np.uint64)
+_powers = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
