@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, lines, mixing, ngram_join, toxicity
+from corpusloom.llm.common import pack
 from corpusloom.session import ensure_checkpoint_dir, fits_broadcast
 
 #: No SQL: the learned grammar, patience alignment and string tiling are tested against brute force instead.
@@ -25,18 +26,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar doesn't predict to be toxic; empty texts and rows without an id stay."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model)
-    return scored.where("predicted = 0").withColumnRenamed("_text", "text").select(docs.columns)
+    whole = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return toxicity.score(whole, model).where("predicted = 0").select("_row.*")
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that an earlier document has; a document that loses all of its lines goes."""
-    cut = lines.dedup_lines(docs)
+    cut = lines.dedup_lines(pack(docs, "doc_id", "text"))
     touched = F.col("n_removed") > 0
-    kept = cut.where(~touched | (F.btrim("text", F.lit(" \n\t\r\x0b\x0c")) != "") | F.col("text").isNull())
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return kept.select(docs.columns)
+    kept = cut.where(~touched | (F.btrim("text", F.lit(" \n\t\r\x0b\x0c")) != ""))
+
+    def column(c):
+        own = F.col(f"`{c}`") if c in ("doc_id", "text") else F.col("_rest").getField(c)
+        size = F.when(touched, F.length("text").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+        return size.alias(c)
+
+    return kept.select(*[column(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +49,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = ngram_join.ngram_join(docs)
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     copies = F.broadcast(copies) if fits_broadcast(copies, ngram_join.ID_ROWS) else copies
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(copies, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold a benchmark item."""
-    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(docs.columns)
+    return decontaminate.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.session import ensure_checkpoint_dir
@@ -20,6 +20,17 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return back
 
 
+def pack(df: DataFrame, *keep: str) -> DataFrame:
+    """The columns named, and all others in the struct `_rest`, so that no name of theirs meets one of an operator."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keep] or [F.lit(0).alias("none")]
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.struct(*rest).alias("_rest"))
+
+
+def unpacked(columns: list[str], *keep: str) -> list[Column]:
+    """The given columns of a packed frame, in their order."""
+    return [F.col(f"`{c}`") if c in keep else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for undirected edges (a, b): the smallest node reachable.
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import pack, unpacked
 from corpusloom.llm.words import sequences, text_words, word_blocks
 from corpusloom.session import with_position
 
@@ -155,6 +156,8 @@ def contaminated(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage
 
 def decontaminate(docs: DataFrame, items: DataFrame, match: int = MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that hold no item; rows without a doc_id are told by their own text, too."""
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id")))
+    packed = pack(docs, "doc_id", "text")
+    keyed = packed.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")), F.col("doc_id")))
     bad = contaminated(keyed.select(F.col("_row").alias("doc_id"), "text"), items, match, coverage)
-    return keyed.join(bad.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+    left = keyed.join(bad.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti")
+    return left.select(*unpacked(docs.columns, "doc_id", "text"))

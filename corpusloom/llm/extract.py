@@ -18,8 +18,9 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import pack, saved, unpacked
 from corpusloom.session import fits_broadcast
 
 SUPPORT = 0.5  # share of a host's pages that a valid class needs
@@ -165,18 +166,19 @@ def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAG
     found = templates(pages.select(host.alias("host"), "html", F.xxhash64("url", "html").alias("page")), support, min_pages)
     strings = saved(found.where("is_text").select("host", "token"))
     names = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
-    asked = pages.select(*[f"`{c}`" for c in names], host.alias("_host"), F.coalesce("html", F.lit("")).alias("_html"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*[f"`{c}`" for c in names]).schema.fields)
+    packed = pack(pages.select("url", "html", *[f"`{c}`" for c in names if c != "url"]), "url", "html")
+    asked = packed.select("url", "_rest", host.alias("_host"), F.coalesce("html", F.lit("")).alias("_html"))
+    schema = T.StructType([*asked.select("url", "_rest").schema.fields, T.StructField("text", T.StringType())])
 
     template = strings.groupBy("host").agg(F.collect_list("token").alias("_own")).withColumnRenamed("host", "_host")
     template = F.broadcast(template) if fits_broadcast(strings, TEMPLATE_ROWS) else template
-    joined = asked.join(template, "_host", "left").select(*[f"`{c}`" for c in names], "_host", "_html", "_own")
+    joined = asked.join(template, "_host", "left").select("url", "_rest", "_host", "_html", "_own")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, frozenset()
         for batch in batches:
             texts = []
-            hosts, htmls, owns = (batch.column(len(names) + k) for k in range(3))
+            hosts, htmls, owns = (batch.column(k) for k in (2, 3, 4))
             for host, html, tokens in zip(hosts, htmls, owns):
                 if host != last:
                     last, own = host, frozenset(tokens.as_py() or ())
@@ -187,7 +189,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAG
                 if 2 * sum(len(x[1]) for x in left) < sum(len(x[1]) for x in kept):
                     left = kept
                 texts.append("\n".join(x[1] for x in left))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], pa.array(texts, pa.string())], [*names, "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["url", "_rest", "text"])
 
-    out = joined.mapInArrow(written, fields + ("," if fields else "") + " text string")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    out = joined.mapInArrow(written, schema)
+    return out.select(*unpacked(names, "url"), "text", F.length("text").cast("long").alias("n_chars"))

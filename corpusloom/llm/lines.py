@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import pack, saved, unpacked
 from corpusloom.session import fits_broadcast
 
 RARE = 50  # a line in at most so many documents pairs all its holders with the first one
@@ -140,7 +140,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -
     """
     facts, gone = find_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rare, min_words)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = docs.select(*[f"`{c}`" for c in names])
+    out = pack(docs.select(*[f"`{c}`" for c in names]), "doc_id", "text")
     hit = saved(facts.where("copy").select("doc_id", "digest", F.lit(None).cast("array<int>").alias("gone")).distinct().unionByName(gone))
     small = fits_broadcast(hit, ID_ROWS)
     keys = hit.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("gone").alias("_gone"), F.lit(True).alias("_hit"))
@@ -153,8 +153,9 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -
         keys, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left")
     lines = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0)).cast("long")
     whole = F.col("_hit").isNotNull() & F.col("_gone").isNull()
+    cut = F.when(F.col("_hit").isNull(), F.col("text")).when(whole, F.lit("")).otherwise(F.array_join(kept, "\n"))
     touched = touched.select(
-        *[f"`{c}`" if c != "text" else F.when(F.col("_hit").isNull(), F.col("text")).when(whole, F.lit("")).otherwise(F.array_join(kept, "\n")).alias("text") for c in names],
-        lines.alias("n_lines"),
+        "doc_id", cut.alias("text"), "_rest", lines.alias("n_lines"),
         F.when(F.col("_hit").isNull(), 0).when(whole, lines).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
-    return other.select(*[f"`{c}`" for c in names], lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).unionByName(touched)
+    whole_texts = other.select("doc_id", "text", "_rest", lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    return whole_texts.unionByName(touched).select(*unpacked(names, "doc_id", "text"), "n_lines", "n_removed")

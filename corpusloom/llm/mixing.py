@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import pack, saved, unpacked
 from corpusloom.session import broadcast_if_small, with_position
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,24 +54,28 @@ def draw(seed: str, key: Column) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix",
+        size: str | None = None) -> DataFrame:
     """docs with `_size`, `_source_size`, `_target` and `_copies` (how often the mix emits the row).
 
     Null texts have size 0, as have empty ones: they are given the same copies and take no words. A null source is a
-    source of its own, the last. Sizes that docs has in `_size` already are used. Rows with the same key share their draw (rows with a null key are told apart by a
+    source of its own, the last. `size` names a column that has the sizes already. Rows with the same key share their draw (rows with a null key are told apart by a
     hash of their text). An empty table gives an empty table; other columns pass through.
     """
-    sized = docs if "_size" in docs.columns else docs.withColumn("_size", word_count(F.col("text")))
+    names = [c for c in docs.columns if c not in ("_size", "_source_size", "_target", "_copies")]
+    measured = word_count(F.col("text")) if size is None else F.col(size).cast("long")
+    sized = pack(docs.select("*", measured.alias("_measured")), "_measured").select(
+        "_rest", F.col("_measured").alias("_size"), F.col(f"_rest.{key}").alias("_key"), F.col("_rest.source").alias("source"),
+        (F.col("_rest.text") if "text" in docs.columns else F.col("_measured").cast("string")).alias("_text"))
     targets = source_targets(sized.select("source", F.col("_size").alias("size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     t = targets.select(
         F.col("source").alias("_of"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), rate.alias("_rate"))
     whole = F.floor("_rate").cast("long")
-    other = F.md5(F.coalesce("text", F.lit(""))) if "text" in docs.columns else F.col("_size").cast("string")
-    who = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("no key "), other))
+    who = F.coalesce(F.col("_key").cast("string"), F.concat(F.lit("no key "), F.md5(F.coalesce("_text", F.lit("")))))
     extra = (draw(seed, who) < F.col("_rate") - whole).cast("long")
     out = sized.join(broadcast_if_small(t), F.col("source").eqNullSafe(F.col("_of")))
-    return out.withColumn("_copies", whole + extra).drop("_of", "_rate")
+    return out.select(*unpacked(names), "_size", "_source_size", "_target", (whole + extra).alias("_copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
     least = -(-n * percent // 100)  # tokens that a partner shares at least
     # candidates of a token beyond what unrelated shingles put into its counter
     extra = np.maximum(df[order].astype(float) - 1.5 * usual, 0.0)
-    cost = np.cumsum(1.0 + extra)
+    cost = np.cumsum(extra)
     options = range(1, min(MOST_MATCHES, least) + 1)
     best = min(options, key=lambda l: cost[n - least + l - 1] / l + (n - least + l))
     return best, h[order[:n - least + best]]

@@ -113,8 +113,8 @@ FROM r"""
 @query("op8_mix_sources", MIX_SQL)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("_size"))
-    mixed = mixing.mix(mixing.saved(docs))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
+    mixed = mixing.mix(mixing.saved(docs), size="n")
     return mixed.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.round("_target", 6).alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))

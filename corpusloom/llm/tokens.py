@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.common import pack, unpacked
+
 CHUNK = 1 << 16  # characters of a chunk
 MEMO = 600_000  # transitions kept per machine; beyond that the table is started anew
 
@@ -225,15 +227,14 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 51
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an empty table stays empty.
     """
     names = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    rest = [f for f in docs.schema.fields if f.name in names]
-    schema = T.StructType([*rest, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+    packed = pack(docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text")), "_text")
+    schema = T.StructType([packed.schema["_rest"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = loaded(path)
         for batch in batches:
-            column = batch.column(len(names))
-            counts = pa.array([machine.count(t.as_py() or "") for t in column], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], batch.column(len(names) + 1), counts], [*names, "n_bytes", "n_tokens"])
+            counts = pa.array([machine.count(t.as_py() or "") for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], ["_rest", "n_bytes", "n_tokens"])
 
-    asked = docs.select(*[f"`{c}`" for c in names], F.col(text).alias("_text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return asked.mapInArrow(counted, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    asked = packed.select("_rest", "_text", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return asked.mapInArrow(counted, schema).select(*unpacked(names), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

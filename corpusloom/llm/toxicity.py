@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import saved
+from corpusloom.llm.common import pack, saved, unpacked
 
 MAX_ROWS = 24_000  # labelled rows that training reads at most
 MAX_ENTRIES = 2_000  # lexicon entries kept, best first: the size of the model that tasks receive
@@ -240,5 +240,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataF
     Null and empty texts get the score of a text without matches; repeated rows are scored alike; columns named
     score or predicted are replaced and other columns pass through.
     """
-    keep = [c for c in docs.columns if c not in ("text", "score", "predicted")]
-    return _feature_rows(docs, keep, *model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    names = [c for c in docs.columns if c not in ("text", "score", "predicted")]
+    packed = pack(docs.select("text", *[f"`{c}`" for c in names]), "text")
+    scored = _feature_rows(packed, ["_rest"], *model)
+    return scored.select(*unpacked(names), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
