@@ -56,6 +56,25 @@ def chunk_by_headers(c: Column, max_len: int = 1500, overlap: int = 150) -> Colu
     )
 
 
+def _sized(parts: Column) -> Column:
+    """No part is lost: short ones join the next (the last one the one before), long ones are cut into windows."""
+    def step(done: Column, part: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = F.when(F.size(done) > 0, F.length(last) < SMALLEST).otherwise(False)
+        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(joins, F.concat(head, F.array(F.concat(last, F.lit("\n"), part)))).otherwise(F.concat(done, F.array(part)))
+
+    def tail(done: Column) -> Column:
+        n, last = F.size(done), F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(n - 2, F.lit(0))),
+                          F.array(F.concat(F.try_element_at(done, F.lit(-2)), F.lit("\n"), last)))
+        return F.when((n > 1) & (F.length(last) < SMALLEST), joined).otherwise(done)
+
+    merged = let(F.aggregate(parts, F.array().cast(_NONE), step), tail)
+    return F.flatten(F.transform(
+        merged, lambda p: F.when(F.length(p) > LARGEST, chunk_fixed(p, LARGEST, 0)).otherwise(F.array(p))))
+
+
 def _sections_by(c: Column, pattern: str) -> Column:
     """Sections for one header pattern.
 
@@ -68,8 +87,9 @@ def _sections_by(c: Column, pattern: str) -> Column:
         n = F.size(heads)
         tail = F.concat(F.get(gaps, n - 1), F.get(heads, n - 1), F.get(gaps, n))
         texts = F.concat(F.slice(gaps, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(tail))
-        kept = F.filter(F.transform(texts, strip), lambda t: F.length(t).between(SMALLEST, LARGEST))
-        return F.when(n >= 2, kept).otherwise(F.array().cast(_NONE))
+        kept = _drop_empty(F.transform(texts, strip))
+        usable = F.exists(kept, lambda t: F.length(t).between(SMALLEST, LARGEST))
+        return F.when((n >= 2) & usable, _sized(kept)).otherwise(F.array().cast(_NONE))
 
     return let(
         F.regexp_extract_all(c, F.lit(pattern), 0),

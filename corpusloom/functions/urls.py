@@ -231,10 +231,14 @@ def site_type(url: Column, title: Column, h1: Column) -> Column:
 
 
 def sanitize_name(name: Column) -> Column:
-    """Collection name: lower case, hyphens for separators, 60 characters, no outer hyphens."""
+    """Collection name: lower case, hyphens for separators, 60 characters, no outer hyphens.
+
+    A longer name ends in a hash of the whole, so that two of them stay apart.
+    """
     n = F.regexp_replace(F.lower(name), r"[\s_.]+", "-")
     n = F.regexp_replace(n, r"[^a-z0-9-]", "")
-    n = F.btrim(F.substring(n, 1, 60), F.lit("-"))
+    short = F.concat(F.substring(n, 1, 51), F.lit("-"), F.substring(F.md5(n), 1, 8))
+    n = F.btrim(F.when(F.length(n) > 60, short).otherwise(n), F.lit("-"))
     n = F.when(F.length(n) < 3, F.concat(n, F.lit("-kb"))).otherwise(n)
     return F.when(F.coalesce(name, F.lit("")) == "", "default-collection").otherwise(n)
 

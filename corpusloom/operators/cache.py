@@ -64,12 +64,14 @@ def retain(log: DataFrame, now, hours: int = 24) -> DataFrame:
 def export_transcripts(messages: DataFrame, part_size: int = 10_000) -> DataFrame:
     """Markdown text of each conversation: conv_id, part, transcript.
 
-    Normal chats are one part; a conversation without end continues in further
-    parts of part_size turns, so no row or task has to hold it whole.
+    A conversation of more than part_size messages continues in further parts, by
+    the number of the message in turn order, so no row has to hold it whole.
     """
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1
     who = F.when(F.col("role") == "user", "**Du**").otherwise("**Assistant**")
     entry = F.concat(who, F.lit(":\n"), F.col("text"), F.lit("\n\n---\n\n"))
-    return messages.groupBy("conv_id", F.floor(F.col("turn") / part_size).alias("part")).agg(
+    parts = messages.withColumn("part", F.floor(number / part_size))
+    return parts.groupBy("conv_id", "part").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda s: s["e"]), ""
         ).alias("transcript")

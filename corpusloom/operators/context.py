@@ -35,7 +35,6 @@ NO_INFORMATION = "❌ Keine relevanten Informationen gefunden."
 NO_USABLE = "❌ Keine verwertbaren Informationen nach der Bereinigung gefunden."
 ERROR_TEXT = "Es tut mir leid, aber ich konnte Ihre Anfrage nicht verarbeiten: "
 CONFIDENCE_WEIGHTS = {"relevance": 0.4, "quality": 0.2, "diversity": 0.15, "method": 0.15, "cache": 0.1}
-MAX_SOURCES = 10
 SOURCES_SHOWN = 5
 LOW_CONFIDENCE = 0.25
 # ------------------------------------------------------------------------------
@@ -207,13 +206,14 @@ def score_bands(hits: DataFrame) -> DataFrame:
     )
 
 
-def source_refs(hits: DataFrame) -> DataFrame:
-    """First ten hits of each query as an array of sources in rank order."""
+def source_refs(hits: DataFrame, most: int | None = None) -> DataFrame:
+    """The hits of each query (the first `most`, if given) as an array of sources in rank order."""
     refs = F.struct(
         F.col("rank").alias("citation_number"), "url", F.col("score").alias("relevance_score"),
         excerpt(F.col("content")).alias("excerpt"),
     )
-    return hits.filter(F.col("rank") <= MAX_SOURCES).groupBy("query_id").agg(
+    cited = hits if most is None else hits.filter(F.col("rank") <= most)
+    return cited.groupBy("query_id").agg(
         F.sort_array(F.collect_list(refs)).alias("sources")
     )
 

@@ -56,6 +56,8 @@ def crawl_bfs(
             break
         visited = level if visited is None else visited.unionByName(level)
         frontier = level.filter("success").join(edges, "url").select("crawl_id", F.col("link").alias("url"))
+    if visited is None:
+        return frontier.limit(0).select("crawl_id", "url", F.lit(0).alias("depth"), F.lit(False).alias("success"))
     return visited
 
 

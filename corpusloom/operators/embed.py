@@ -57,20 +57,41 @@ def with_embedding(df: DataFrame, text: str, model: Callable | None = None, batc
 
 
 def with_generated(
-    df: DataFrame, prompt: str, out: str, fallback: str, generate: Callable[[pd.Series], pd.Series] | None = None
+    df: DataFrame, prompt: str, out: str, fallback: str, generate: Callable[[pd.Series], pd.Series] | None = None,
+    error: str | None = None,
 ) -> DataFrame:
-    """Add generated text; a missing generator or an empty answer falls back to another column."""
+    """Add generated text; a missing generator, a failed call or an empty answer falls back to another column.
+
+    `error` names a column for the message of a failed call (see `gate_errors`).
+    """
     if generate is None:
-        return df.withColumn(out, F.col(fallback))
+        plain = df.withColumn(out, F.col(fallback))
+        return plain if error is None else plain.withColumn(error, F.lit(None).cast("string"))
 
-    @F.pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
+    @F.pandas_udf("text string, error string")
+    def run(prompts: pd.Series) -> pd.DataFrame:
         try:
-            return generate(prompts)
-        except Exception:  # the model failed for the batch: every row takes its fallback
-            return pd.Series([None] * len(prompts), dtype=object)
+            return pd.DataFrame({"text": list(generate(prompts)), "error": None}, dtype=object)
+        except Exception as e:  # the model failed for the batch: every row takes its fallback and keeps the message
+            return pd.DataFrame({"text": None, "error": f"{type(e).__name__}: {e}"}, index=range(len(prompts)), dtype=object)
+
+    done = df.withColumn("_run", run(F.col(prompt)))
+    done = done.withColumn(out, F.coalesce(F.nullif(F.col("_run.text"), F.lit("")), F.col(fallback)))
+    return (done if error is None else done.withColumn(error, F.col("_run.error"))).drop("_run")
+
+
+def gate_errors(df: DataFrame, error: str, max_failed: float = 0.5) -> DataFrame:
+    """The rows as they are, or a failed job when more than the given share of them has an error."""
+    total, failed, first = df.agg(F.count("*"), F.count(error), F.first(error, ignorenulls=True)).first()
+    if total and failed / total > max_failed:
+        raise ValueError(f"{failed} of {total} calls failed, one with {first}")
+    return df
+
 
-    return df.withColumn(out, F.coalesce(F.nullif(run(F.col(prompt)), F.lit("")), F.col(fallback)))
+def with_rerank(hits: DataFrame, model: Callable[[pd.Series, pd.Series], pd.Series], out: str = "rerank_score") -> DataFrame:
+    """Add the score that a rerank model gives to (question, content), a batch at a time."""
+    score = F.pandas_udf(model, "double")
+    return hits.withColumn(out, score(F.col("question"), F.col("content")))
 
 
 def map_items(df: DataFrame, item: str, fn: Callable[[str], str]) -> DataFrame:

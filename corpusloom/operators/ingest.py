@@ -16,7 +16,6 @@ from corpusloom.session import materialize, with_position
 # ---- fixed values -----------------------------------------------------------
 TOKEN_BUDGET = 12000
 MEMORY_WARN_MB, MEMORY_FAIL_MB = 800.0, 1200.0
-AUTO_CHUNK_LIMIT = 5000
 MAX_FAILED_SHARE = 0.5
 # ------------------------------------------------------------------------------
 
@@ -114,26 +113,15 @@ def memory_estimate(chunks: DataFrame, text: str = "content") -> DataFrame:
     return out.withColumn("level", level)
 
 
-def reduction_target(chunks: DataFrame, max_chunks: int | None, text: str = "content") -> int | None:
-    """How many chunks to keep: the caller's cap, else the memory share, else the count limit; None keeps all."""
-    n, mb, _ = memory_estimate(chunks, text).first()
-    if max_chunks and n > max_chunks:
-        return max_chunks
-    if mb > MEMORY_WARN_MB:
-        return int(MEMORY_WARN_MB * n / mb)
-    return AUTO_CHUNK_LIMIT if n > AUTO_CHUNK_LIMIT else None
-
-
 def reduce_chunks(
     chunks: DataFrame, order: str, max_chunks: int | None = None, text: str = "content"
 ) -> DataFrame:
-    """The most informative chunks (ties: the later row), as many as the target allows."""
-    target = reduction_target(chunks, max_chunks, text)
-    if target is None:
+    """The max_chunks most informative chunks (ties: the later row); all of them where no number is asked for."""
+    if max_chunks is None:
         return chunks
     scored = chunks.select(F.col(order), info_score(F.col(text)).alias("_score"))
     placed = with_position(scored, [F.col("_score").desc(), F.col(order).desc()])
-    return chunks.join(placed.filter(F.col("position") < target).select(order), order, "left_semi")
+    return chunks.join(placed.filter(F.col("position") < max_chunks).select(order), order, "left_semi")
 
 
 def ingest_summary(pages: DataFrame, chunks: DataFrame, seconds: float) -> DataFrame:
@@ -155,7 +143,7 @@ def ingest_summary(pages: DataFrame, chunks: DataFrame, seconds: float) -> DataF
 def pack_batches(
     texts: DataFrame, group: str, order: str, text: str = "content", budget: int = TOKEN_BUDGET
 ) -> DataFrame:
-    """Greedy token-budget batches in order, per group; texts above the budget are left out.
+    """Greedy token-budget batches in unique order, per group; a text above the budget is a batch of its own, flagged `oversized`.
 
     Greedy filling is sequential, but its whole state at a cut is one number: the
     tokens of the open batch. The ordered rows are range partitioned (a large group
@@ -163,10 +151,10 @@ def pack_batches(
     closed, carry out)", the tiny summaries are chained, and every segment then
     numbers its rows from its own carry. No group is ever gathered in one task.
     """
-    counted = texts.select(group, order, approx_tokens(F.col(text)).alias("tokens"))
+    size = approx_tokens(F.col(text))
+    counted = texts.select(group, order, size.alias("size"), F.least(size, F.lit(budget)).alias("tokens"))
     rows = materialize(
         materialize(counted)  # narrow; range partitioning reads it twice
-        .filter(F.col("tokens") <= budget)
         .repartitionByRange(group, order)
         .withColumn("_seg", F.spark_partition_id())
     )
@@ -177,7 +165,7 @@ def pack_batches(
         return sums, np.searchsorted(sums, sums[:-1] + budget, side="right") - 1
 
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sums, close = jumps(pdf.sort_values(order)["tokens"].to_numpy())
+        sums, close = jumps(pdf.sort_values(order, kind="stable")["tokens"].to_numpy())
         n = len(close)
         closed, used = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
         for i in range(n - 1, -1, -1):  # batches closed after row i, and what the last one holds
@@ -216,7 +204,7 @@ def pack_batches(
     starts = summary.groupBy("g").applyInPandas(chain, f"g {g_type}, _seg int, carry long, base long")
 
     def number(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(order)
+        left = left.sort_values(order, kind="stable")
         sums, close = jumps(left["tokens"].to_numpy())
         carry, batch = int(right["carry"].iloc[0]), int(right["base"].iloc[0])
         numbers = np.empty(len(close), dtype=np.int64)
@@ -226,10 +214,11 @@ def pack_batches(
             start, batch = end, batch + 1
             end = int(close[start]) if start < len(close) else start
         left["batch_no"] = numbers
-        return left[[group, order, "tokens", "batch_no"]]
+        return left[[group, order, "size", "batch_no"]].rename(columns={"size": "tokens"})
 
     return (
         rows.groupBy(group, "_seg")
         .cogroup(starts.withColumnRenamed("g", group).groupBy(group, "_seg"))
         .applyInPandas(number, f"{group} {g_type}, {order} {o_type}, tokens long, batch_no long")
+        .withColumn("oversized", F.col("tokens") > budget)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import netloc, scheme
+from corpusloom.session import top_k
 
 # ---- fixed values -----------------------------------------------------------
 MAX_SITEMAP_URLS = 50000
@@ -25,10 +26,14 @@ def collection_stats(chunks: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def check_integrity(expected: DataFrame, actual: DataFrame, key: str = "collection") -> DataFrame:
-    """Expected and actual row counts per collection; accepted only when equal (and so at least 95 %)."""
+    """Expected and actual row counts per collection; accepted only when equal (and so at least 95 %).
+
+    A collection that received rows nobody expected is listed with 0 expected ones.
+    """
     e = expected.groupBy(key).agg(F.count("*").alias("expected"))
     a = actual.groupBy(key).agg(F.count("*").alias("actual"))
-    out = e.join(a, key, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    zero = F.lit(0).cast("long")
+    out = e.join(a, key, "full").select(key, F.coalesce("expected", zero).alias("expected"), F.coalesce("actual", zero).alias("actual"))
     share = ratio(F.col("actual"), F.col("expected"))
     return out.select(
         key, "expected", "actual",
@@ -38,24 +43,34 @@ def check_integrity(expected: DataFrame, actual: DataFrame, key: str = "collecti
     )
 
 
+def mismatch_samples(expected: DataFrame, actual: DataFrame, id_col: str, key: str = "collection", rows: int = 5) -> DataFrame:
+    """Up to `rows` ids per collection that only one side has: collection, id, side (missing or unexpected)."""
+    e, a = expected.select(key, id_col), actual.select(key, id_col)
+    missing = e.join(a, [key, id_col], "left_anti").withColumn("side", F.lit("missing"))
+    found = missing.unionByName(a.join(e, [key, id_col], "left_anti").withColumn("side", F.lit("unexpected")))
+    return top_k(found, [key, "side"], [F.col(id_col)], rows, "_n").drop("_n")
+
+
 def check_dims(chunks: DataFrame, batch: DataFrame, key: str = "collection") -> DataFrame:
     """Vector-width compatibility of each collection with the new vectors meant for it."""
     width = F.size("embedding")
     have = chunks.groupBy(key).agg(
-        F.count("*").alias("collection_count"), F.max(width).alias("expected_dimension")
+        F.count("*").alias("collection_count"), F.max(width).alias("expected_dimension"), F.min(width).alias("_least")
     )
-    new = batch.groupBy(key).agg(F.max(width).alias("test_dimension"))
+    new = batch.groupBy(key).agg(F.max(width).alias("test_dimension"), F.min(width).alias("_new_least"))
     out = new.join(have, key, "left").withColumn("collection_count", F.coalesce("collection_count", F.lit(0)))
     want, got = F.col("expected_dimension"), F.col("test_dimension")
+    mixed = (F.col("_least") != want) | (F.col("_new_least") != got)
     reason = (
-        F.when(F.col("collection_count") == 0, "Empty collection, no dimension constraints")
+        F.when(F.coalesce(mixed, F.lit(False)), "Vectors of several widths")
+        .when(F.col("collection_count") == 0, "Empty collection, no dimension constraints")
         .when(want.isNull(), "No embeddings in collection")
         .when(got.isNull(), "No test embedding provided")
         .otherwise(F.concat(F.lit("Existing: "), want.cast("string"), F.lit("D, Test: "), got.cast("string"), F.lit("D")))
     )
     return out.select(
         key, "collection_count", "expected_dimension", "test_dimension",
-        F.coalesce(want == got, F.lit(True)).alias("compatible"), reason.alias("reason"),
+        (F.coalesce(want == got, F.lit(True)) & ~F.coalesce(mixed, F.lit(False))).alias("compatible"), reason.alias("reason"),
     )
 
 

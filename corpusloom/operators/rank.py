@@ -51,13 +51,14 @@ def adaptive_select(hits: DataFrame, n: int) -> DataFrame:
     return pool.filter((F.col("good") < n) | (F.col("score") >= F.col("threshold")))
 
 
-def progressive_k(hits: DataFrame, n: int) -> DataFrame:
-    """Candidate pool by strategy: max(50, n * 3/5/8) per query, at most 200."""
+def progressive_k(hits: DataFrame, n: int, most: int = 200) -> DataFrame:
+    """Candidate pool by strategy: max(50, n * 3/5/8) per query, at most `most` but never fewer than n."""
+    most = max(most, n)
     factor = F
     for strategy, m in POOL_MULTIPLIER.items():
         factor = factor.when(F.col("strategy") == strategy, m)
-    size = F.least(F.greatest(F.lit(50), factor.otherwise(5) * n), F.lit(200))
-    ranked = top_k(hits.withColumnRenamed("rank", "_prior"), ["query_id"], [F.col("_prior")], 200)
+    size = F.least(F.greatest(F.lit(50), factor.otherwise(5) * n), F.lit(most))
+    ranked = top_k(hits.withColumnRenamed("rank", "_prior"), ["query_id"], [F.col("_prior")], most)
     return ranked.filter(F.col("rank") <= size).drop("_prior")
 
 

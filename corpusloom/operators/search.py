@@ -22,7 +22,7 @@ SCORE_DIGITS = 6  # scores are compared at this precision, ties by id
 # ------------------------------------------------------------------------------
 
 CELLS = 4_000_000  # scores computed at a time inside a task
-TERM_ROWS = 200_000  # (query, term) pairs that may be broadcast
+TERM_ROWS = 2_000_000  # (query, term) pairs that may be broadcast (about 30 MB): questions beyond them are searched in blocks
 HIT_ROWS = 50_000  # hits (ids and scores) that may be broadcast
 SLICE_ROWS = 50_000  # rows of one block of a block-by-block join
 
@@ -110,9 +110,22 @@ def _rank_hits(candidates: DataFrame, k: int, method: str) -> DataFrame:
     return hits.withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS)).withColumn("method", F.lit(method))
 
 
+def _sliced_best(queries: DataFrame, chunks: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Top-k of every query block in every chunk slice; a repeated query id is spread by its vector."""
+    m = max(1, -(-queries.count() * 2 // block_rows))
+    n = max(1, -(-chunks.count() // SLICE_ROWS))
+    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(m)).cast("int"))
+    left = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    right = chunks.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int"))
+    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return _block_best(left, right, ["_s", "_q"], k)
+
+
 def _in_blocks(queries: DataFrame, blocks: int, depth: int, run) -> DataFrame:
     """Run one search per block of queries and unite the hits (a few rows per query, written once per block)."""
     queries = materialize(queries)
+    if depth > 3:
+        raise ValueError("one query_id has more rows than a block may hold")
     out = None
     for i in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(blocks)) == i)
@@ -122,21 +135,21 @@ def _in_blocks(queries: DataFrame, blocks: int, depth: int, run) -> DataFrame:
 
 
 def knn(
-    queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS, _depth: int = 0
+    queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Exact cosine top-k of every query: query_id, chunk_id, score, rank, distance, method.
 
     The query vectors (a set of checked size) go to every task; each task scores its
     own chunks against all of them as one matrix product and emits k rows per query.
-    The chunk table is never shuffled and no (query, chunk) pair leaves its task. A
-    larger query set is searched block by block, one scan of the chunks each.
+    The chunk table is never shuffled and no (query, chunk) pair leaves its task. For a
+    larger query set every block of queries meets every slice of the chunks, all in one
+    pass over both tables.
     """
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     chunks = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
     small = queries.limit(max_broadcast + 1).toArrow()
     if small.num_rows > max_broadcast:
-        blocks = -(-queries.count() * 2 // max_broadcast)
-        return _in_blocks(queries, blocks, _depth, lambda q: knn(q, chunks, k, max_broadcast, _depth + 1))
+        return _rank_hits(_sliced_best(queries, chunks, k, max_broadcast), k, "knn")
     if small.num_rows == 0:
         return _rank_hits(queries.sparkSession.createDataFrame([], _hit_schema(queries, chunks)), k, "knn")
     q = queries.sparkSession.sparkContext.broadcast(
@@ -147,11 +160,15 @@ def knn(
 
     def score(batches):
         q_ids, q_unit = q.value
+        best = _Best(q_ids, k)  # of the whole task: k rows a query leave it, however many batches it reads
+        step = max(1, CELLS // len(q_ids))
         for batch in batches:
             if batch.num_rows:
                 unit = _unit(_matrix(batch.column("embedding"), batch.num_rows))
                 ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                yield _emit(_best_cosine(q_ids, q_unit, ids, unit, k), arrow_schema)
+                for at in range(0, len(ids), step):
+                    best.add(ids[at : at + step], q_unit @ unit[at : at + step].T)
+        yield _emit(best.frame(), arrow_schema)
 
     return _rank_hits(chunks.mapInArrow(score, schema), k, "knn")
 
@@ -264,16 +281,16 @@ def bm25(
 
     def score(batches):
         q_ids, *index = shared.value
+        best = _Best(q_ids, k)  # of the whole task
+        step = max(1, CELLS // max(1, len(q_ids)))
         for batch in batches:
             if not batch.num_rows or not q_ids:
                 continue
-            best = _Best(q_ids, k)
-            step = max(1, CELLS // len(q_ids))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 raw = _lexical_scores(part.column("_terms"), len(q_ids), k1, b, *index)
                 best.add(part.column("chunk_id").to_numpy(zero_copy_only=False), raw)
-            yield _emit(best.frame(), arrow_schema)
+        yield _emit(best.frame(), arrow_schema)
 
     return _ranked_lexical(tokens.mapInArrow(score, schema), k)
 
@@ -389,9 +406,9 @@ def merge_variations(hits: DataFrame) -> DataFrame:
     return first.withColumn("merged_rank", F.row_number().over(w)).withColumnRenamed("_copies", "copies")
 
 
-def dedup_prefix(hits: DataFrame) -> DataFrame:
-    """First copy, by (variation, rank), of the texts of a query that share their first 100 characters."""
-    keyed = hits.withColumn("prefix", prefix_key(F.col("content")))
+def dedup_prefix(hits: DataFrame, length: int | None = None) -> DataFrame:
+    """First copy, by (variation, rank), of the texts of a query that are equal (or share `length` first characters)."""
+    keyed = hits.withColumn("prefix", F.col("content") if length is None else prefix_key(F.col("content"), length))
     return keep_first(keyed, ["query_id", "prefix"], [F.col("variation_no"), F.col("rank")])
 
 

@@ -18,7 +18,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured and not sc.master.startswith("local"):
+    if not configured and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="corpusloom-ckpt-"))
     return sc.getCheckpointDir()

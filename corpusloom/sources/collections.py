@@ -1,7 +1,10 @@
-"""Named collections: a parquet directory partitioned by collection, plus one metadata row each.
+"""Named collections: versions of a parquet directory for each, plus one metadata row.
 
-    <root>/chunks/collection=<name>/...      id, document, metadata, embedding
-    <root>/collections/collection=<name>/... embedding_model, distance_function
+    <root>/chunks/collection=<name>/version=<k>/...  id, document, metadata, embedding
+    <root>/collections/collection=<name>/...         embedding_model, distance_function
+
+The last version whose job has finished counts (Spark marks it with _SUCCESS). Replacing writes the next version and
+only then drops the one before, so a lost job leaves the old rows; a first write that dies leaves an empty collection.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.session import keep_first, materialize
+from corpusloom.session import keep_first
 
 REQUIRED = ("chunk_id", "content", "url")
 
@@ -26,6 +29,23 @@ def _fs(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, target = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def _versions(spark: SparkSession, root: str, name: str) -> tuple[int | None, int]:
+    """The finished version that counts (None if there is none), and the last one that was begun (0 if none)."""
+    base = _dir(root, "chunks", name)
+    begun = sorted(int(c.partition("=")[2]) for c in _children(spark, base) if c.startswith("version="))
+    done = [k for k in begun if "_SUCCESS" in _children(spark, f"{base}/version={k}")]
+    return (done[-1] if done else None), (begun[-1] if begun else 0)
+
+
+def _version_dir(root: str, name: str, version: int) -> str:
+    return f"{_dir(root, 'chunks', name)}/version={version}"
+
+
 def exists(spark: SparkSession, root: str, name: str) -> bool:
     fs, target = _fs(spark, _dir(root, "collections", name))
     return fs.exists(target)
@@ -57,9 +77,16 @@ def check_rows(chunks: DataFrame) -> DataFrame:
 
 
 def write_collection(chunks: DataFrame, root: str, name: str, mode: str = "overwrite", **meta: str) -> None:
+    """Replace ("overwrite") or extend ("append") the rows of a collection."""
     spark = chunks.sparkSession
     create_collection(spark, root, name, **meta)
-    check_rows(chunks).write.mode(mode).parquet(_dir(root, "chunks", name))
+    current, last = _versions(spark, root, name)
+    if mode == "append" and current is not None:
+        check_rows(chunks).write.mode("append").parquet(_version_dir(root, name, current))
+        return
+    check_rows(chunks).write.parquet(_version_dir(root, name, last + 1))
+    for old in range(1, last + 1):
+        _drop_dir(spark, _version_dir(root, name, old))
 
 
 def merge_by_id(existing: DataFrame, incoming: DataFrame, mode: str = "keep") -> DataFrame:
@@ -76,21 +103,24 @@ def merge_by_id(existing: DataFrame, incoming: DataFrame, mode: str = "keep") ->
 def append_collection(chunks: DataFrame, root: str, name: str, mode: str = "keep") -> None:
     """Append by id. Only the ids of the target collection are read back (partition and column pruning)."""
     spark = chunks.sparkSession
-    fs, target = _fs(spark, _dir(root, "chunks", name))
-    if not fs.exists(target):
+    current, _ = _versions(spark, root, name)
+    if current is None:
         fresh = keep_first(chunks, ["chunk_id"], [F.xxhash64("content"), F.col("content")]).drop("_copies")
         write_collection(fresh, root, name)
         return
-    existing = spark.read.parquet(_dir(root, "chunks", name))
+    existing = spark.read.parquet(_version_dir(root, name, current))
     merged = merge_by_id(existing, check_rows(chunks), mode)
-    if mode == "keep":
-        write_collection(merged, root, name, mode="append")
-    else:  # the new files depend on the old ones, so cut the lineage before replacing them
-        write_collection(materialize(merged), root, name, mode="overwrite")
+    write_collection(merged, root, name, mode="append" if mode == "keep" else "overwrite")
 
 
 def read_collection(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(_dir(root, "chunks", name)).withColumn("collection", F.lit(name))
+    """The rows of a collection; without any finished version an empty frame of the chunk schema."""
+    current, _ = _versions(spark, root, name)
+    if current is None:
+        rows = spark.createDataFrame([], schemas.CHUNKS)
+    else:
+        rows = spark.read.parquet(_version_dir(root, name, current))
+    return rows.withColumn("collection", F.lit(name))
 
 
 def get_rows(chunks: DataFrame, limit: int | None = None, include: list[str] | None = None) -> DataFrame:
@@ -106,20 +136,20 @@ def get_collection(
 
 
 def list_collections(spark: SparkSession, root: str) -> DataFrame:
-    """collection, embedding_model, distance_function, chunks."""
-    fs, target = _fs(spark, _dir(root, "collections"))
-    if not fs.exists(target) or not any("collection=" in s.getPath().getName() for s in fs.listStatus(target)):
-        return spark.createDataFrame(
-            [], "collection string, embedding_model string, distance_function string, chunks long"
-        )
-    meta = spark.read.option("basePath", _dir(root, "collections")).parquet(_dir(root, "collections"))
-    fs, target = _fs(spark, _dir(root, "chunks"))
-    if not fs.exists(target) or not any("collection=" in s.getPath().getName() for s in fs.listStatus(target)):
+    """collection, embedding_model, distance_function, chunks. Names are text, whatever they look like."""
+    names = [c.partition("=")[2] for c in _children(spark, _dir(root, "collections")) if c.startswith("collection=")]
+    if not names:
+        return spark.createDataFrame([], "collection string, embedding_model string, distance_function string, chunks long")
+    typed = "embedding_model string, distance_function string, collection string"
+    meta = spark.read.schema(typed).parquet(_dir(root, "collections"))
+    current = [(n, k) for n in names if (k := _versions(spark, root, n)[0]) is not None]
+    if not current:
         return meta.select("collection", "embedding_model", "distance_function", F.lit(0).cast("long").alias("chunks"))
-    sizes = spark.read.parquet(_dir(root, "chunks")).groupBy("collection").agg(F.count("*").alias("chunks"))
-    return meta.withColumn("collection", F.col("collection").cast("string")).join(
-        sizes.withColumn("collection", F.col("collection").cast("string")), "collection", "left"
-    ).select("collection", "embedding_model", "distance_function", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    paths = [_version_dir(root, n, k) for n, k in current]
+    rows = spark.read.schema("chunk_id string, collection string, version int").option("basePath", _dir(root, "chunks")).parquet(*paths)
+    sizes = rows.groupBy("collection").agg(F.count("*").alias("chunks"))
+    return meta.join(sizes, "collection", "left").select(
+        "collection", "embedding_model", "distance_function", F.coalesce("chunks", F.lit(0)).alias("chunks"))
 
 
 def delete_collection(spark: SparkSession, root: str, name: str) -> None:
@@ -128,17 +158,14 @@ def delete_collection(spark: SparkSession, root: str, name: str) -> None:
 
 
 def rename_collection(spark: SparkSession, root: str, old: str, new: str) -> None:
-    """Copy under the new name, then drop the old one; a failed copy leaves only the old one."""
+    """Give the rows the new name: the metadata row is copied, the rows move in one step, the old row goes last."""
     if exists(spark, root, new):
         raise ValueError(f"collection {new!r} already exists")
     if not exists(spark, root, old):
         raise ValueError(f"collection {old!r} does not exist")
-    try:
-        spark.read.parquet(_dir(root, "chunks", old)).write.mode("overwrite").parquet(_dir(root, "chunks", new))
-        spark.read.parquet(_dir(root, "collections", old)).write.mode("overwrite").parquet(
-            _dir(root, "collections", new)
-        )
-    except Exception:
-        delete_collection(spark, root, new)
-        raise
+    spark.read.schema(schemas.COLLECTION_META).parquet(_dir(root, "collections", old)).write.parquet(_dir(root, "collections", new))
+    fs, source = _fs(spark, _dir(root, "chunks", old))
+    if fs.exists(source) and not fs.rename(source, _fs(spark, _dir(root, "chunks", new))[1]):
+        _drop_dir(spark, _dir(root, "collections", new))
+        raise OSError(f"collection {old!r} could not be moved")
     delete_collection(spark, root, old)

@@ -107,6 +107,21 @@ def test_sections(spark):
     assert len(chunked(spark, [caps], C.split_sections)[0]) == 2
 
 
+def test_sections_lose_no_text(spark):
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(20):
+        parts = [rnd.choice("abcde") * rnd.choice([5, 100, 290, 400, 1700, 1900, 5000]) for _ in range(rnd.randint(3, 7))]
+        text = "".join(f"{p}\n# H{i}\n" for i, p in enumerate(parts)) + "x" * 400
+        found = chunked(spark, [text], C.split_sections)[0]
+        whole = "".join("".join(found).split())
+        if found:
+            for p in parts:
+                assert whole.count(p[0]) >= len(p)
+            assert max(map(len, found)) <= 1800
+
+
 def test_semantic_cascade(spark):
     sentences = " ".join(["Wort " * 30 + "Ende."] * 12)
     out = chunked(spark, ["kurz", sentences, "x" * 3000], C.chunk_semantic)
@@ -147,11 +162,11 @@ def test_batches_equal_greedy_for_any_partitioning(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want, state = {}, {}
+    assert len(got) == len(rows)
     for g, i, text in rows:
         tokens = max(1, len(text) // 3) if text else 0
-        if tokens > 100:
-            continue
         batch, used = state.get(g, (0, 0))
+        tokens = min(tokens, 100)  # a larger text fills a batch of its own
         if used and used + tokens > 100:
             batch, used = batch + 1, 0
         want[i] = batch

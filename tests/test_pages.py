@@ -98,3 +98,13 @@ def test_reduction_keeps_later_of_ties(spark):
     df = spark.createDataFrame([(i, "same text.") for i in range(6)] + [(9, "## a longer text. more.")], "i int, content string")
     assert sorted(r.i for r in reduce_chunks(df, "i", max_chunks=3).collect()) == [4, 5, 9]
     assert reduce_chunks(df, "i").count() == 7
+    many = spark.range(6000).select(F.col("id").alias("i"), F.lit("text.").alias("content"))
+    assert reduce_chunks(many, "i").count() == 6000
+
+
+def test_crawl_without_seeds_or_depth(spark):
+    seeds = spark.createDataFrame([(1, "https://a.b/")], "crawl_id long, url string")
+    links = spark.createDataFrame([("https://a.b/", "https://a.b/x")], "url string, link string")
+    for s, depth in ((seeds.limit(0), 3), (seeds, 0)):
+        out = crawl.crawl_bfs(s, links, seeds, depth)
+        assert out.columns == ["crawl_id", "url", "depth", "success"] and out.count() == 0

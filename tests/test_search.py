@@ -124,6 +124,27 @@ def test_merge_and_fallback(spark):
     out = [(r.chunk_id, r.copies, r.merged_rank) for r in search.merge_variations(hits).orderBy("merged_rank").collect()]
     assert out == [(10, 1, 1), (11, 2, 2), (13, 1, 3)]
     assert {r.chunk_id for r in search.dedup_prefix(hits).collect()} == {10, 11}
+    long = hits.withColumn("content", F.concat(F.lit("p" * 100), "content"))
+    assert {r.chunk_id for r in search.dedup_prefix(long).collect()} == {10, 11}
+    assert {r.chunk_id for r in search.dedup_prefix(long, 100).collect()} == {10}
+
+
+def test_a_task_emits_k_rows_a_query_whatever_its_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [(i, [float(i % 17), 1.0, float(i % 5)]) for i in range(400)]
+        chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").coalesce(1)
+        queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 1.0])], "query_id long, embedding array<double>")
+        found = search.knn(queries, chunks, 3)
+        plan = found.collect()
+        assert len(plan) == 6
+        # every id twice, and more rows of one id than a block holds
+        many = queries.unionAll(queries.selectExpr("query_id", "transform(embedding, x -> x * 2)")).unionAll(queries)
+        key = lambda df: sorted((r.query_id, r.chunk_id, r.score) for r in df.dropDuplicates(["query_id", "chunk_id"]).collect())
+        assert set(key(search.knn(many, chunks, 3, max_broadcast=2))) <= set(key(found))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_hybrid_sides(spark):

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,24 @@ def test_collections(spark, folder):
     assert [r.collection for r in S.list_collections(spark, folder).collect()] == ["two"]
 
 
+def test_collections_outlive_lost_jobs(spark, folder):
+    rows = spark.createDataFrame([("1", "u", "a"), ("2", "u", "b")], CHUNK)
+    S.create_collection(spark, folder, "007")
+    os.makedirs(f"{folder}/chunks/collection=007/version=1/_temporary")  # a first write that died
+    assert S.read_collection(spark, folder, "007").count() == 0
+    S.append_collection(rows, folder, "007")
+    assert S.read_collection(spark, folder, "007").count() == 2
+    assert [(r.collection, r.chunks) for r in S.list_collections(spark, folder).collect()] == [("007", 2)]
+    bad = rows.withColumn("content", F.when(F.col("chunk_id") == "2", F.raise_error(F.lit("lost"))).otherwise("new"))
+    with pytest.raises(Exception):
+        S.write_collection(bad, folder, "007")  # a replacement that dies
+    assert sorted(r.content for r in S.read_collection(spark, folder, "007").collect()) == ["a", "b"]
+    S.append_collection(rows.withColumn("content", F.lit("new")), folder, "007", mode="replace")
+    assert sorted(r.content for r in S.read_collection(spark, folder, "007").collect()) == ["new", "new"]
+    S.rename_collection(spark, folder, "007", "1e3")
+    assert [(r.collection, r.chunks) for r in S.list_collections(spark, folder).collect()] == [("1e3", 2)]
+
+
 def test_rows_must_be_complete(spark, folder):
     with pytest.raises(Exception, match="collection row without content"):
         S.write_collection(spark.createDataFrame([("1", "u", None)], CHUNK), folder, "x")

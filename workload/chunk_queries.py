@@ -77,11 +77,11 @@ def text_documents(spark, sf_dir):
         F.sum(n).alias("chars"), F.sum(n - F.length(F.translate("markdown", "\n", ""))).alias("lines"))
 
 
-@query("generated_text", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN role ELSE substr(text, 1, 20) END AS generated FROM conversations""")
+@query("generated_text", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN role ELSE text END AS generated FROM conversations""")
 def generated_text(spark, sf_dir):
     """A generator that answers some prompts with nothing: those rows take their fallback."""
     def generate(prompts):
-        return prompts.map(lambda p: "" if len(p) % 3 == 0 else p[:20])
+        return prompts.map(lambda p: "" if len(p) % 3 == 0 else p)
 
     c = table(spark, sf_dir, "conversations")
     return embed.with_generated(c, "text", "generated", "role", generate).select("conv_id", "turn", "generated")
@@ -150,10 +150,15 @@ def sections_sql(source):
     heads = ", ".join(f"regexp_extract_all(text, '{p}') AS h{i}, string_split_regex(text, '{p}') AS g{i}" for i, p in enumerate(C.SECTION_PATTERNS))
     lists = ", ".join(
         f"CASE WHEN len(h{i}) >= 2 THEN list_filter(list_transform(list_concat(g{i}[1:len(h{i}) - 1], [g{i}[len(h{i})] || h{i}[len(h{i})] || g{i}[len(h{i}) + 1]]), "
-        f"lambda x: {strip_sql('x')}), lambda x: length(x) BETWEEN 300 AND 1800) ELSE [] END AS s{i}" for i in range(len(C.SECTION_PATTERNS)))
-    first = " ".join(f"WHEN len(s{i}) > 0 THEN s{i}" for i in range(len(C.SECTION_PATTERNS)))
+        f"lambda x: {strip_sql('x')}), lambda x: x <> '') ELSE [] END AS s{i}" for i in range(len(C.SECTION_PATTERNS)))
+    first = " ".join(f"WHEN len(list_filter(s{i}, lambda x: length(x) BETWEEN 300 AND 1800)) > 0 THEN s{i}" for i in range(len(C.SECTION_PATTERNS)))
+    merged = ("CASE WHEN len(ps) = 0 THEN ps ELSE list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) < 300 "
+              "THEN a[:-2] || [a[-1] || chr(10) || x[1]] ELSE a || x END) END")
+    joined = "CASE WHEN len(ms) > 1 AND length(ms[-1]) < 300 THEN ms[:-3] || [ms[-2] || chr(10) || ms[-1]] ELSE ms END"
+    cut = f"flatten(list_transform(js, lambda x: CASE WHEN length(x) > 1800 THEN {windows_sql('x', 1800, 0)} ELSE [x] END))"
     return f"""se0 AS (SELECT chunk_id, text, {heads} FROM {source}), se1 AS (SELECT chunk_id, text, {lists} FROM se0),
-    se AS (SELECT chunk_id, text, CASE {first} ELSE [] END AS ss FROM se1)"""
+    se2 AS (SELECT chunk_id, text, CASE {first} ELSE [] END AS ps FROM se1), se3 AS (SELECT chunk_id, text, {merged} AS ms FROM se2),
+    se4 AS (SELECT chunk_id, text, {joined} AS js FROM se3), se AS (SELECT chunk_id, text, {cut} AS ss FROM se4)"""
 
 
 @query("chunk_sections", f"""WITH {PAGE_DOCS}, {sections_sql('pdocs')}
@@ -193,11 +198,11 @@ def chunk_semantic(spark, sf_dir):
 
 @query("token_batches", """
 WITH RECURSIVE t AS (SELECT source, doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 3)::BIGINT) END AS tokens,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE floor(length(text) / 3) <= 12000),
-b AS (SELECT source, doc_id, tokens, i, tokens AS used, 0 AS batch_no FROM t WHERE i = 1 UNION ALL
-  SELECT t.source, t.doc_id, t.tokens, t.i, CASE WHEN used + t.tokens > 12000 THEN t.tokens ELSE used + t.tokens END,
-    CASE WHEN used + t.tokens > 12000 THEN batch_no + 1 ELSE batch_no END FROM b JOIN t ON t.source = b.source AND t.i = b.i + 1)
-SELECT source, doc_id AS chunk_id, tokens, batch_no::BIGINT AS batch_no FROM b""")
+  row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (SELECT source, doc_id, tokens, i, least(tokens, 12000) AS used, 0 AS batch_no FROM t WHERE i = 1 UNION ALL
+  SELECT t.source, t.doc_id, t.tokens, t.i, CASE WHEN used + least(t.tokens, 12000) > 12000 THEN least(t.tokens, 12000) ELSE used + t.tokens END,
+    CASE WHEN used + least(t.tokens, 12000) > 12000 THEN batch_no + 1 ELSE batch_no END FROM b JOIN t ON t.source = b.source AND t.i = b.i + 1)
+SELECT source, doc_id AS chunk_id, tokens, batch_no::BIGINT AS batch_no, tokens > 12000 AS oversized FROM b""")
 def token_batches(spark, sf_dir):
     return ingest.pack_batches(documents(spark, sf_dir), "source", "chunk_id", "text")
 
@@ -270,7 +275,9 @@ def collection_write_read(spark, sf_dir):
 
 @query("collection_get", f"WITH {PAGE_CHUNKS} SELECT chunk_id, char_count FROM pch ORDER BY chunk_id LIMIT 25")
 def collection_get(spark, sf_dir):
-    return S.get_rows(page_chunks(spark, sf_dir), limit=25, include=["char_count"])
+    root = scratch(spark)
+    S.write_collection(page_chunks(spark, sf_dir), root, "web")
+    return S.get_collection(spark, root, "web", limit=25, include=["char_count"])
 
 
 def _append(spark, sf_dir, mode):

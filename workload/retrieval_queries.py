@@ -284,7 +284,7 @@ def variation_merge(spark, sf_dir):
 @query("prefix_dedup", f"""WITH {VARIED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(content, 1, 100) ORDER BY variation_no, rank) AS cp FROM vh)
 SELECT query_id, chunk_id, variation_no, rank FROM c WHERE cp = 1""")
 def prefix_dedup(spark, sf_dir):
-    return S.dedup_prefix(varied(spark, sf_dir)).select("query_id", "chunk_id", "variation_no", "rank")
+    return S.dedup_prefix(varied(spark, sf_dir), 100).select("query_id", "chunk_id", "variation_no", "rank")
 
 
 @query("candidate_pool", f"""
@@ -370,7 +370,7 @@ def retrieval_metadata(spark, sf_dir):
 
 
 @query("source_list", f"""WITH {HITS} SELECT query_id, rank AS citation_number, url, score AS relevance_score,
-  CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS excerpt FROM h WHERE rank <= 10""")
+  CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS excerpt FROM h""")
 def source_list(spark, sf_dir):
     return X.source_refs(hits(spark, sf_dir)).select("query_id", F.inline("sources"))
 

@@ -68,12 +68,10 @@ PHRASES = ["© 2024 x. All rights reserved", "Cookie: please accept", "Follow us
 def boiler(spark, sf_dir):
     d = documents(spark, sf_dir)
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.col("chunk_id") % 5 + 1).cast("int"))
-    body = F.when(F.col("chunk_id") % 5 == 3, F.lit("zu lang")).otherwise(doc())
-    return d.withColumn("text", F.concat_ws(" ", phrase, body))
+    return d.withColumn("text", F.concat_ws(" ", phrase, doc()))
 
 
-BOILER = f"""boiler AS (SELECT doc_id AS chunk_id, [{', '.join(text_sql(p) for p in PHRASES)}][doc_id % 5 + 1] || ' ' ||
-    CASE WHEN doc_id % 5 = 3 THEN 'zu lang' ELSE text END AS text FROM documents)"""
+BOILER = f"""boiler AS (SELECT doc_id AS chunk_id, [{', '.join(text_sql(p) for p in PHRASES)}][doc_id % 5 + 1] || ' ' || text AS text FROM documents)"""
 
 
 def boilerplate_sql(x):

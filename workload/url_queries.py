@@ -189,7 +189,8 @@ def site_type_settings(spark, sf_dir):
 
 
 def sanitize_sql(x):
-    n = rf"trim(substr(regexp_replace(regexp_replace(lower({x}), '[\s_.]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), 1, 60), '-')"
+    n = rf"regexp_replace(regexp_replace(lower({x}), '[\s_.]+', '-', 'g'), '[^a-z0-9-]', '', 'g')"
+    n = f"trim(CASE WHEN length({n}) > 60 THEN substr({n}, 1, 51) || '-' || substr(md5({n}), 1, 8) ELSE {n} END, '-')"
     return (f"CASE WHEN coalesce({x}, '') = '' THEN 'default-collection' WHEN length({n}) < 3 THEN {n} || '-kb' "
             f"ELSE {n} END")
 
