@@ -24,6 +24,7 @@ SCORE_DIGITS = 6  # scores are compared at this precision, ties by id
 CELLS = 4_000_000  # scores computed at a time inside a task
 TERM_ROWS = 2_000_000  # (query, term) pairs that may be broadcast (about 30 MB): questions beyond them are searched in blocks
 HIT_ROWS = 50_000  # hits (ids and scores) that may be broadcast
+BUCKET_ROWS = 1_000  # chunks that a hashed bucket holds on average
 SLICE_ROWS = 50_000  # rows of one block of a block-by-block join
 
 
@@ -174,14 +175,17 @@ def knn(
 
 
 def knn_lsh(
-    queries: DataFrame, chunks: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 6, seed: int = 7
+    queries: DataFrame, chunks: DataFrame, k: int, dim: int, tables: int = 8, bits: int | None = None, seed: int = 7
 ) -> DataFrame:
     """Approximate cosine top-k: random-hyperplane buckets, exact scores inside a bucket.
 
     A bucket of any size is cut into slices of bounded size on both sides, and each
     task meets one pair of slices, so a bucket that holds a third of all rows is
-    spread over many tasks.
+    spread over many tasks. Unless given, the bits follow the number of chunks, so that
+    a bucket holds about BUCKET_ROWS of them at any size.
     """
+    if bits is None:
+        bits = max(6, min(24, int(np.ceil(np.log2(max(1, chunks.count()) / BUCKET_ROWS)))))
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))

@@ -7,8 +7,9 @@ from corpusloom.operators import context as X
 from corpusloom.operators import rank as R
 from corpusloom.operators import search as S
 from corpusloom.plans.retrieval import answer_all, cited_contexts
-from corpusloom.operators.embed import with_embedding
-from corpusloom.session import materialize
+from corpusloom.operators.embed import with_embedding, with_rerank
+from corpusloom.operators.validate import check_hits
+from corpusloom.session import materialize, top_k
 from workload.base import (
     DOC_URL_SQL, bm25_sql, contains_any_sql, documents, list_sql, query, questions, strip_sql, table, text_sql, words_sql,
 )
@@ -245,6 +246,34 @@ def external_rerank(spark, sf_dir):
     return S.apply_rerank(h, response, 8).select("query_id", "record_id", "chunk_id", "score", "rank")
 
 
+@query("model_rerank", f"""WITH {HITS}, p AS (SELECT h.query_id, chunk_id, round(length(content) / (length(content) + length(q.text)), 6) AS score
+  FROM h JOIN (SELECT item_id AS query_id, text FROM benchmark) q ON q.query_id = h.query_id)
+SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM p) WHERE rank <= 5""")
+def model_rerank(spark, sf_dir):
+    """A rerank model over (question, content), batch by batch; any function of two columns will do."""
+    def model(question, content):
+        return content.str.len() / (content.str.len() + question.str.len())
+
+    h = hits(spark, sf_dir).drop("question").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
+    scored = with_rerank(h, model).withColumn("score", F.round("rerank_score", 6))
+    return top_k(scored.drop("rank"), ["query_id"], [F.col("score").desc(), F.col("chunk_id")], 5).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("hit_rules", f"""WITH {HITS}, x AS (SELECT query_id, chunk_id, rank + CASE WHEN rank > query_id % 6 + 2 THEN 1 ELSE 0 END AS r, rank,
+    length({strip_sql("substr(content, 1, 5 + (chunk_id % 300)::INT)")}) AS n FROM h)
+SELECT query_id, chunk_id, array_to_string(list_filter([CASE WHEN r <> rank THEN 'rank' END, CASE WHEN chunk_id % 5 = 0 THEN 'score' END,
+  CASE WHEN chunk_id % 3 <> 0 AND n NOT BETWEEN 10 AND 200 THEN 'excerpt' END, CASE WHEN chunk_id % 4 = 0 THEN 'url' END], lambda v: v IS NOT NULL), '|') AS violations FROM x""")
+def hit_rules(spark, sf_dir):
+    """Hits some of which break a rule: a gap in the ranks, a score beyond 1, an excerpt too long, no scheme."""
+    n = F.col("chunk_id")
+    h = hits(spark, sf_dir).select(
+        "query_id", "chunk_id", (F.col("rank") + (F.col("rank") > F.col("query_id") % 6 + 2).cast("int")).alias("rank"),
+        F.when(n % 5 == 0, 1.5).otherwise(0.5).alias("score"),
+        F.when(n % 3 != 0, F.substring("content", F.lit(1), (n % 300 + 5).cast("int"))).alias("excerpt"),
+        F.when(n % 4 == 0, "example.org").otherwise(F.col("url")).alias("url"))
+    return check_hits(h).select("query_id", "chunk_id", "violations")
+
+
 @query("rank_top", f"WITH {HITS}, s AS (SELECT query_id, chunk_id, rank AS r, round(score, 1) AS score FROM h) {ranked_sql('s', 5)}")
 def rank_top(spark, sf_dir):
     h = hits(spark, sf_dir).withColumn("score", F.round("score", 1))

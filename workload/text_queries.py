@@ -9,7 +9,7 @@ from corpusloom.operators.ingest import memory_estimate, reduce_chunks
 from corpusloom.operators.metrics import chat_stats, collection_stats
 from corpusloom.operators.rank import high_recall
 from corpusloom.operators.search import expand_queries
-from corpusloom.operators.validate import check_chunks, check_variations
+from corpusloom.operators.validate import check_answers, check_chunks, check_variations
 from workload.base import (
     DOC_URL_SQL, contains_any_sql, documents, list_sql, query, strip_sql, table, text_sql, words_sql,
 )
@@ -207,15 +207,11 @@ def wiki_cleanup(spark, sf_dir):
     return wiki(spark, sf_dir).select("chunk_id", T.clean_wiki(doc()).alias("cleaned"))
 
 
-def _prompt_sql(prompt, x):
-    a, b = prompt.split("%s")
-    return f"{text_sql(a)} || {x} || {text_sql(b)}"
-
-
 @query("prompts", f"""WITH {ASKED}, s AS (SELECT *, {STRATEGY_SQL} AS strategy FROM asked)
-SELECT query_id, form, CASE strategy {' '.join(f"WHEN '{k}' THEN {_prompt_sql(v, 'text')}" for k, v in T.VARIATION_PROMPTS.items())} END AS variation_prompt,
-  CASE WHEN len({words_sql('text')}) <= 3 AND {contains_any_sql('lower(text)', T.SHORT_HYDE_OPENERS)} THEN {_prompt_sql(T.SHORT_HYDE_PROMPT, 'text')}
-    ELSE {_prompt_sql(T.HYDE_PROMPT, 'text')} END AS hyde_prompt FROM s""")
+SELECT query_id, form, 'Reword this search question ' || CASE strategy WHEN 'simple' THEN 'once, on one line' WHEN 'moderate' THEN 'twice, one wording a line'
+    ELSE 'three times, one wording a line' END || ', nothing else:' || chr(10) || text AS variation_prompt,
+  CASE WHEN len({words_sql('text')}) <= 3 AND {contains_any_sql('lower(text)', ['was ist', 'was bedeutet', 'definition'])}
+    THEN 'Define in one or two sentences: ' || text ELSE 'Write the paragraph of a web page that answers: ' || text END AS hyde_prompt FROM s""")
 def prompts(spark, sf_dir):
     strategy = T.complexity(doc())["strategy"]
     return asked(spark, sf_dir).withColumn("strategy", strategy).select(
@@ -344,6 +340,21 @@ def chunk_rules(spark, sf_dir):
     return check_chunks(d).select(n.cast("bigint").alias("chunk_id"), "violations")
 
 
+@query("answer_rules", f"""
+WITH x AS (SELECT doc_id, length({strip_sql('substr(text, 1, 20 + (doc_id % 600)::INT)')}) AS n, doc_id % 7 AS a, doc_id % 11 AS b FROM documents)
+SELECT doc_id AS chunk_id, array_to_string(list_filter([CASE WHEN n NOT BETWEEN 20 AND 500 THEN 'summary' END, CASE WHEN a = 0 OR b = 0 THEN 'key_details' END,
+  CASE WHEN a = 1 THEN 'confidence' END, CASE WHEN a > b THEN 'retrieved' END, CASE WHEN b = 2 THEN 'queries_used' END], lambda v: v IS NOT NULL), '|') AS violations FROM x""")
+def answer_rules(spark, sf_dir):
+    """Answers made from documents, some of which break a rule; quarantined rows are those with violations."""
+    n = F.col("chunk_id")
+    details = F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 11 == 0, F.array(F.lit("long enough"), F.lit(" ab "))).otherwise(F.array(F.lit("detail")))
+    d = documents(spark, sf_dir).select(
+        n, F.substring("text", F.lit(1), (n % 600 + 20).cast("int")).alias("summary"), details.alias("key_details"),
+        F.when(n % 7 == 1, 1.5).otherwise(0.5).alias("confidence"), (n % 7).alias("documents_retrieved"),
+        (n % 11).alias("total_documents_searched"), F.when(n % 11 == 2, 0).otherwise(1).alias("queries_used"))
+    return check_answers(d).select("chunk_id", "violations")
+
+
 @query("high_recall_filter", rf"""
 WITH {ENTROPY}, x AS (SELECT doc_id, {strip_sql('text')} AS t, text, entropy FROM documents JOIN ent USING (doc_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY md5(t), length(t) ORDER BY doc_id) AS rn FROM x)
