@@ -378,9 +378,11 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     """Semantic top k/2 then lexical top k/2, first copy of a text kept, cut at k.
 
     A query with hits on one side only keeps that side as it is.
-    Both inputs: query_id, chunk_id, content, score, rank.
+    Both inputs: query_id, chunk_id, content, score, rank, and further columns that both have (kept).
     """
     cols = ["query_id", "chunk_id", "content", "score", "rank"]
+    more = [c for c in semantic.columns if c in lexical.columns and c not in cols and c != "source"]
+    cols += more
     half = k // 2
     both = semantic.select(*cols, F.lit(0).alias("_side")).unionByName(
         lexical.select(*cols, F.lit(1).alias("_side"))
@@ -394,8 +396,7 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     first = first.withColumnRenamed("rank", "_rank")
     final = top_k(first, ["query_id"], [F.col("_side"), F.col("_rank")], k)
     return final.select(
-        "query_id", "chunk_id", "content", "score", "rank",
-        F.when(F.col("_side") == 0, "semantic").otherwise("lexical").alias("source"),
+        *cols, F.when(F.col("_side") == 0, "semantic").otherwise("lexical").alias("source"),
     )
 
 

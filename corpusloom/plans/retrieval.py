@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.chunks import chunk_fixed
@@ -29,14 +29,30 @@ def passages(docs: DataFrame, max_len: int = 1500, overlap: int = 150) -> DataFr
 
 def cited_contexts(questions: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
     """For every question the n best passages as context text with numbered, deduplicated sources."""
-    chunks = passages(docs)
-    searchable = chunks.withColumnRenamed("content", "text")
-    hits = search.bm25(questions, searchable, 3 * n)
-    texts = search.with_texts(hits, chunks, max_hits=questions.count() * 3 * n).withColumn("variation_no", F.lit(0))
-    best = rank.rank_top(search.merge_variations(texts), n, prior="merged_rank")
+    best = rank.rank_top(distinct_hits(questions, passages(docs), n), n, prior="merged_rank")
     return ctx.build_context(best, questions)
 
 
+def distinct_hits(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """Lexical hits of every question without copies: n of them wherever the passages have n different ones.
+
+    Questions whose first hits are mostly copies are searched again, four times as deep, until they have enough.
+    """
+    searchable = chunks.withColumnRenamed("content", "text")
+    left, depth, out = questions, 3 * n, None
+    while True:
+        hits = search.bm25(left, searchable, depth)
+        texts = search.with_texts(hits, chunks, max_hits=left.count() * depth).withColumn("variation_no", F.lit(0))
+        found = materialize(search.merge_variations(texts))
+        short = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.sum("copies").alias("_all"))
+        short = materialize(short.where((F.col("_n") < n) & (F.col("_all") == depth)).select("query_id"))
+        kept = found.join(short, "query_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if short.isEmpty():
+            return out
+        left, depth = materialize(left.join(short, "query_id", "left_semi")), 4 * depth
+
+
 def retrieve(
     fanout: DataFrame, chunks: DataFrame, n: int, generate: Callable | None = None, embedder: Callable | None = None
 ) -> DataFrame:
@@ -59,18 +75,17 @@ def retrieve(
     found = materialize(
         semantic.select(*cols, F.lit(0).alias("side")).unionByName(lexical.select(*cols, F.lit(1).alias("side")))
     )
-    texts = search.with_texts(found, chunks.select("chunk_id", "url", "content"), max_hits=searched.count() * pool)
+    # the one look at the chunk table after the search: at most `pool` hits a query
+    texts = materialize(search.with_texts(found, chunks.select("chunk_id", "url", "content"), max_hits=searched.count() * pool))
     semantic, lexical = texts.filter("side = 0"), texts.filter("side = 1")
     both = search.hybrid(semantic, lexical, pool)
-    urls = texts.select("chunk_id", "url").distinct()
-    both = both.join(urls, "chunk_id").join(
+    both = both.join(
         searched.select("query_id", F.col("key.query_id").alias("_q"), "key.variation_no", "strategy"), "query_id"
     ).drop("query_id").withColumnRenamed("_q", "query_id")
     merged = search.merge_variations(both)
-    totals = merged.groupBy("query_id").agg(F.count("*").alias("total_candidates"))
+    merged = merged.withColumn("total_candidates", F.count("*").over(Window.partitionBy("query_id")))
     kept = rank.high_recall(merged.drop("rank", "score"), ["query_id"], [F.col("merged_rank")])
-    pooled = rank.progressive_k(kept.withColumnRenamed("merged_rank", "rank"), n)
-    return pooled.join(totals, "query_id")
+    return rank.progressive_k(kept.withColumnRenamed("merged_rank", "rank"), n)
 
 
 def answer_all(

@@ -234,6 +234,11 @@ def test_embedder_and_generator(spark):
         raise RuntimeError("model down")
 
     assert [r.out for r in embed.with_generated(df, "text", "out", "text", broken).orderBy("id").collect()] == ["a b a", " ", None]
+    told = embed.with_generated(df, "text", "out", "text", broken, error="why")
+    assert {r.why for r in told.collect()} == {"RuntimeError: model down"}
+    with pytest.raises(ValueError, match="model down"):
+        embed.gate_errors(told, "why")
+    assert embed.gate_errors(embed.with_generated(df, "text", "out", "text", lambda s: s, error="why"), "why").count() == 3
 
 
 def test_whole_job(spark):
@@ -251,3 +256,13 @@ def test_whole_job(spark):
         assert answer_all(questions, chunks, fmt, 5).filter("response is null").count() == 0
     small = spark.createDataFrame([(f"https://d.org/{i}", i, t) for i, t, _ in docs], "url string, doc_key int, text string")
     assert cited_contexts(questions, small, 3).filter("context like '[Quelle%'").count() == 2
+
+
+def test_contexts_look_past_copies(spark):
+    from corpusloom.plans.retrieval import distinct_hits
+
+    rows = [(f"c{i}", "u", "alpha beta" if i < 40 else f"alpha beta gamma{i}") for i in range(44)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, url string, content string")
+    questions = spark.createDataFrame([(1, "alpha beta"), (2, "gamma41"), (3, "none")], "query_id long, text string")
+    found = {r.query_id: r["count"] for r in distinct_hits(questions, chunks, 4).groupBy("query_id").count().collect()}
+    assert found[1] >= 4 and found[2] == 1 and 3 not in found

@@ -145,7 +145,7 @@ def hybrid_union(spark, sf_dir):
     near = S.knn(q, v, 20).filter("query_id % 3 <> 0")
     semantic = S.with_texts(near, docs, max_hits=q.count() * 20)
     lexical = S.with_texts(S.bm25(asked, documents(spark, sf_dir), 20), docs, max_hits=asked.count() * 20)
-    return S.hybrid(semantic, lexical, 20).drop("content")
+    return S.hybrid(semantic, lexical, 20).drop("content", "method")
 
 
 @query("semantic_rerank", f"""
