@@ -74,31 +74,40 @@ def check_dims(chunks: DataFrame, batch: DataFrame, key: str = "collection") ->
     )
 
 
-def sitemap_quality(urls: DataFrame, key: str = "sitemap") -> DataFrame:
-    """Quality of each sitemap. urls: sitemap, url, lastmod, changefreq, priority, file_size."""
+def sitemap_quality(urls: DataFrame, key: str = "sitemap", listed: int = 100) -> DataFrame:
+    """Quality of each sitemap. urls: sitemap, url, lastmod, changefreq, priority, file_size.
+
+    Hosts are counted; the first `listed` of them by name are listed (each row of the sums holds one host at most).
+    """
     host, proto = netloc(F.col("url")), scheme(F.col("url"))
     per = urls.groupBy(key).agg(
         F.count("*").alias("total_urls"),
         F.countDistinct("url").alias("unique_urls"),
+        F.countDistinct(host).alias("host_count"),
         F.count("lastmod").alias("urls_with_lastmod"),
         F.count_if(F.coalesce(F.col("priority"), F.lit(0.0)) != 0).alias("urls_with_priority"),
         F.count_if(F.coalesce(F.col("changefreq"), F.lit("")) != "").alias("urls_with_changefreq"),
         F.round(F.max("file_size") / 1024, 6).alias("file_size_kb"),
-        F.array_sort(F.collect_set(host)).alias("domains"),  # hosts of one sitemap, already distinct per task
         F.array_sort(F.collect_set(proto)).alias("protocols"),
     )
+    hosts = top_k(urls.select(key, host.alias("_host")).where("_host is not null").distinct(), [key], [F.col("_host")], listed + 1, "_n")
+    hosts = hosts.groupBy(key).agg(F.array_sort(F.collect_list("_host")).alias("_hosts"))
+    hosts = hosts.withColumnRenamed(key, "_key")
+    per = per.join(hosts, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+        "domains", F.slice(F.coalesce("_hosts", F.array().cast("array<string>")), 1, listed)).drop("_hosts", "_key")
     total, unique = F.col("total_urls"), F.col("unique_urls")
     issues = F.array_compact(F.array(
         F.when(total != unique, F.concat(
             F.lit("Duplicate URLs found ("), (total - unique).cast("string"), F.lit(" duplicates)"))),
         F.when(total > MAX_SITEMAP_URLS, "Sitemap contains more than 50,000 URLs (consider splitting)"),
         F.when(F.col("file_size_kb") > MAX_SITEMAP_KB, "Sitemap file is larger than 10MB (consider compression)"),
-        F.when(F.size("domains") > 1, F.concat(
-            F.lit("Multiple domains found in sitemap: "), F.array_join("domains", ", "))),
+        F.when(F.col("host_count") > 1, F.concat(
+            F.lit("Multiple domains found in sitemap: "), F.array_join("domains", ", "),
+            F.when(F.col("host_count") > listed, F.lit(", ...")).otherwise(""))),
     ))
     complete = (F.col("urls_with_lastmod") + F.col("urls_with_priority") + F.col("urls_with_changefreq")) / total / 3
     score = 1.0 - F.size("issues") * 0.1 + complete * 0.2
-    return per.withColumn("issues", issues).withColumn(
+    return per.withColumn("issues", issues).drop("host_count").withColumn(
         "quality_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
     )
 
