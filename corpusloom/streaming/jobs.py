@@ -41,6 +41,22 @@ def stream_progress(log: DataFrame, delay: str, size: str = "1 minute") -> DataF
     ).select(F.col("window.start").alias("minute"), "errors", "ok", "processed")
 
 
+def write_updates(stream: DataFrame, path: str, checkpoint: str):
+    """Every update of an aggregate, marked with its batch: open windows are written too (see `latest`)."""
+
+    def keep(batch: DataFrame, number: int) -> None:  # a replayed batch writes its own folder again
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last update of each key from what `write_updates` has written."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The rows of one key of one micro-batch (bounded by the source's trigger limits), by time."""
     return pd.concat(rows).sort_values(["ts", "id"])

@@ -156,11 +156,13 @@ def stream_dedup(spark, sf_dir):
     return drain(spark, jobs.stream_dedup(s, ["user_id", "event_type"], "ts", "60 days")).select("user_id", "event_type")
 
 
-@query("stream_progress", PROGRESS.replace("FROM events", """FROM (SELECT * FROM events
-  WHERE date_trunc('minute', ts) < (SELECT date_trunc('minute', max(ts)) FROM events))"""))
+@query("stream_progress", PROGRESS)
 def stream_progress(spark, sf_dir):
-    """Windows that the watermark has closed: all but the last minute's."""
-    return drain(spark, jobs.stream_progress(level_log(event_stream(spark, sf_dir)), "0 seconds"))
+    """Totals of every minute, the one still open included."""
+    out, stream = scratch(spark), jobs.stream_progress(level_log(event_stream(spark, sf_dir)), "0 seconds")
+    jobs.write_updates(stream, f"{out}/data", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return jobs.latest(spark.read.schema(schema).parquet(f"{out}/data"), ["minute"])
 
 
 def keyed(spark, sf_dir):
