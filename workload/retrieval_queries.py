@@ -448,7 +448,7 @@ ANSWERS = f"""{HITS},
     {parse_sql('at_', 'query_id')},
     cf AS (SELECT query_id, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, avg(score) * 0.4::DOUBLE + count(*) FILTER (score > 0.7) / count(*) * 0.2::DOUBLE
       + count(DISTINCT url) / count(*) * 0.15::DOUBLE + 0.7::DOUBLE * 0.15::DOUBLE)), 6) AS confidence, avg(score) AS rel, count(*) AS n FROM h GROUP BY query_id),
-    so AS (SELECT query_id, rank, url, score, CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS ex FROM h WHERE rank <= 10),
+    so AS (SELECT query_id, rank, url, score, CASE WHEN length(content) > 150 THEN substr(content, 1, 150) || '...' ELSE content END AS ex FROM h),
     an AS (SELECT item_id AS query_id, text AS question, summary, details, contact_info, confidence, rel, n, CASE
       {' '.join(f"WHEN {contains_any_sql('lower(text)', words)} THEN '{kind}'" for kind, words in ANSWER_TYPES)} ELSE 'informational' END AS answer_type
       FROM benchmark JOIN pa ON query_id = item_id JOIN cf USING (query_id))"""
