@@ -1,8 +1,8 @@
 """Token counts by a compiled finite-state tokenizer for byte-level BPE vocabularies.
 
-Two machines run one after the other. The inner one reads the bytes of a pre-token: its state after a byte is the
-last token of the encoding of what was read, found among the tokens that end there by a check of adjacent tokens,
-and each transition carries the number of tokens it adds. The outer one reads segments, which begin where white
+Two machines run one after the other. The inner one reads the bytes of a pre-token: its state after a byte tells from
+which places a token may still run on and which token precedes each, and each transition carries the number of tokens
+that it adds to the encoding of what was read. The outer one reads segments, which begin where white
 space follows a character that isn't white space; no pre-token spans such a place, so the machine is in its start
 state there whatever came before. A transition on a segment carries its token count; both transition tables are
 filled as the input asks for them.
@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import pack, unpacked
 
 CHUNK = 1 << 16  # characters of a chunk
-MEMO = 600_000  # transitions kept per machine; beyond that the table is started anew
+MEMO = 600_000  # segments and pairs remembered; beyond that a table is started anew
+TRANSITIONS = 300_000  # compiled transitions of the inner machine, likewise
 
 # Fixed value: the split before the merges of byte-level BPE, with white space as Unicode defines it.
 _PRETOKEN = regex.compile(
@@ -36,7 +37,7 @@ _PRETOKEN = regex.compile(
     r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+")
 _PLACE = regex.compile(r"(?<=[^\p{White_Space}])(?=\p{White_Space})")
 # texts whose white space is single blanks and line ends; anything else takes the general way
-_ODD = re.compile(r"[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_ODD = re.compile("[ \n][ \n]|[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,13 +61,14 @@ class ByteBpe:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.made = {a + b: (k, a, b) for (a, b), k in reversed(self.rank.items())}
         self.tokens = {bytes([b]) for b in range(256)} | set(self.made)
-        self.ends = {t[k:] for t in self.tokens for k in range(len(t))}
+        self.starts = {t[:k] for t in self.tokens for k in range(1, len(t))}
         self.special = [t["content"] for t in model.get("added_tokens", []) if t.get("special")]
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.opening: dict[str, int] = {}  # segments as they stand
         self.spaced: dict[str, int] = {}  # segments by what follows their one blank
         self.spines: dict[tuple[bytes, bool], list] = {}
+        self._fresh()
 
     def _spine(self, token: bytes, right: bool) -> list[tuple[int, int, bytes]]:
         """(made at, used at, piece): the pieces of the token that lie at its right (left) end while it is merged."""
@@ -103,27 +105,44 @@ class ByteBpe:
             self.pairs[key] = ok
         return ok
 
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """Compile a transition of the inner machine: (next state, tokens added).
+
+        A state holds, for every place from which a token may still run on, what lies between that place and here, the
+        last token before the place, and how many tokens the encoding up to there has beyond the one up to here.
+        """
+        fitting, open_ = None, []
+        for piece, before, ahead in self.states[state]:
+            piece += bytes((byte,))
+            if piece in self.tokens and fitting is None and (before is None or self.fits(before, piece)):
+                fitting = (piece, ahead + 1)
+            if piece in self.starts:
+                open_.append((piece, before, ahead))
+        last, added = fitting
+        key = (*((p, b, n - added) for p, b, n in open_), (b"", last, 0))
+        if (to := self.index.get(key)) is None:
+            to = self.index[key] = len(self.states)
+            self.states.append(key)
+        out = self.table[state << 8 | byte] = (to, added)
+        return out
+
+    def _fresh(self) -> None:
+        start = ((b"", None, 0),)
+        self.states, self.index, self.table = [start], {start: 0}, {}
+
     def word(self, data: bytes) -> int:
-        """Tokens of one pre-token."""
+        """Tokens of one pre-token: the sum over the transitions of its bytes."""
         if data in self.tokens:
             return 1
-        n = len(data)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
-        tokens, ends, fits = self.tokens, self.ends, self.fits
-        for i in range(1, n + 1):
-            j = i - 1
-            while j >= 0:
-                piece = data[j:i]
-                if piece not in ends:
-                    break
-                if piece in tokens and (j == 0 or (last[j] and fits(last[j], piece))):
-                    last[i], count[i] = piece, count[j] + 1
-                    break
-                j -= 1
-            if not last[i]:
-                raise ValueError(f"no encoding of {data[:i]!r}")
-        return count[n]
+        if len(self.table) > TRANSITIONS:
+            self._fresh()
+        state = total = 0
+        seen = self.table.get
+        for byte in data:
+            t = seen(state << 8 | byte)
+            state, added = self._step(state, byte) if t is None else t
+            total += added
+        return total
 
     def segment(self, text: str) -> int:
         """Tokens of a text without special tokens, by pre-tokens."""
@@ -158,7 +177,7 @@ class ByteBpe:
                 total += self._filled(self.opening, words[0], words[0])
             counts = list(map(seen, words[1:]))
             if None in counts:
-                counts = [self._filled(self.spaced, w, " " + w) for w in words[1:]]
+                counts = [self._filled(self.spaced, w, " " + w) if n is None else n for w, n in zip(words[1:], counts)]
             total += sum(counts)
         return total
 
