@@ -3,7 +3,7 @@
 Every text is a set of five-word shingles. Shingles have one global order, rarest first, after counts of hashed
 shingles in a table of fixed size. Two sets of similarity >= t share at least l tokens of their prefixes of
 n - ceil(t n) + l tokens; each document takes the l that keeps its estimated candidates cheapest, and a pair is
-verified only if it shares as many prefix tokens as the smaller of both l asks for.
+verified only if it shares as many prefix tokens as the smaller of both l asks for, at places that leave enough of both.
 
 Equal sets are one node from the start. Of a posting list of near copies it suffices to check each member against
 one hub: members found similar are connected, and only lists that still hold several components go on, with other
@@ -25,7 +25,7 @@ from corpusloom.llm.shingles import digest, shingle_sets
 from corpusloom.session import fits_broadcast
 
 PERCENT = 80
-TABLE_BITS, SLICE_BITS = 20, 14  # the table of counts: 2**20 counters, in slices of 2**14
+TABLE_BITS, SLICE_BITS = 21, 15  # the table of counts: 2**21 counters, in slices of 2**15
 MOST_MATCHES = 4  # the largest l that is weighed
 ID_ROWS = 500_000  # ids that are broadcast at most (8 bytes each)
 
@@ -71,7 +71,7 @@ def _table(profile: DataFrame) -> np.ndarray:
     # a first sum per source of slices keeps what one task gathers small, however many tasks wrote slices
     partial = some.repartition(F.col("slice"), F.floor(F.rand(7) * 16)).mapInArrow(added, "slice int, counts binary")
     whole = np.zeros((1 << (TABLE_BITS - SLICE_BITS), 1 << SLICE_BITS), np.int64)
-    for row in partial.repartition("slice").mapInArrow(lambda it: _added64(it), "slice int, counts binary").collect():  # 2**20 counters
+    for row in partial.repartition("slice").mapInArrow(lambda it: _added64(it), "slice int, counts binary").collect():  # 2**21 counters
         whole[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return whole.reshape(-1)
 
@@ -89,8 +89,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
     """(l, prefix tokens) of a set: the l with the least estimated cost of postings and candidates."""
     n = len(h)
     df = counts[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    key = np.floor(2 * np.log2(df + 1.0)).astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((h, df))
     least = -(-n * percent // 100)  # tokens that a partner shares at least
     # candidates of a token beyond what unrelated shingles put into its counter
     extra = np.maximum(df[order].astype(float) - 1.5 * usual, 0.0)
@@ -102,7 +101,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, percent: int = PERCE
 
 def _prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(doc_id, n, d1, d2, l, tokens) of every row with a set."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB
+    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 8 MB
     usual = float(np.median(counts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +150,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_components(shared: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """Postings (token, node, comp) of the tokens whose nodes are in several components."""
+    """Postings (token, node, n, pos, comp) of the tokens whose nodes are in several components."""
     if edges is None:
         labelled = shared.withColumn("comp", F.col("node"))
     else:
         known = components(edges).withColumnRenamed("component", "c")
-        labelled = shared.select("token", "node").join(known, "node", "left").select(
-            "token", "node", F.coalesce("c", "node").alias("comp"))
+        labelled = shared.join(known, "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
     w = Window.partitionBy("token")
     mixed = labelled.withColumn("_lo", F.min("comp").over(w)).withColumn("_hi", F.max("comp").over(w))
     return mixed.where("_lo <> _hi").drop("_lo", "_hi")
@@ -178,37 +176,51 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
     nodes = saved(speakers.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
 
     postings = _prefixes(docs, _table(profile)).join(nodes, ["d1", "d2"]).where("doc_id = node")
-    postings = saved(postings.dropDuplicates(["node"]).select("node", "n", "l", "tokens"))
-    listed = postings.select("node", F.explode("tokens").alias("token"))
+    # one row a node, where the join has put it
+    postings = saved(postings.dropDuplicates(["d1", "d2", "node"]).select("node", "n", "l", "tokens"))
+    # n and the place of the token in the prefix travel in one number
+    listed = postings.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select(
+        "token", "node", (F.shiftleft("n", 32) + F.col("pos")).alias("at"))
     shared = saved(
-        listed.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where("_n > 1").select("token", "node"))
+        listed.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where("_n > 1").select(
+            "token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")))
     facts = postings.select("node", "n", "l")
 
-    ids = shared.select(F.col("node").alias("doc_id")).distinct()
-    ids = saved(ids)
-    wanted = docs.join(F.broadcast(ids) if fits_broadcast(ids, ID_ROWS) else ids, "doc_id", "left_semi")
-    sets = _sets(wanted).withColumnRenamed("doc_id", "node").join(nodes, ["node", "d1", "d2"], "left_semi")
-    sets = saved(sets.dropDuplicates(["node"]).select("node", "tokens"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The similar ones; whole sets are built for the nodes of the pairs only."""
+        ids = saved(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct())
+        wanted = docs.join(F.broadcast(ids) if fits_broadcast(ids, ID_ROWS) else ids, "doc_id", "left_semi")
+        sets = _sets(wanted).withColumnRenamed("doc_id", "node").join(nodes, ["node", "d1", "d2"], "left_semi")
+        sets = saved(sets.dropDuplicates(["node", "d1", "d2"]).select("node", "tokens"))
+        return saved(_verified(pairs, sets, percent))
 
     edges = tried = None
     mixed = saved(_with_components(shared, None))
     for turn in range(hub_rounds):
-        hub = F.min_by("node", F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).over(Window.partitionBy("token"))
-        homes = F.min_by("comp", F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).over(Window.partitionBy("token"))
-        stars = mixed.withColumn("hub", hub).withColumn("home", homes).where("hub <> node and home <> comp")
-        pairs = stars.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-        pairs = saved(_plausible(pairs, facts, percent))
+        # the smallest set first: where texts are one passage and little else, it is the one that all others are nearest to
+        order = F.struct("n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        hub = F.min_by(F.struct("node", "comp", "n", "pos"), order).over(Window.partitionBy("token"))
+        stars = mixed.withColumn("hub", hub).where("hub.node <> node and hub.comp <> comp").where(
+            _possible(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"), percent))
+        a, b = F.least("hub.node", "node"), F.greatest("hub.node", "node")
+        pairs = stars.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("matches"))
+        # a hub is only a short cut: members that share little of their prefix with it are left to what follows
+        likely = F.col("matches") >= F.greatest(F.least("la", "lb"), F.least("na", "nb") / 40)
+        pairs = saved(_plausible(pairs, facts, percent).where(likely).select("a", "b"))
         tried = pairs if tried is None else tried.unionAll(pairs)
-        found = saved(_verified(pairs, sets, percent))
+        found = verified(pairs)
         edges = found if edges is None else edges.unionAll(found)
         mixed = saved(_with_components(shared, edges))
         if mixed.isEmpty():
             break
-    x, y = mixed.select("token", F.col("node").alias("a"), F.col("comp").alias("ca")), mixed.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    pairs = x.join(y, "token").where("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("matches"))
+    x = mixed.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    y = mixed.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    near = (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    pairs = x.join(y, near & _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches"))
     pairs = _plausible(pairs, facts, percent).where(F.col("matches") >= F.least("la", "lb")).select("a", "b")
     pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionAll(_verified(pairs, sets, percent))
+    edges = edges.unionAll(verified(pairs))
 
     linked = components(edges)
     by_doc = (
@@ -219,6 +231,16 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _possible(na, pa, nb, pb, percent: int):
+    """Whether two sets that share a token at these places of their orders can be similar.
+
+    A match among the first MOST_MATCHES leaves an overlap of at most that number, itself included, and what follows
+    it in the shorter rest; so no similar pair loses one of the matches that it is asked for.
+    """
+    most = F.least(na - pa, nb - pb) - 1 + MOST_MATCHES
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
+
+
 def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity, with the l of both."""
     x = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
