@@ -184,7 +184,6 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
     shared = saved(
         listed.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where("_n > 1").select(
             "token", "node", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos")))
-    facts = postings.select("node", "n", "l")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The similar ones; whole sets are built for the nodes of the pairs only."""
@@ -203,10 +202,10 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
         stars = mixed.withColumn("hub", hub).where("hub.node <> node and hub.comp <> comp").where(
             _possible(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"), percent))
         a, b = F.least("hub.node", "node"), F.greatest("hub.node", "node")
-        pairs = stars.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("matches"))
+        pairs = stars.select(a.alias("a"), b.alias("b")).distinct()
         # a hub is only a short cut: members that share little of their prefix with it are left to what follows
         likely = F.col("matches") >= F.greatest(F.least("la", "lb"), F.least("na", "nb") / 40)
-        pairs = saved(_plausible(pairs, facts, percent).where(likely).select("a", "b"))
+        pairs = saved(_matched(pairs, postings).where(likely).select("a", "b"))
         tried = pairs if tried is None else tried.unionAll(pairs)
         found = verified(pairs)
         edges = found if edges is None else edges.unionAll(found)
@@ -217,9 +216,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
     y = mixed.select("token", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     near = (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
     pairs = x.join(y, near & _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("matches"))
-    pairs = _plausible(pairs, facts, percent).where(F.col("matches") >= F.least("la", "lb")).select("a", "b")
-    pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"))
+    pairs = saved(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = saved(_matched(pairs, postings).where(F.col("matches") >= F.least("la", "lb")).select("a", "b"))
     edges = edges.unionAll(verified(pairs))
 
     linked = components(edges)
@@ -232,17 +230,17 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
 
 
 def _possible(na, pa, nb, pb, percent: int):
-    """Whether two sets that share a token at these places of their orders can be similar.
+    """Whether two sets whose first shared token is at these places of their orders can be similar.
 
-    A match among the first MOST_MATCHES leaves an overlap of at most that number, itself included, and what follows
-    it in the shorter rest; so no similar pair loses one of the matches that it is asked for.
+    What they share is that token and what follows it in the shorter rest at most. A similar pair has such a first
+    token, so one of its rows passes; later ones need not, which is why matches are counted on the prefixes.
     """
-    most = F.least(na - pa, nb - pb) - 1 + MOST_MATCHES
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(na - pa, nb - pb) * (100 + percent) >= percent * (na + nb))
 
 
-def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity, with the l of both."""
-    x = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"))
-    y = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"))
-    return pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+def _matched(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """The pairs with the size and l of both, and how many tokens their prefixes share."""
+    x = postings.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("tokens").alias("ta"))
+    y = postings.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("tokens").alias("tb"))
+    both = pairs.join(x, "a").join(y, "b")
+    return both.withColumn("matches", F.size(F.array_intersect("ta", "tb"))).drop("ta", "tb")
