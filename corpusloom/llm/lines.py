@@ -2,7 +2,10 @@
 
 Documents are paired through the rare lines they share: each later document with the first holder of a line. Pairs
 are aligned by patience diff over line hashes, and what is aligned in blocks of enough words goes from the later one.
-Exact copies of a whole text are settled by a digest first.
+What the pairs leave (frequent lines, sections without unique lines, blocks whose lines first stand in different
+documents, moved passages) is settled by a join over hashes of runs of lines: in the end every line goes that lies in
+a run of lines of enough words which an earlier document holds. Exact copies of a whole text are settled by a digest
+first.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import pack, saved, unpacked
+from corpusloom.llm.words import mix, powers
 from corpusloom.session import fits_broadcast
 
 RARE = 50  # a line in at most so many documents pairs all its holders with the first one
 MIN_WORDS = 10  # words that an aligned block must have to be deleted
 ID_ROWS = 500_000  # ids that are broadcast at most (8 bytes each)
+_STEP = powers(2)[1:]  # base of the run hashes, odd
+_BACK = np.array([pow(int(_STEP[0]), -1, 2**64)], np.uint64)
 
 
 def _lines(text: Column) -> Column:
@@ -101,6 +107,54 @@ def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     return pairs.mapInArrow(aligned, "doc_id long, gone array<int>")
 
 
+def run_spans(words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the shortest runs of min_words words or more that start, or that end, at a line of one text.
+
+    Any run of lines with so many words is the union of those inside it, so it is held where they all are.
+    """
+    total = np.append(0, np.cumsum(words))
+    starts = np.arange(len(words))
+    ends = np.searchsorted(total, total[:-1] + min_words, "left")
+    first = np.searchsorted(doc, doc, "left")
+    last = np.searchsorted(doc, doc, "right")
+    begins = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    forward = ends <= last
+    backward = (begins >= first) & (ends[np.maximum(begins, 0)] != starts + 1)
+    return np.append(starts[forward], begins[backward]), np.append(ends[forward], starts[backward] + 1)
+
+
+def _run_hashes(lines: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the lines start .. end - 1: a polynomial over line hashes, moved to place 0, and the length."""
+    n = len(lines)
+    up = np.multiply.accumulate(np.append(np.uint64(1), np.repeat(_STEP, n)))
+    down = np.multiply.accumulate(np.append(np.uint64(1), np.repeat(_BACK, n)))
+    total = np.append(np.uint64(0), np.cumsum(mix(lines) * up[:-1], dtype=np.uint64))
+    return mix((total[end] - total[start]) * down[start] + mix((end - start).astype(np.uint64)))
+
+
+def _runs(single: DataFrame, min_words: int) -> DataFrame:
+    """(h, doc_id, start, n, open) from (doc_id, h, words, gone); runs are open if some of their lines isn't gone yet."""
+    names = ["h", "doc_id", "start", "n", "open"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, words, gone = (batch.column(k) for k in (1, 2, 3))
+            base = np.append(0, np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+            h = lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            w = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(batch)), np.diff(base))
+            away = np.zeros(len(h) + 1, np.int64)
+            cut = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            away[1 + np.repeat(base[:-1], cut) + gone.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = 1
+            away = np.cumsum(away)
+            a, e = run_spans(w, doc, min_words)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_run_hashes(h, a, e).view(np.int64)), batch.column(0).take(pa.array(doc[a], pa.int64())), pa.array(a - base[doc[a]], pa.int32()),
+                 pa.array(e - a, pa.int32()), pa.array(away[e] - away[a] < e - a)], names)
+
+    return single.mapInArrow(hashed, "h long, doc_id long, start int, n int, open boolean")
+
+
 def find_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(facts, gone): (doc_id, n_lines, copy) of every row, and (doc_id, gone) of documents that lose single lines.
 
@@ -125,6 +179,12 @@ def find_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) ->
     both = pairs.join(firsts, "first").join(single.select("doc_id", F.col("lines.h").alias("mine"), F.col("lines.words").alias("words")), "doc_id")
     gone = _aligned(both.select("doc_id", "first_lines", "mine", "words"), min_words).where(F.size("gone") > 0)
     gone = saved(gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
+    # runs of lines that an earlier document holds, whatever the pairs were
+    runs = saved(_runs(single.join(gone, "doc_id", "left").select("doc_id", "lines.h", "lines.words", "gone"), min_words))
+    held = runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
+    more = runs.where("open").join(held, "h").where("doc_id > first").groupBy("doc_id").agg(
+        F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("n") - 1))).alias("gone"))
+    gone = saved(gone.unionByName(more).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
     digests = known.where("doc_id = first").groupBy("doc_id").agg(F.max("digest").alias("digest"))
     facts = known.select("doc_id", "digest", F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), "copy")
     return saved(facts), saved(gone.join(digests, "doc_id"))

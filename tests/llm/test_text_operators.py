@@ -247,6 +247,14 @@ def test_a_line_of_many_documents_goes_from_all_but_the_first(spark):
     assert all(len(t.split("\n")) == 2 for k, t in found.items() if k)
 
 
+def test_a_frequent_passage_goes_beside_a_rarer_shared_line(spark):
+    hot = "this passage of more than ten words is held by very many documents here"
+    rows = [(k, prose(k, 30) + "\n" + hot) for k in range(100)]
+    rows += [(200, "rare heading\n" + prose(200, 30)), (201, "rare heading\n" + prose(201, 30) + "\n" + hot + "\n" + prose(202, 30))]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(pairs(spark, rows), rare=20).collect()}
+    assert found[201] == "rare heading\n" + prose(201, 30) + "\n" + prose(202, 30) and found[200] == rows[100][1]
+
+
 def test_lines_of_awkward_rows(docs, empty):
     found = lines.dedup_lines(docs).collect()
     assert len(found) == len(awkward())
