@@ -46,7 +46,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     """Aligned blocks (i, j, n) of equal lines of a and b, in order, by patience diff.
 
     Lines unique in both sides of a section are anchors; the longest increasing run of them splits the section, and
-    sections are grown from their ends by equal lines. Sections wait on a stack, so depth is no matter.
+    sections are grown from their ends by equal lines. Sections wait on a stack, so depth is no matter. A section without
+    an anchor is left to the join over runs (see `find_lines`).
     """
     pairs: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -158,7 +159,8 @@ def _runs(single: DataFrame, min_words: int) -> DataFrame:
 def find_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(facts, gone): (doc_id, n_lines, copy) of every row, and (doc_id, gone) of documents that lose single lines.
 
-    `copy` tells a text whose lines all equal those of a smaller doc_id and hold min_words words or more.
+    `copy` tells a text whose lines all equal those of a smaller doc_id and hold min_words words or more. Single lines
+    go where they lie in a run of lines of min_words words or more that a smaller doc_id holds, each time they do.
     """
     rows = saved(profile(docs))
     total = F.aggregate("lines", F.lit(0), lambda s, x: s + x["words"])

@@ -255,6 +255,35 @@ def test_a_frequent_passage_goes_beside_a_rarer_shared_line(spark):
     assert found[201] == "rare heading\n" + prose(201, 30) + "\n" + prose(202, 30) and found[200] == rows[100][1]
 
 
+def test_repeated_passages_and_blocks_of_short_lines_go(spark):
+    twice = prose(1, 14)
+    short = [prose(10 + k, 4) for k in range(6)]
+    rows = [(1, f"{prose(2, 30)}\n{twice}\n{prose(3, 30)}\n{twice}\n{prose(4, 30)}"),
+            (2, f"{prose(5, 30)}\n{twice}\n{prose(6, 30)}\n{twice}\n{prose(7, 30)}"),
+            *[(3 + k, prose(20 + k, 30) + "\n" + x) for k, x in enumerate(short)],  # each line first stands alone
+            (10, "\n".join([prose(30, 30), *short, prose(31, 30)])), (11, "\n".join([prose(32, 30), *short, prose(33, 30)]))]
+    found = {r.doc_id: r.text for r in lines.dedup_lines(pairs(spark, rows)).collect()}
+    assert found[1] == rows[0][1] and found[10] == dict(rows)[10]
+    assert found[2] == f"{prose(5, 30)}\n{prose(6, 30)}\n{prose(7, 30)}"
+    assert found[11] == prose(32, 30) + "\n" + prose(33, 30)
+
+
+def test_runs_cover_what_earlier_texts_hold():
+    rnd = random.Random(8)
+    for _ in range(300):
+        texts = [[rnd.randrange(6) for _ in range(rnd.randint(0, 12))] for _ in range(2)]
+        size = [0, 1, 2, 3, 5, 11]  # words of a line
+        flat, doc = np.array(sum(texts, [])), np.repeat([0, 1], [len(t) for t in texts])
+        a, e = lines.run_spans(np.array([size[x] for x in flat], np.int64), doc, 10)
+        held = {tuple(flat[i:j]) for i, j in zip(a, e) if doc[i] == 0}
+        base = len(texts[0])
+        found = {k - base for i, j in zip(a, e) if doc[i] == 1 and tuple(flat[i:j]) in held for k in range(i, j)}
+        first, mine = texts
+        expected = {k for i in range(len(mine)) for j in range(i + 1, len(mine) + 1) if sum(size[x] for x in mine[i:j]) >= 10
+                    and any(first[p:p + j - i] == mine[i:j] for p in range(len(first))) for k in range(i, j)}
+        assert found == expected
+
+
 def test_lines_of_awkward_rows(docs, empty):
     found = lines.dedup_lines(docs).collect()
     assert len(found) == len(awkward())
