@@ -106,6 +106,46 @@ def test_near_vectors_equal_brute_force(spark):
     assert max(links.values()) > 4 * vectors.NEIGHBOURS  # lists are saturated, counts are whole
 
 
+def clumps():
+    """Two clumps of 60 vectors: every link across is weaker than 59 inside, so no list of 32 holds one."""
+    rng, rows = np.random.default_rng(5), []
+    angle = np.arccos(0.95)
+    for k in range(120):
+        center = np.zeros(24)
+        center[0], center[1] = (1, 0) if k < 60 else (np.cos(angle), np.sin(angle))
+        v = center + 0.006 * np.append([0, 0], rng.standard_normal(22))
+        rows.append((k, [float(x) for x in v], 1))
+    return rows
+
+
+def test_links_between_saturated_groups_are_kept(spark, monkeypatch):
+    rows = clumps()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    links, comps = plain_links(rows)
+    assert set(comps.values()) == {0} and set(links.values()) == {119}
+    # starts that show no pair across: the audit and the passes after it have to find them
+    started = vectors._started
+    monkeypatch.setattr(vectors, "_started", lambda nodes, seed: started(nodes, seed).where("(a < 60) = (b < 60)"))
+    for block, attempts in ((2048, 3), (16, 1)):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        monkeypatch.setattr(vectors, "ATTEMPTS", attempts)
+        found = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()}
+        assert found == {i: (links[i], 0) for i in comps}
+
+
+def test_a_forest_connects_what_is_linked():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 7, 40):
+        for share in (0.0, 0.03, 0.2, 1.0):
+            linked = rng.random((n, n)) < share
+            linked |= linked.T
+            np.fill_diagonal(linked, False)
+            p, q = vectors._forest(linked)
+            edges = {(int(min(x, y)), int(max(x, y))) for x, y in zip(p, q)}
+            expected = groups(range(n), lambda a, b: linked[a, b])
+            assert groups(range(n), lambda a, b: (a, b) in edges) == expected and len(edges) == n - len(set(expected.values()))
+
+
 def test_awkward_vectors(spark):
     rows = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [float("inf"), 1.0], 1), (6, [None, 1.0], 1),
             (7, [1.0, 0.0], None), (8, [1.0, 0.0], 1), (9, [2.0, 0.001], 1), (10, [1.0, 0.0], 2), (11, [1.0, 0.0, 0.0], 1), (8, [1.0, 0.0], 1),
