@@ -3,9 +3,10 @@
 Tokens are elements by their path and text strings by path and content. The occurrence vector of a token counts it on
 each page of its host; vectors are compared by a fingerprint that adds up over the pages, so a host with a third of
 all pages is combined before the shuffle like any other. Tokens with one vector form an equivalence class. A class is
-valid if enough pages of the host have it; its elements nest by their paths, since a path names its own ancestors. The
-valid classes of a host nest into its template: the elements between which its slots lie, and the strings that stand
-between slots. What remains in slots of the main kind is the article.
+valid if enough pages of the host have it, or if it holds an element: then its pages are a layout of their own, and its
+strings belong to that layout whatever share of the host it makes up. Strings of valid classes go. Classes are not
+nested by order and no slots are formed; what stands outside of the article by its element or its name goes by a
+fixed list.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from corpusloom.llm.common import pack, saved, unpacked
 from corpusloom.session import fits_broadcast
 
-SUPPORT = 0.5  # share of a host's pages that a valid class needs
+SUPPORT = 0.5  # share of a host's pages that a valid class without an element needs
 MIN_PAGES = 4  # pages of a host from which on strings can be told from articles
 TEMPLATE_ROWS = 200_000  # template tokens that are broadcast at most (a hash each)
 
@@ -38,6 +39,7 @@ _NAMED = re.compile(
     r"notice|popup|modal|overlay|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|sidebar|side|footer|foot|masthead|comment|"
     r"comments|disqus|respond|replies|share|sharing|social|related|newsletter|subscribe|signup|login|widget|toolbar|pager|pagination)"
     r"(?:$|[\s_\d-])")
+_STATE = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|hide)[-_]\S*")  # names that tell what an element has or lacks
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -110,7 +112,7 @@ def parse(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])).lower()
             main = tag in ("article", "main")
             outside = outside or tag in OUTSIDE or (tag == "header" and not inside) or (
-                not main and tag not in ("html", "body") and bool(names) and _NAMED.search(names) is not None)
+                not main and tag not in ("html", "body") and bool(names) and _NAMED.search(_STATE.sub("", names)) is not None)
             path = f"{path}/{tag}" + (f".{names}" if names else "")
             if not m[3].rstrip().endswith("/"):
                 stack.append((tag, path, inside or main, outside))
@@ -149,9 +151,11 @@ def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_P
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
     vectors = _tokens(pages).groupBy("host", "token").agg(
         F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.first("is_text").alias("is_text"))
+    vectors = saved(vectors.where(F.col("on") >= min_pages * support))
     known = sizes.where(F.col("pages") >= min_pages)
-    return vectors.where(F.col("on") >= min_pages * support).join(known, "host").where(
-        F.col("on") >= support * F.col("pages")).select("host", "token", "class", "is_text")
+    layouts = vectors.where(~F.col("is_text") & (F.col("on") >= min_pages)).select("host", "class", F.lit(True).alias("layout")).distinct()
+    return vectors.join(known, "host").join(layouts, ["host", "class"], "left").where(
+        (F.col("on") >= support * F.col("pages")) | F.col("layout")).select("host", "token", "class", "is_text")
 
 
 def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:

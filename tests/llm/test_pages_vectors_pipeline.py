@@ -63,6 +63,18 @@ def test_classes_nest_in_a_template(spark):
     assert set(tokens) == set(shared) and len(set(tokens.values())) == 1
 
 
+def test_each_layout_of_a_host_has_its_own_strings(spark):
+    rows, expected = [], {}
+    for k in range(30):  # three layouts, each on a third of the pages
+        name = "abc"[k % 3]
+        body = prose(500 + k, 20)
+        rows.append(page(k, "layouts.example", f"<p>{body}</p>", f"<div class='layout-{name}'><p>Notice of layout {name}.</p></div>"))
+        expected[k] = body
+    found = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected
+    assert text_of("<div class='content no-sidebar has-banner'><p>kept</p><div class='sidebar'>x</div></div>") == ["kept"]
+
+
 def test_awkward_pages(spark):
     long = "<article><p>" + prose(1, 200_000) + "</p></article>"
     rows = [(1, "http://a.b/x", None, "t", 1), (2, None, "<p>x</p>", "t", 2), (2, None, "<p>x</p>", "t", 2), (None, "nonsense", "", None, None),
