@@ -26,6 +26,7 @@ from corpusloom.session import fits_broadcast
 
 SUPPORT = 0.5  # share of a host's pages that a valid class without an element needs
 MIN_PAGES = 4  # pages of a host from which on strings can be told from articles
+ID_ROWS = 500_000  # pages left out as copies that are broadcast at most
 TEMPLATE_ROWS = 200_000  # template tokens that are broadcast at most (a hash each)
 
 # HTML element kinds and the names that sites give to what isn't the article.
@@ -125,6 +126,34 @@ def token(path: str, text: str) -> int:
     return int.from_bytes(blake2b(f"{path}\n{text}".encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def _strings(html: str) -> list[tuple[str, str]]:
+    """(path, text) of the blocks that can belong to the article."""
+    kept = [(path, text, inside) for path, text, inside, outside in parse(html) if text and not outside]
+    main = any(inside for *_, inside in kept)
+    return [(path, text) for path, text, inside in kept if inside or not main]
+
+
+def _single(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One page of each content of a host, and the number of these: copies of a page are no sign of a template."""
+    names = ["host", "page", "content"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = [token("", "\n".join(text for _, text in _strings(html.as_py() or ""))) for html in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(content, pa.int64())], names)
+
+    contents = saved(pages.mapInArrow(read, "host string, page long, content long"))
+    leads = saved(contents.groupBy("host", "content").agg(F.min("page").alias("lead")))
+    copies = saved(contents.join(leads, ["host", "content"]).where("page <> lead").select("host", "page").distinct())
+    twice = saved(contents.groupBy("host", "page").count().where("count > 1").select("host", "page"))
+    single = pages.join(F.broadcast(copies) if fits_broadcast(copies, ID_ROWS) else copies, ["host", "page"], "left_anti")
+    if not twice.isEmpty():  # repeated rows
+        twice = F.broadcast(twice) if fits_broadcast(twice, ID_ROWS) else twice
+        single = single.join(twice, ["host", "page"], "left_anti").unionByName(
+            single.join(twice, ["host", "page"], "left_semi").dropDuplicates(["host", "page"]))
+    return single.select("host", "html", "page"), leads.groupBy("host").agg(F.count("*").alias("pages"))
+
+
 def _tokens(pages: DataFrame) -> DataFrame:
     """(host, token, n, page, is_text) once for each token of a page that can belong to a template."""
     names = ["host", "token", "n", "page", "is_text"]
@@ -148,7 +177,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, token, class, is_text) of the valid equivalence classes, from pages(host, html, page)."""
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    pages, sizes = _single(pages)
     vectors = _tokens(pages).groupBy("host", "token").agg(
         F.count("*").alias("on"), F.bit_xor(F.xxhash64("page", "n")).alias("class"), F.first("is_text").alias("is_text"))
     vectors = saved(vectors.where(F.col("on") >= min_pages * support))
@@ -162,8 +191,8 @@ def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAG
     """pages without html, with text (blocks of the article, one a line) and n_chars (code points).
 
     A null or empty page, and one without an article, has an empty text and 0 characters. Pages without a url share
-    one host. Text outside of any template (a host of few pages) is judged by its elements alone. Where a page
-    consists mostly of strings that its host repeats, as copies of one page do, they are its article and stay.
+    one host. Text outside of any template (a host of few different pages) is judged by its elements alone. Pages of one
+    host with the same content count as one page, so copies of a page don't make its article a template.
     Repeated rows are extracted each; other columns pass through (text and n_chars are replaced).
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -186,13 +215,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAG
             for host, html, tokens in zip(hosts, htmls, owns):
                 if host != last:
                     last, own = host, frozenset(tokens.as_py() or ())
-                kept = [(path, text, inside) for path, text, inside, outside in parse(html.as_py()) if text and not outside]
-                if any(inside for *_, inside in kept):
-                    kept = [x for x in kept if x[2]]
-                left = [x for x in kept if token(x[0], x[1]) not in own] if own else kept
-                if 2 * sum(len(x[1]) for x in left) < sum(len(x[1]) for x in kept):
-                    left = kept
-                texts.append("\n".join(x[1] for x in left))
+                texts.append("\n".join(text for path, text in _strings(html.as_py()) if not own or token(path, text) not in own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["url", "_rest", "text"])
 
     out = joined.mapInArrow(written, schema)

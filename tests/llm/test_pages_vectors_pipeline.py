@@ -75,6 +75,21 @@ def test_each_layout_of_a_host_has_its_own_strings(spark):
     assert text_of("<div class='content no-sidebar has-banner'><p>kept</p><div class='sidebar'>x</div></div>") == ["kept"]
 
 
+def test_short_articles_lose_a_long_notice_and_copies_count_once(spark):
+    notice, rows, expected = prose(600, 80), [], {}
+    for k in range(8):
+        rows.append(page(k, "short.example", f"<p>{prose(700 + k, 5)}</p><p>{notice}</p>"))
+        expected[k] = prose(700 + k, 5)
+    for k in range(8, 20):  # copies of one article beside others: no layout, no template
+        body = "The copied article." if k < 14 else prose(800 + k, 9)
+        rows.append(page(k, "mixed.example", f"<p>{body}</p><p>About us.</p>"))
+        expected[k] = body
+    rows += [rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = Counter((r.page_id, r.text) for r in extract.extract(df).collect())
+    assert found == Counter({(k, t): 3 if k == 0 else 1 for k, t in expected.items()})
+
+
 def test_awkward_pages(spark):
     long = "<article><p>" + prose(1, 200_000) + "</p></article>"
     rows = [(1, "http://a.b/x", None, "t", 1), (2, None, "<p>x</p>", "t", 2), (2, None, "<p>x</p>", "t", 2), (None, "nonsense", "", None, None),
