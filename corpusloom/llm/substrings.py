@@ -1,9 +1,9 @@
-"""Repeated word windows, found by level-wise doubling.
+"""Repeated word windows, found by one step of doubling, from half of the length to all of it.
 
 The first level looks at windows of half the length: of every full window the half-length window with the least
 hash stands for it, so equal full windows have equal stand-ins and about one position in six is looked at. Only
-full windows whose stand-in is repeated are candidates of the next level, and those repeated there survive; levels
-go on in the same way (see `repeats`) as long as candidates survive and longer windows are asked for.
+full windows whose stand-in is repeated are candidates of the second and last level, and those repeated there are the
+result. No row is cut at either level.
 
 A window that occurs twice among the texts of one batch is known to be repeated without a shuffle, and only its first
 occurrence is sent on: a passage that a third of all texts share reaches its reducer as one row per batch.
