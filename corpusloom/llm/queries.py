@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    decontaminate, extract, licenses, lines, mixing, ngram_join, substrings, tokens, toxicity, vectors,
+    decontaminate, extract, licenses, lines, mixing, ngram_join, spelling, substrings, tokens, toxicity, twins, url_filter, vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,16 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
         F.round("_target", 6).alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+
+
+@query("op11_url_filter", twins.URL_SQL)
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page, and the rule that fits it."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "decided_by")
+
+
+@query("op13_spelling_variants", twins.SPELLING_SQL)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the vocabulary with the more frequent form it is a variant of."""
+    return spelling.variant_groups(read(spark, sf_dir, "documents"))
