@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import (
-    decontaminate, extract, licenses, lines, mixing, ngram_join, spelling, substrings, tokens, toxicity, twins, url_filter, vectors,
+    decontaminate, extract, lexical, licenses, lines, mixing, ngram_join, spelling, substrings, tokens, toxicity, twins, url_filter, vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "decided_by")
 
 
+@query("op12_lexical_ranking", twins.RANK_SQL)
+def op12_lexical_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of highest score of every benchmark item."""
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op13_spelling_variants", twins.SPELLING_SQL)
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the vocabulary with the more frequent form it is a variant of."""

@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import re
@@ -5,13 +6,15 @@ import sys
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from helpers import SCHEMA, awkward  # noqa: E402
 
-from corpusloom.llm import spelling, url_filter  # noqa: E402
+from corpusloom.llm import lexical, spelling, url_filter  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -122,6 +125,104 @@ def test_url_filter_on_empty_and_without_html(spark, empty):
     assert verdicts(spark, [(1, long, "<link " + "a='" * 100_000)])[1][0] == "block"
 
 
+# ---- 12: ranked lexical search ---------------------------------------------------
+
+TERM = re.compile(lexical.TERM)
+
+
+def terms_of(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_ranking(rows, items, k=10):
+    docs = [(i, Counter(terms_of(t))) for i, t in rows if terms_of(t)]
+    n_docs, n_terms = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    asked = {}
+    for item, text in items:
+        asked.setdefault(item, set()).update(terms_of(text))
+    out = set()
+    for item, terms in asked.items():
+        scored = []
+        for i, c in docs:
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t in terms if c[t])
+            if s > 0:
+                scored.append((-s, i is None, i or 0))
+        out |= {(item, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+def ranked(docs, items, **more):
+    return [tuple(r) for r in lexical.rank(docs, items, **more).collect()]
+
+
+def random_corpus(seed, n):
+    rnd = random.Random(seed)
+    vocabulary = [f"t{k}" for k in range(300)] + ["É", "é", "ß9", "漢字"]
+    rows = [(k, " ".join(rnd.choice(vocabulary[: rnd.choice([20, 100, 304])]) for _ in range(rnd.choice([0, 1, 5, 40, 200])))) for k in range(n)]
+    rows += [(5, rows[7][1]), (5, rows[7][1]), (None, rows[7][1]), (None, None), (9, ""), (10, " ,.- "), (11, "T1-t2.T3_t1" * 3000)]
+    items = [(k, rows[rnd.randrange(n)][1][:200].upper()) for k in range(25)] + [(25, None), (26, ""), (27, "nowhere"), (3, "t1 t2"), (28, "t1,T1;t1")]
+    return rows, items
+
+
+def test_ranking_equals_a_plain_version(spark, monkeypatch):
+    rows, items = random_corpus(1, 600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, score string").repartition(2)
+    expected = plain_ranking(rows, items)
+    got = ranked(docs, asked)
+    assert len(got) == len(set(got)) and set(got) == expected
+    # several passes over the documents, small trees and leaves
+    monkeypatch.setattr(lexical, "TERMS_AT_ONCE", 200)
+    monkeypatch.setattr(lexical, "TREE_ENTRIES", 500)
+    monkeypatch.setattr(lexical, "LEAF_DOCS", 2)
+    assert set(ranked(docs, asked)) == expected
+    assert set(ranked(docs, asked, k=3)) == plain_ranking(rows, items, 3)
+
+
+def test_awkward_documents_and_empty_tables(spark, docs, empty):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    items = [("a", "w1 w2 w3 one UPPER"), ("b", "idiot"), (None, "two")]
+    asked = spark.createDataFrame(items, "item_id string, text string")
+    assert set(ranked(docs, asked)) == plain_ranking(rows, items)
+    assert ranked(empty, asked) == [] and ranked(docs, asked.where("false")) == []
+    assert lexical.rank(docs, asked.where("false")).columns == lexical.rank(docs, asked).columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_terms_of_blocks(monkeypatch):
+    texts = ["a-B c", None, "", "É漢字 x\x00y\x7fz", "ab" * 400 + " " + "q," * 300, "last"]
+    seen = {}
+    for size in (1 << 20, 16):
+        monkeypatch.setattr(lexical, "BLOCK", size)
+        got = [(row, h) for rows, hashes in lexical.term_rows(pa.array(texts)) for row, h in zip(rows.tolist(), hashes.tolist())]
+        assert Counter(r for r, _ in got) == Counter({k: len(terms_of(t)) for k, t in enumerate(texts) if terms_of(t)})
+        for (row, h), w in zip(got, [w for t in texts for w in terms_of(t)]):
+            assert seen.setdefault(h, w) == w
+
+
+def test_subtrees_are_left_out_and_bounds_hold():
+    rng = np.random.default_rng(2)
+    items = lexical.Items.of([(i, f"t{i}-{k}".replace("-", "x")) for i in range(20) for k in range(15)] + [(i, f"common{k}") for i in range(20) for k in range(3)])
+    weight = rng.integers(500, 9000, len(items.terms))
+    lists = [np.sort(rng.choice(len(items.terms), rng.integers(1, 12), replace=False)) for _ in range(3000)] + items.lists * 12
+    lengths, t = np.array([len(x) for x in lists]), np.concatenate(lists)
+    c = rng.integers(100_000, 900_000, len(t))
+    search = lexical.Search(items, weight, np.ones(20, np.int64), 10)
+    search.add(list(range(len(lists))), lengths, t, c)
+    assert search.scored < 0.5 * search.leaves
+    tree = lexical.Tree(lengths, t, c, np.sqrt(weight), items)
+    bounds = tree.bounds(items, np.arange(20), np.sqrt(weight), items.norms(weight))
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    scores = np.array([[sum(int(weight[a]) * int(v) for a, v in zip(t[starts[d]:starts[d + 1]], c[starts[d]:starts[d + 1]]) if a in own) for d in range(len(lists))]
+                       for own in map(set, (x.tolist() for x in items.lists))])
+    for node, (lo, hi, _) in enumerate(tree.nodes):
+        assert (scores[:, tree.order[lo:hi]].max(1) <= bounds[node]).all()
+    for i in range(20):
+        best = sorted((-s, d) for d, s in enumerate(scores[i].tolist()) if s)[:10]
+        assert [(s, d) for s, _, d in search.best[i]] == best
+
+
 # ---- 13: spelling variants -------------------------------------------------------
 
 
@@ -192,8 +293,6 @@ def test_a_fuller_bitmap_changes_nothing(spark, docs, monkeypatch):
 
 
 def test_neighbourhoods_hold_each_result_once():
-    import numpy as np
-
     rnd = random.Random(3)
     for k in (2, 3, 8):
         for m in (1, 2, 5, 9):
