@@ -64,12 +64,17 @@ def test_method(one, url, method):
 
 @pytest.mark.parametrize("name, expected", [
     ("My Site_v1.0!", "my-site-v1-0"), ("a", "a-kb"), ("", "default-collection"), ("--x--", "x-kb"), ("é", "-kb"),
-    ("n" * 80, "n" * 60),
+    ("n" * 80, "n" * 51 + "-1b82bdea"),
 ])
 def test_sanitize(one, name, expected):
     assert one(U.sanitize_name, name=name) == expected
 
 
+def test_long_names_that_differ_late_stay_different(one):
+    names = {one(U.sanitize_name, name="n" * 70 + end) for end in ("", "a", "b", "a-b")}
+    assert len(names) == 4 and all(len(name) == 60 for name in names)
+
+
 @pytest.mark.parametrize("url, expected", [
     ("https://docs.example.org/a/b/", "docs-example-org-a-b"), ("https://example.org/", "example-org"),
     ("/data/my.notes.txt", "my-notes"), (" ", "default-collection"),
