@@ -149,12 +149,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("ta") + F.size("tb") - common)).select("a", "b")
 
 
-def _with_components(shared: DataFrame, edges: DataFrame | None) -> DataFrame:
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(node, component) after further links: components of what has been known are joined, not their nodes again.
+
+    A link stands for one between the components of its ends, and several between the same two are one, so the
+    graph that is left shrinks with every round, however many links a group of near copies has.
+    """
+    if labels is None:
+        return saved(components(found))
+    side = labels.select(F.col("node").alias("_node"), F.col("component").alias("_c"))
+    ends = found.join(side, F.col("a") == F.col("_node"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    ends = ends.join(side, F.col("b") == F.col("_node"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+    between = saved(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    joined = saved(components(between)).select(F.col("node").alias("_was"), F.col("component").alias("_now"))
+    moved = labels.join(joined, F.col("component") == F.col("_was"), "left").select("node", F.coalesce("_now", "component").alias("component"))
+    # a node that had no link so far was its own component
+    new = joined.join(labels, F.col("_was") == F.col("node"), "left_anti").select(F.col("_was").alias("node"), F.col("_now").alias("component"))
+    return saved(moved.unionAll(new))
+
+
+def _with_components(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Postings (token, node, n, pos, comp) of the tokens whose nodes are in several components."""
-    if edges is None:
+    if labels is None:
         labelled = shared.withColumn("comp", F.col("node"))
     else:
-        known = components(edges).withColumnRenamed("component", "c")
+        known = labels.withColumnRenamed("component", "c")
         labelled = shared.join(known, "node", "left").select("token", "node", "n", "pos", F.coalesce("c", "node").alias("comp"))
     w = Window.partitionBy("token")
     mixed = labelled.withColumn("_lo", F.min("comp").over(w)).withColumn("_hi", F.max("comp").over(w))
@@ -193,7 +212,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
         sets = saved(sets.dropDuplicates(["node", "d1", "d2"]).select("node", "tokens"))
         return saved(_verified(pairs, sets, percent))
 
-    edges = tried = None
+    labels = tried = None
     mixed = saved(_with_components(shared, None))
     for turn in range(hub_rounds):
         # the smallest set first: where texts are one passage and little else, it is the one that all others are nearest to
@@ -207,9 +226,8 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
         likely = F.col("matches") >= F.greatest(F.least("la", "lb"), F.least("na", "nb") / 40)
         pairs = saved(_matched(pairs, postings).where(likely).select("a", "b"))
         tried = pairs if tried is None else tried.unionAll(pairs)
-        found = verified(pairs)
-        edges = found if edges is None else edges.unionAll(found)
-        mixed = saved(_with_components(shared, edges))
+        labels = _merged(labels, verified(pairs))
+        mixed = saved(_with_components(shared, labels))
         if mixed.isEmpty():
             break
     x = mixed.select("token", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
@@ -218,9 +236,7 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
     pairs = x.join(y, near & _possible(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent))
     pairs = saved(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     pairs = saved(_matched(pairs, postings).where(F.col("matches") >= F.least("la", "lb")).select("a", "b"))
-    edges = edges.unionAll(verified(pairs))
-
-    linked = components(edges)
+    linked = _merged(labels, verified(pairs))
     by_doc = (
         speakers.join(nodes, ["d1", "d2"]).join(linked, "node", "left")
         .select("doc_id", F.coalesce("component", "node").alias("component_id"))
