@@ -6,7 +6,7 @@ n - ceil(t n) + l tokens; each document takes the l that keeps its estimated can
 verified only if it shares as many prefix tokens as the smaller of both l asks for, at places that leave enough of both.
 
 Equal sets are one node from the start. Of a posting list of near copies it suffices to check each member against
-one hub: members found similar are connected, and only lists that still hold several components go on, with other
+one hub, the set with the fewest rare tokens of its own: members found similar are connected, and only lists that still hold several components go on, with other
 hubs first and with all pairs of different components in the end. So no link between components is lost and
 a list of thousands of near copies costs thousands of checks, not their square.
 """
@@ -215,8 +215,9 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, hub_rounds: int = 2) ->
     labels = tried = None
     mixed = saved(_with_components(shared, None))
     for turn in range(hub_rounds):
-        # the smallest set first: where texts are one passage and little else, it is the one that all others are nearest to
-        order = F.struct("n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+        # the set with the fewest rarer tokens of its own first: what the others are copies of has none, and of a list it is
+        # the one that all others are nearest to; then the smallest set, then any
+        order = [F.struct("pos", "n", "node"), F.struct("n", "node"), F.struct(F.xxhash64("node", F.lit(turn)), "node")][min(turn, 2)]
         hub = F.min_by(F.struct("node", "comp", "n", "pos"), order).over(Window.partitionBy("token"))
         stars = mixed.withColumn("hub", hub).where("hub.node <> node and hub.comp <> comp").where(
             _possible(F.col("hub.n"), F.col("hub.pos"), F.col("n"), F.col("pos"), percent))

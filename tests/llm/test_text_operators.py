@@ -210,6 +210,42 @@ def test_ngram_join_of_awkward_rows(docs, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+
+def test_candidates_of_large_groups_grow_with_the_documents(spark, monkeypatch):
+    """Exact copies, near copies that are far from each other, a common line and a common passage, all at once."""
+    made = []
+    plain = ngram_join._matched
+    monkeypatch.setattr(ngram_join, "_matched", lambda found, postings: made.append(found.count()) or plain(found, postings))
+
+    def family(size):
+        rnd = random.Random(size)
+        base, passage, line = prose(11, 400).split(), prose(12, 60), prose(13, 12)
+
+        def near(k):
+            words = list(base)
+            for at in rnd.sample(range(400), 6):
+                words[at] = f"own{k}x{at}"
+            return " ".join(words)
+
+        texts = [" ".join(base)] + [near(k) for k in range(size)] + [" ".join(base)] * (size // 2)
+        texts += [f"{prose(k, 6)} {passage}" for k in range(size)] + [f"{prose(-k, 30)} {line}" for k in range(size)]
+        return list(enumerate(texts))
+
+    totals = []
+    for size in (100, 200):
+        made.clear()
+        rows = family(size)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(pairs(spark, rows)).collect()}
+        sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.lower().split()]}
+
+        def linked(a, b):
+            common = len(sets[a] & sets[b])
+            return 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common)
+
+        assert got == groups(list(sets), linked)
+        totals.append(sum(made))
+    assert totals[1] < 2.6 * totals[0] and totals[1] < 3 * len(rows)
+
 # ---- lines -------------------------------------------------------------------
 
 
