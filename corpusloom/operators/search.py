@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.functions.text import complexity, max_variations, prefix_key, strip, text_key, text_url_key
+from corpusloom.functions.text import (
+    complexity, lexical_terms as terms, max_variations, prefix_key, strip, text_key, text_url_key,
+)
+from corpusloom.operators import inverted
 from corpusloom.session import (
-    BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, keep_first, materialize, top_k,
+    BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, ensure_checkpoint_dir, keep_first, top_k,
 )
 
 # ---- fixed values -----------------------------------------------------------
@@ -22,7 +27,7 @@ SCORE_DIGITS = 6  # scores are compared at this precision, ties by id
 # ------------------------------------------------------------------------------
 
 CELLS = 4_000_000  # scores computed at a time inside a task
-TERM_ROWS = 2_000_000  # (query, term) pairs that may be broadcast (about 30 MB): questions beyond them are searched in blocks
+TERM_ROWS = 2_000_000  # (query, term) pairs that may be broadcast (about 30 MB): questions beyond them search an index
 HIT_ROWS = 50_000  # hits (ids and scores) that may be broadcast
 BUCKET_ROWS = 1_000  # chunks that a hashed bucket holds on average
 SLICE_ROWS = 50_000  # rows of one block of a block-by-block join
@@ -122,19 +127,6 @@ def _sliced_best(queries: DataFrame, chunks: DataFrame, k: int, block_rows: int)
     return _block_best(left, right, ["_s", "_q"], k)
 
 
-def _in_blocks(queries: DataFrame, blocks: int, depth: int, run) -> DataFrame:
-    """Run one search per block of queries and unite the hits (a few rows per query, written once per block)."""
-    queries = materialize(queries)
-    if depth > 3:
-        raise ValueError("one query_id has more rows than a block may hold")
-    out = None
-    for i in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(blocks)) == i)
-        hits = materialize(run(block))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def knn(
     queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -218,37 +210,30 @@ def knn_lsh(
     return _rank_hits(found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_lsh")
 
 
-def terms(c: Column) -> Column:
-    """Lexical terms: lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
-
-
 def _query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
 def bm25(
     queries: DataFrame, docs: DataFrame, k: int, k1: float = BM25_K1, b: float = BM25_B,
-    max_terms: int = TERM_ROWS, _depth: int = 0,
+    max_terms: int = TERM_ROWS,
 ) -> DataFrame:
     """BM25 top-k of every query (query_id, text) over docs (chunk_id, text).
 
     Two passes over the corpus and no shuffle of it. The first counts the documents
     of each query term (combined on the map side, one row per term and task). The
     second scores each task's documents against all queries and emits k rows per
-    query: neither tokens nor (query, document) pairs ever leave their task. A
-    query set with more terms than may be broadcast is searched block by block.
+    query: neither tokens nor (query, document) pairs ever leave their task. For a query
+    set with more terms than may be broadcast the documents are put into an inverted index
+    first, which all queries then search in one pass.
     """
     q_terms = _query_terms(queries)
     small = q_terms.limit(max_terms + 1).toArrow()
     tokens = docs.select("chunk_id", terms(F.col("text")).alias("_terms"))
-    if small.num_rows > max_terms and len(small["query_id"].unique()) > 1:
-        blocks = -(-q_terms.count() * 2 // max_terms)
-        return _in_blocks(
-            queries.select("query_id", "text"), blocks, _depth, lambda q: bm25(q, docs, k, k1, b, max_terms, _depth + 1)
-        )
-    if small.num_rows > max_terms:  # one question with very many terms: all of them
-        small = q_terms.toArrow()
+    if small.num_rows > max_terms:
+        path = f"{ensure_checkpoint_dir(queries.sparkSession)}/index-{uuid.uuid4().hex}"
+        inverted.extend(docs, path)
+        return inverted.search(queries, path, k, k1, b)
 
     # Pass 1: document frequencies; the empty term stands for "every document" and carries the lengths.
     vocabulary = q_terms.select("term").distinct().unionByName(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.chunks import chunk_fixed
 from corpusloom.functions.text import complexity, hyde_prompt, truncate_sentences, variation_prompt
 from corpusloom.operators import context as ctx
-from corpusloom.operators import rank, search
+from corpusloom.operators import inverted, rank, search
 from corpusloom.operators.embed import with_embedding, with_generated
 from corpusloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
@@ -27,13 +27,21 @@ def passages(docs: DataFrame, max_len: int = 1500, overlap: int = 150) -> DataFr
     )
 
 
-def cited_contexts(questions: DataFrame, docs: DataFrame, n: int = 5) -> DataFrame:
-    """For every question the n best passages as context text with numbered, deduplicated sources."""
-    best = rank.rank_top(distinct_hits(questions, passages(docs), n), n, prior="merged_rank")
+def cited_contexts(questions: DataFrame, docs: DataFrame, n: int = 5, index: str | None = None) -> DataFrame:
+    """For every question the n best passages as context text with numbered, deduplicated sources.
+
+    With an inverted index over the same passages (see `index_passages`) a search reads the terms of the questions only.
+    """
+    best = rank.rank_top(distinct_hits(questions, passages(docs), n, index), n, prior="merged_rank")
     return ctx.build_context(best, questions)
 
 
-def distinct_hits(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+def index_passages(docs: DataFrame, path: str) -> None:
+    """Add the passages of documents (url, doc_key, text) to the index in a folder."""
+    inverted.extend(passages(docs).select("chunk_id", F.col("content").alias("text")), path)
+
+
+def distinct_hits(questions: DataFrame, chunks: DataFrame, n: int, index: str | None = None) -> DataFrame:
     """Lexical hits of every question without copies: n of them wherever the passages have n different ones.
 
     Questions whose first hits are mostly copies are searched again, four times as deep, until they have enough.
@@ -41,7 +49,7 @@ def distinct_hits(questions: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     searchable = chunks.withColumnRenamed("content", "text")
     left, depth, out = questions, 3 * n, None
     while True:
-        hits = search.bm25(left, searchable, depth)
+        hits = inverted.search(left, index, depth) if index else search.bm25(left, searchable, depth)
         texts = search.with_texts(hits, chunks, max_hits=left.count() * depth).withColumn("variation_no", F.lit(0))
         found = materialize(search.merge_variations(texts))
         short = found.groupBy("query_id").agg(F.count("*").alias("_n"), F.sum("copies").alias("_all"))

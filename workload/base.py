@@ -61,6 +61,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """The folder of something that is built once a session and then read by every query that asks for it."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _STORED:
+        path = scratch(spark)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 # ---- derived inputs (the same derivation on both sides) -----------------------
 
 def doc_url():

@@ -4,14 +4,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import context as X
+from corpusloom.operators import inverted
 from corpusloom.operators import rank as R
 from corpusloom.operators import search as S
-from corpusloom.plans.retrieval import answer_all, cited_contexts
+from corpusloom.plans.retrieval import answer_all, cited_contexts, index_passages
 from corpusloom.operators.embed import with_embedding, with_rerank
 from corpusloom.operators.validate import check_hits
 from corpusloom.session import materialize, top_k
 from workload.base import (
-    DOC_URL_SQL, bm25_sql, contains_any_sql, documents, list_sql, query, questions, strip_sql, table, text_sql, words_sql,
+    DOC_URL_SQL, SQL, bm25_sql, contains_any_sql, documents, list_sql, query, questions, stored, strip_sql, table, terms_sql, text_sql, words_sql,
 )
 from workload.chunk_queries import windows_sql
 from corpusloom.functions.text import ANSWER_TYPES
@@ -45,6 +46,30 @@ def lexical_topk_blocks(spark, sf_dir):
     return S.bm25(questions(spark, sf_dir), documents(spark, sf_dir), 10, max_terms=1000).drop("method")
 
 
+def stored_index(spark, sf_dir):
+    """An inverted index of the documents, written once a session: those in English, extended by all others."""
+
+    def build(path):
+        english = F.coalesce(F.col("lang") == "en", F.lit(False))
+        for part in (english, ~english):
+            inverted.extend(documents(spark, sf_dir).where(part), path)
+
+    return stored(spark, f"index of {sf_dir}", build)
+
+
+@query("index_topk", f"WITH {bm25_sql(10)} SELECT * FROM hits")
+def index_topk(spark, sf_dir):
+    """Search in an index of two segments."""
+    return inverted.search(questions(spark, sf_dir), stored_index(spark, sf_dir), 10).drop("method")
+
+
+@query("index_terms", f"""WITH t AS (SELECT doc_id, unnest({terms_sql('text')}) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY term""")
+def index_terms(spark, sf_dir):
+    """Frequencies of all terms as the index has them."""
+    return inverted.dictionary(spark, stored_index(spark, sf_dir))
+
+
 # ---- flagship -------------------------------------------------------------------
 
 SUP = "translate(n::VARCHAR, '0123456789', '⁰¹²³⁴⁵⁶⁷⁸⁹')"
@@ -82,6 +107,14 @@ def cited_context(spark, sf_dir):
     return cited_contexts(questions(spark, sf_dir), docs.select("doc_key", "url", "text"))
 
 
+@query("cited_context_index", SQL["cited_context"])
+def cited_context_index(spark, sf_dir):
+    """The same contexts from a stored index of the passages."""
+    docs = documents(spark, sf_dir).withColumnRenamed("chunk_id", "doc_key").select("doc_key", "url", "text")
+    path = stored(spark, f"passages of {sf_dir}", lambda path: index_passages(docs, path))
+    return cited_contexts(questions(spark, sf_dir), docs, index=path)
+
+
 # ---- vectors ----------------------------------------------------------------------
 
 def vectors(spark, sf_dir):
