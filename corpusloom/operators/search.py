@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from corpusloom.functions.text import (
     complexity, lexical_terms as terms, max_variations, prefix_key, strip, text_key, text_url_key,
 )
-from corpusloom.operators import inverted
+from corpusloom.operators import cells, inverted
 from corpusloom.session import (
     BROADCAST_ROWS, broadcast_if_bounded, broadcast_if_small, ensure_checkpoint_dir, keep_first, top_k,
 )
@@ -116,17 +116,6 @@ def _rank_hits(candidates: DataFrame, k: int, method: str) -> DataFrame:
     return hits.withColumn("distance", F.round(1 - F.col("score"), SCORE_DIGITS)).withColumn("method", F.lit(method))
 
 
-def _sliced_best(queries: DataFrame, chunks: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Top-k of every query block in every chunk slice; a repeated query id is spread by its vector."""
-    m = max(1, -(-queries.count() * 2 // block_rows))
-    n = max(1, -(-chunks.count() // SLICE_ROWS))
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(m)).cast("int"))
-    left = left.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = chunks.withColumn("_s", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int"))
-    right = right.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    return _block_best(left, right, ["_s", "_q"], k)
-
-
 def knn(
     queries: DataFrame, chunks: DataFrame, k: int, max_broadcast: int = BROADCAST_ROWS
 ) -> DataFrame:
@@ -135,14 +124,16 @@ def knn(
     The query vectors (a set of checked size) go to every task; each task scores its
     own chunks against all of them as one matrix product and emits k rows per query.
     The chunk table is never shuffled and no (query, chunk) pair leaves its task. For a
-    larger query set every block of queries meets every slice of the chunks, all in one
-    pass over both tables.
+    larger query set the chunks are put into cells first, and a query meets the cells that
+    can hold one of its k best (see `cells`).
     """
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     chunks = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
     small = queries.limit(max_broadcast + 1).toArrow()
     if small.num_rows > max_broadcast:
-        return _rank_hits(_sliced_best(queries, chunks, k, max_broadcast), k, "knn")
+        path = f"{ensure_checkpoint_dir(queries.sparkSession)}/cells-{uuid.uuid4().hex}"
+        cells.build(chunks, path)
+        return cells.search(queries, path, k).withColumn("method", F.lit("knn"))
     if small.num_rows == 0:
         return _rank_hits(queries.sparkSession.createDataFrame([], _hit_schema(queries, chunks)), k, "knn")
     q = queries.sparkSession.sparkContext.broadcast(

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import inverted, search
+from corpusloom.operators import cells, inverted, search
 from corpusloom.plans.retrieval import cited_contexts, index_passages
 
 
@@ -78,3 +78,59 @@ def test_contexts_from_an_index(spark, folder):
     index_passages(docs, f"{folder}/p")
     result = lambda df: sorted(map(tuple, df.collect()))
     assert result(cited_contexts(asked, docs, 3, index=f"{folder}/p")) == result(cited_contexts(asked, docs, 3))
+
+
+# ---- cells ---------------------------------------------------------------------
+
+
+def clustered(spark, n, clusters, seed, key, dim=16, spread=0.08):
+    rng = np.random.default_rng(11)
+    middle = rng.standard_normal((clusters, dim))
+    rng = np.random.default_rng(seed)
+    made = middle[rng.integers(0, clusters, n)] + spread * rng.standard_normal((n, dim))
+    return spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(made)], f"{key} long, embedding array<float>")
+
+
+def hits(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"], r["distance"]) for r in df.collect())
+
+
+def test_cells_are_exact_and_leave_out_most_of_clustered_vectors(spark, folder, monkeypatch):
+    chunks, asked = clustered(spark, 3000, 40, 1, "chunk_id"), clustered(spark, 300, 40, 2, "query_id")
+    odd = spark.createDataFrame([(9000, [0.0] * 16), (9001, None), (9002, [1.0] + [0.0] * 15), (9003, [1.0] + [0.0] * 15)], "chunk_id long, embedding array<float>")
+    chunks = chunks.unionAll(odd)
+    asked = asked.unionAll(odd.select((F.col("chunk_id") + 1).alias("query_id"), "embedding")).repartition(3)
+    monkeypatch.setattr(cells, "SLICE_ROWS", 100)  # several slices a cell
+    cells.build(chunks, f"{folder}/v", cells=40)
+    scored = spark.sparkContext.accumulator(0)
+    exact = search.knn(asked, chunks, 5)
+    assert hits(cells.search(asked, f"{folder}/v", 5, counter=scored)) == hits(exact)
+    assert 0 < scored.value < 0.2 * 303 * 3003  # each question and vector at once would be all of them
+    assert hits(search.knn(asked, chunks, 5, max_broadcast=10)) == hits(exact)
+    assert hits(cells.search_codes(asked, f"{folder}/v", 5, probes=None, depth=4000)) == hits(exact)
+    few = cells.fit_probes(asked, f"{folder}/v", 5)
+    assert few < 12
+    share = cells.recall(cells.search_codes(asked, f"{folder}/v", 5, probes=few), exact).first()
+    assert share["queries"] == 303 and share["recall"] >= 0.95
+
+
+def test_few_vectors_none_and_mixed_widths(spark, folder):
+    one = spark.createDataFrame([(1, [3.0, 4.0])], "chunk_id int, embedding array<float>")
+    asked = spark.createDataFrame([("a", [4.0, 3.0]), ("b", None)], "query_id string, embedding array<float>")
+    cells.build(one, f"{folder}/one")
+    assert hits(cells.search(asked, f"{folder}/one", 3)) == [("a", 1, 1, 0.96, 0.04)] == hits(cells.search_codes(asked, f"{folder}/one", 3))
+    cells.build(one.limit(0), f"{folder}/none")
+    assert cells.search(asked, f"{folder}/none", 3).collect() == []
+    with pytest.raises(ValueError, match="no vector index"):
+        cells.search(asked, f"{folder}/missing", 3)
+    mixed = one.unionAll(spark.createDataFrame([(2, [1.0])], one.schema)).coalesce(1)
+    with pytest.raises(Exception, match="one width"):
+        cells.build(mixed, f"{folder}/mixed")
+
+
+def test_only_the_cells_asked_for_are_read(spark, folder):
+    cells.build(clustered(spark, 500, 10, 1, "chunk_id"), f"{folder}/v", cells=10)
+    asked = cells._questions(clustered(spark, 1, 10, 2, "query_id"))
+    pairs = cells._asked(asked, cells._centres(spark, f"{folder}/v"), lambda off, bound, floor: off == off.min())
+    plan = cells._rows(spark, f"{folder}/v", pairs)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan and "= " in plan[plan.index("PartitionFilters"):].split("]")[0]

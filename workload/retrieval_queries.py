@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import context as X
-from corpusloom.operators import inverted
+from corpusloom.operators import cells, inverted
 from corpusloom.operators import rank as R
 from corpusloom.operators import search as S
 from corpusloom.plans.retrieval import answer_all, cited_contexts, index_passages
@@ -139,6 +139,32 @@ def vector_topk_blocks(spark, sf_dir):
     return S.knn(*vectors(spark, sf_dir), 5, max_broadcast=300).drop("method")
 
 
+def vector_cells(spark, sf_dir):
+    return stored(spark, f"cells of {sf_dir}", lambda path: cells.build(vectors(spark, sf_dir)[1], path))
+
+
+@query("vector_cells_topk", f"WITH {KNN} SELECT query_id, chunk_id, score, distance, rank FROM kn WHERE rank <= 10")
+def vector_cells_topk(spark, sf_dir):
+    """Exact search in the stored cells."""
+    return cells.search(vectors(spark, sf_dir)[0], vector_cells(spark, sf_dir), 10).drop("method")
+
+
+@query("vector_codes_topk", f"WITH {KNN} SELECT query_id, chunk_id, score, distance, rank FROM kn WHERE rank <= 10")
+def vector_codes_topk(spark, sf_dir):
+    """The approximate search with all cells probed and all codes rescored."""
+    asked, chunks = vectors(spark, sf_dir)
+    return cells.search_codes(asked, vector_cells(spark, sf_dir), 10, probes=None, depth=chunks.count()).drop("method")
+
+
+@query("vector_codes_recall", "SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS enough FROM embeddings")
+def vector_codes_recall(spark, sf_dir):
+    """Whether the approximate search, over as many cells as a sample asks for, finds 95 in 100 of the exact hits."""
+    asked, chunks = vectors(spark, sf_dir)
+    path = vector_cells(spark, sf_dir)
+    found = cells.search_codes(asked, path, 10, probes=cells.fit_probes(asked, path, 10))
+    return cells.recall(found, S.knn(asked, chunks, 10)).select("queries", "wanted", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query("vector_topk_lsh")
 def vector_topk_lsh(spark, sf_dir):
     return S.knn_lsh(*vectors(spark, sf_dir), 10, dim=64)
