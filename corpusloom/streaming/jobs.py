@@ -18,10 +18,13 @@ BREAKER_THRESHOLD, BREAKER_RESET_SECONDS = 3, 300
 
 
 def stream_ingest(pages: DataFrame, root: str, name: str, checkpoint: str, max_len: int = 1500, overlap: int = 150):
-    """Arriving pages -> chunks -> collection, once per id (a replayed batch adds nothing)."""
+    """Arriving pages -> chunks -> collection, once per id.
 
-    def load(batch: DataFrame, _: int) -> None:
-        append_collection(build_chunks(pages_to_docs(batch), max_len, overlap), root, name)
+    The checkpoint folder names the stream: a batch that is replayed after a lost job is known from the log of commits.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        append_collection(build_chunks(pages_to_docs(batch), max_len, overlap), root, name, batch=(checkpoint, number))
 
     return pages.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
 
