@@ -36,6 +36,7 @@ SLICE_ROWS = 20_000  # vectors of a cell that a task holds at a time
 SEED_CELLS = 2  # nearest cells that give a question its first k-th score
 PART_DIMS, WORDS = 4, 256  # of the product code
 ROUNDS = 8  # of k-means
+PRODUCT = 4_000_000  # scores computed at a time inside a task
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -77,10 +78,11 @@ def _parts(width: int) -> list[slice]:
     return [slice(at, min(width, at + PART_DIMS)) for at in range(0, width, PART_DIMS)]
 
 
-def build(chunks: DataFrame, path: str, cells: int | None = None, seed: int = 7) -> None:
+def build(chunks: DataFrame, path: str, cells: int | None = None, seed: int = 7, codes: bool = True) -> None:
     """Index chunks(chunk_id, embedding); null vectors are left out.
 
-    As many cells as the square root of the vectors, MOST_CELLS at most, unless given.
+    As many cells as the square root of the vectors, MOST_CELLS at most, unless given. Without codes the index serves
+    the exact search only.
     """
     spark = chunks.sparkSession
     chunks = chunks.select("chunk_id", "embedding").where("embedding is not null")
@@ -89,7 +91,7 @@ def build(chunks: DataFrame, path: str, cells: int | None = None, seed: int = 7)
     cells = cells or max(1, min(MOST_CELLS, round(chunks.count() ** 0.5)))
     centres = _kmeans(points, cells, seed)
     rest = points - centres[_distances(points, centres).argmin(1)]
-    books = [_kmeans(rest[:, part], WORDS, seed + 1) for part in _parts(points.shape[1])]
+    books = [_kmeans(rest[:, part], WORDS, seed + 1) for part in _parts(points.shape[1])] if codes else []
     shared = spark.sparkContext.broadcast((centres, books))  # MOST_CELLS + WORDS vectors
     schema = T.StructType([
         chunks.schema["chunk_id"], T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType()),
@@ -117,12 +119,13 @@ def build(chunks: DataFrame, path: str, cells: int | None = None, seed: int = 7)
                 pa.array([row.tobytes() for row in codes], pa.binary()), pa.array(np.sqrt(left) + 1e-7)], schema=arrow)
 
     rows = materialize(chunks.mapInArrow(placed, schema))
-    known = rows.groupBy("cell").agg(F.max("dist").alias("radius"), F.count("*").alias("size"))
-    slices = F.broadcast(known.select("cell", F.ceil(F.col("size") / SLICE_ROWS).cast("int").alias("_n")))  # MOST_CELLS rows
-    rows = rows.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("_n")).cast("int")).drop("_n")
+    known = materialize(rows.groupBy("cell").agg(
+        F.max("dist").alias("radius"), F.count("*").alias("size"), F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices")))
+    slices = F.broadcast(known.select("cell", "slices"))  # MOST_CELLS rows
+    rows = rows.join(slices, "cell").withColumn("slice", F.pmod(F.xxhash64("chunk_id"), F.col("slices")).cast("int")).drop("slices")
     rows.hint("rebalance", "cell").sortWithinPartitions("cell", "slice", "dist").write.partitionBy("cell").parquet(f"{path}/rows")
     made = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>")
-    made.join(known, "cell").coalesce(1).write.parquet(f"{path}/centres")
+    made.join(F.broadcast(known), "cell").coalesce(1).write.parquet(f"{path}/centres")
     spark.createDataFrame([(k, b.tolist()) for k, b in enumerate(books)], "part int, words array<array<double>>").coalesce(1).write.parquet(f"{path}/books")
 
 
@@ -163,23 +166,22 @@ def _asked(queries: DataFrame, centres: tuple, choose) -> DataFrame:
     return queries.select("query_id", "embedding", "floor").mapInArrow(chosen, schema)
 
 
-def _met(asked: DataFrame, rows: DataFrame, columns: list[str], schema: T.StructType, score) -> DataFrame:
+def _met(asked: DataFrame, rows: DataFrame, path: str, columns: list[str], schema: T.StructType, score) -> DataFrame:
     """score(vectors or codes of one slice, one question) for every question of a slice's cell.
 
     The vectors of a slice come first, SLICE_ROWS or so of them, then its questions one by one: bounded memory, and a
     slice travels once.
     """
     key = ["cell", "slice"]
-    slices = broadcast_if_small(rows.select(*key).distinct(), 200_000)
-    asked = asked.join(slices, "cell")
+    slices = F.broadcast(asked.sparkSession.read.parquet(f"{path}/centres").select("cell", "slices"))  # MOST_CELLS rows
+    asked = asked.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     types = {f.name: f.dataType for f in [*rows.schema, *asked.schema]}
     names = [*columns, "query_id", "vec", "off", "floor"]
 
     def lined(df: DataFrame, kind: int) -> DataFrame:
         return df.select(*key, F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names])
 
-    wanted = asked.select(*key).distinct()
-    both = lined(rows.join(broadcast_if_small(wanted, 200_000), key, "left_semi"), 0).unionByName(lined(asked, 1))
+    both = lined(rows, 0).unionByName(lined(asked, 1))
     arrow = to_arrow_schema(schema)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +225,19 @@ class _Exact:
         reach = np.sqrt(np.maximum(2 - 2 * (floor - 10.0**-SCORE_DIGITS), 0)) + 1e-9
         first, end = np.searchsorted(dist, off - reach), np.searchsorted(dist, off + reach, "right")
         out = []
+        if 3 * int((end - first).clip(0).sum()) > len(q) * len(dist):  # little to leave out: all questions in one product
+            step = max(1, PRODUCT // max(1, len(dist)))
+            for at in range(0, len(q), step):
+                if self.counter is not None:
+                    self.counter.add(len(q[at:at + step]) * len(dist))
+                score = np.rint(q[at:at + step] @ unit.T * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
+                least = floor[at:at + step]
+                if len(dist) > self.k:
+                    least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+                i, found = np.nonzero(score >= least[:, None])
+                who = asked.column("query_id").take(pa.array(i + at))
+                out.append([who.cast(self.types[0]), ids.take(pa.array(found)).cast(self.types[1]), pa.array(score[i, found])])
+            return out
         for i, (lo, hi) in enumerate(zip(first.tolist(), end.tolist())):
             if hi <= lo:
                 continue
@@ -289,12 +304,13 @@ def search(queries: DataFrame, path: str, k: int, counter=None) -> DataFrame:
     spark = queries.sparkSession
     centres = _centres(spark, path)
     asked = materialize(_questions(queries))
+    if not len(centres[0]):
+        none = T.StructType([queries.schema["query_id"], *T.StructType.fromDDL("chunk_id string, score double")])
+        return _ranked(spark.createDataFrame([], none), k, "knn_cells")
     ids = spark.read.parquet(f"{path}/rows").schema["chunk_id"]
     schema = T.StructType([queries.schema["query_id"], ids, T.StructField("score", T.DoubleType())])
     types = [f.type for f in to_arrow_schema(schema)]
     columns = ["chunk_id", "embedding", "dist"]
-    if not len(centres[0]):
-        return _ranked(spark.createDataFrame([], schema), k, "knn_cells")
 
     def nearest(off: np.ndarray, bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
         return off.argsort(1, kind="stable").argsort(1) < SEED_CELLS
@@ -303,12 +319,12 @@ def search(queries: DataFrame, path: str, k: int, counter=None) -> DataFrame:
         return (bound >= floor[:, None]) & ~nearest(off, bound, floor)
 
     first = materialize(_asked(asked, centres, nearest))
-    hits = materialize(_met(first, _rows(spark, path, first).select("cell", "slice", *columns), columns, schema, _Exact(k, types, counter)))
+    hits = materialize(_met(first, _rows(spark, path, first).select("cell", "slice", *columns), path, columns, schema, _Exact(k, types, counter)))
     kth = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k).where(f"rank = {k}").select("query_id", F.col("score").alias("_kth"))
     raised = asked.join(broadcast_if_small(kth, 200_000), "query_id", "left").select(
         "query_id", "embedding", F.coalesce("_kth", "floor").alias("floor"))
     more = materialize(_asked(raised, centres, reached))
-    hits = hits.unionByName(_met(more, _rows(spark, path, more).select("cell", "slice", *columns), columns, schema, _Exact(k, types, counter)))
+    hits = hits.unionByName(_met(more, _rows(spark, path, more).select("cell", "slice", *columns), path, columns, schema, _Exact(k, types, counter)))
     return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_cells")
 
 
@@ -329,10 +345,12 @@ def search_codes(queries: DataFrame, path: str, k: int, probes: int | None = 8,
     pairs = materialize(_asked(asked, centres, nearest))
     stored = _rows(spark, path, pairs)
     books = [np.array(r["words"]) for r in spark.read.parquet(f"{path}/books").orderBy("part").collect()]  # WORDS vectors
+    if not books:
+        raise ValueError(f"the index in {path} has no codes")
     schema = T.StructType([queries.schema["query_id"], stored.schema["chunk_id"], *T.StructType.fromDDL("estimate double, cell int")])
     types = [f.type for f in to_arrow_schema(schema)]
     shared = spark.sparkContext.broadcast((cells, centre, books))
-    likely = _met(pairs, stored.select("cell", "slice", "chunk_id", "code"), ["chunk_id", "code"], schema, _Codes(depth, types, shared))
+    likely = _met(pairs, stored.select("cell", "slice", "chunk_id", "code"), path, ["chunk_id", "code"], schema, _Codes(depth, types, shared))
     likely = top_k(likely, ["query_id"], [F.col("estimate").desc(), F.col("chunk_id")], depth).select("query_id", "cell", "chunk_id")
     vectors = stored.select("cell", "chunk_id", F.col("embedding").alias("_vector"))
     scored = likely.join(vectors, ["cell", "chunk_id"]).join(asked.select("query_id", F.col("embedding").alias("_asked")), "query_id")

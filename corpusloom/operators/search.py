@@ -132,7 +132,7 @@ def knn(
     small = queries.limit(max_broadcast + 1).toArrow()
     if small.num_rows > max_broadcast:
         path = f"{ensure_checkpoint_dir(queries.sparkSession)}/cells-{uuid.uuid4().hex}"
-        cells.build(chunks, path)
+        cells.build(chunks, path, codes=False)
         return cells.search(queries, path, k).withColumn("method", F.lit("knn"))
     if small.num_rows == 0:
         return _rank_hits(queries.sparkSession.createDataFrame([], _hit_schema(queries, chunks)), k, "knn")

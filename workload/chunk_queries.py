@@ -66,15 +66,15 @@ def sql_chunk_functions(spark, sf_dir):
     return spark.sql("SELECT d.chunk_id, c.* FROM {docs} d, LATERAL chunk_headers(d.text, 600, 60) c", docs=docs)
 
 
-@query("text_documents", """SELECT sum(length(text) + 1)::BIGINT AS chars, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines
-FROM conversations""")
+@query("text_documents", """SELECT conv_id, length(t) AS chars, md5(t) AS digest FROM (
+  SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id)""")
 def text_documents(spark, sf_dir):
-    """Conversation texts written as text files, each file read back as one document."""
+    """Every conversation written as a text file, each file read back as one document."""
     out = scratch(spark)
-    table(spark, sf_dir, "conversations").select("text").write.text(out)
-    n = F.length("markdown")
-    return read_text_docs(spark, out).agg(
-        F.sum(n).alias("chars"), F.sum(n - F.length(F.translate("markdown", "\n", ""))).alias("lines"))
+    turns = table(spark, sf_dir, "conversations").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    turns.select("text", "conv_id").write.partitionBy("conv_id").text(out)
+    return read_text_docs(spark, out).select(
+        F.regexp_extract("url", r"conv_id=(\d+)/", 1).cast("long").alias("conv_id"), F.length("markdown").alias("chars"), F.md5("markdown").alias("digest"))
 
 
 @query("generated_text", """SELECT conv_id, turn, CASE WHEN length(text) % 3 = 0 THEN role ELSE text END AS generated FROM conversations""")

@@ -191,18 +191,17 @@ def adaptive_selection(spark, sf_dir):
 
 @query("hybrid_union", f"""
 WITH {KNN}, {bm25_sql(20)}, tx AS (SELECT doc_id AS chunk_id, text AS content FROM documents),
-a AS (SELECT query_id, chunk_id, content, score, rank, 0 AS side FROM kn JOIN tx USING (chunk_id) WHERE rank <= 10 AND query_id % 3 <> 0
+a AS (SELECT query_id, chunk_id, content, score, rank, 0 AS side FROM kn JOIN tx USING (chunk_id) WHERE rank <= 10
   UNION ALL SELECT query_id, chunk_id, content, score, rank, 1 FROM hits JOIN tx USING (chunk_id) WHERE rank <= 10),
 b AS (SELECT *, min(side) OVER (PARTITION BY query_id) <> max(side) OVER (PARTITION BY query_id) AS mixed FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN mixed THEN md5(content) || '_' || length(content) ELSE side || '_' || rank END ORDER BY side, rank) AS cp FROM b)
 SELECT query_id, chunk_id, score, CASE side WHEN 0 THEN 'semantic' ELSE 'lexical' END AS source,
   row_number() OVER (PARTITION BY query_id ORDER BY side, rank) AS rank FROM c WHERE cp = 1""")
 def hybrid_union(spark, sf_dir):
-    """Vector neighbours of two thirds of the questions' numbers and lexical hits of all questions."""
+    """Vector neighbours of all vectors and lexical hits of all questions: the numbers of questions have both."""
     docs = documents(spark, sf_dir).select("chunk_id", "content")
     (q, v), asked = vectors(spark, sf_dir), questions(spark, sf_dir)
-    near = S.knn(q, v, 20).filter("query_id % 3 <> 0")
-    semantic = S.with_texts(near, docs, max_hits=q.count() * 20)
+    semantic = S.with_texts(S.knn(q, v, 20), docs, max_hits=q.count() * 20)
     lexical = S.with_texts(S.bm25(asked, documents(spark, sf_dir), 20), docs, max_hits=asked.count() * 20)
     return S.hybrid(semantic, lexical, 20).drop("content", "method")
 
@@ -221,13 +220,15 @@ def semantic_rerank(spark, sf_dir):
     return ranked.select("query_id", "chunk_id", "score", F.col("embedding").isNull().alias("missing"), "rank")
 
 
-@query("reattached_embeddings", f"""WITH {HITS}
-SELECT query_id, chunk_id, rank, CASE WHEN vec_id IS NULL THEN 0.1::DOUBLE END AS semantic_fallback, round(embedding[1]::DOUBLE, 5) AS first
-FROM h LEFT JOIN embeddings ON vec_id = chunk_id""")
+@query("reattached_embeddings", f"""WITH {HITS},
+a AS (SELECT query_id, chunk_id, rank, CASE WHEN vec_id IS NULL THEN 0.1::DOUBLE END AS semantic_fallback, embedding,
+  unnest(CASE WHEN embedding IS NULL THEN [NULL::BIGINT] ELSE range(len(embedding)::BIGINT) END) AS place FROM h LEFT JOIN embeddings ON vec_id = chunk_id)
+SELECT query_id, chunk_id, rank, semantic_fallback, place, round(embedding[place + 1]::DOUBLE, 5) AS value FROM a""")
 def reattached_embeddings(spark, sf_dir):
     _, c = vectors(spark, sf_dir)
     out = S.attach_embeddings(hits(spark, sf_dir), c, 0.1, questions(spark, sf_dir).count() * K)
-    return out.select("query_id", "chunk_id", "rank", "semantic_fallback", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+    each = out.select("query_id", "chunk_id", "rank", "semantic_fallback", F.posexplode_outer("embedding").alias("place", "value"))
+    return each.withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
 # ---- lexical scores ------------------------------------------------------------------
