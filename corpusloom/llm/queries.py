@@ -113,7 +113,9 @@ FROM r"""
 @query("op8_mix_sources", MIX_SQL)
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document the mix takes."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"))
+    # of the text a hash stays, for rows without an id
+    hashed = F.when(F.col("doc_id").isNull(), F.md5("text")).alias("text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("n"), hashed)
     mixed = mixing.mix(mixing.saved(docs), size="n")
     return mixed.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),

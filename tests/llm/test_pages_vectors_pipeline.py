@@ -133,6 +133,22 @@ def test_near_vectors_equal_brute_force(spark):
     assert max(links.values()) > 4 * vectors.NEIGHBOURS  # lists are saturated, counts are whole
 
 
+def test_floats_at_the_threshold_are_compared_in_double_precision(spark):
+    rng, rows, t = np.random.default_rng(17), [], 0.93
+    for k in range(60):  # pairs turned until their cosine in doubles lies a hair above or below
+        a = rng.standard_normal(24).astype(np.float32)
+        b = rng.standard_normal(24)
+        u = a.astype(float) / np.linalg.norm(a.astype(float))
+        b -= (b @ u) * u
+        w = t * u + np.sqrt(1 - t * t) * b / np.linalg.norm(b)
+        rows += [(2 * k, [float(x) for x in a], k), (2 * k + 1, [float(x) for x in w.astype(np.float32)], k)]
+    links, comps = plain_links(rows)
+    near = [abs(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)) - t) for (_, x, _), (_, y, _) in zip(rows[::2], rows[1::2])]
+    assert max(near) < 1e-6 and 10 < len(links) < 110
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()} == {i: (links[i], comps[i]) for i in comps}
+
+
 def clumps():
     """Two clumps of 60 vectors: every link across is weaker than 59 inside, so no list of 32 holds one."""
     rng, rows = np.random.default_rng(5), []

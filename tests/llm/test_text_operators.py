@@ -384,6 +384,15 @@ def test_mix_of_awkward_rows(docs, empty, spark):
     assert [r._copies for r in mixing.mix(blank).collect()] == [0, 0]
 
 
+def test_rows_without_an_id_draw_for_themselves_in_the_query(spark, folder):
+    from corpusloom.llm import queries
+
+    rows = [(None, f"{prose(k, 9)}", "a") for k in range(400)] + [(k, prose(k, 9), "b") for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    taken = Counter(r.taken for r in queries.op8_mix_sources(spark, folder).where("doc_id is null").collect())
+    assert len(taken) == 2 and min(taken.values()) > 50  # one text's draw isn't the other's, though all have nine words
+
+
 # ---- toxicity ----------------------------------------------------------------
 
 
