@@ -83,7 +83,8 @@ def _best_cosine(q_ids: list, q_unit: np.ndarray, ids: np.ndarray, unit: np.ndar
 
 
 def _emit(found: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(found, schema=schema, preserve_index=False)
+    table = pa.Table.from_pandas(found, schema=schema, preserve_index=False).combine_chunks()  # string columns may be in chunks
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=schema)
 
 
 def _hit_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:

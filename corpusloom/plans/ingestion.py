@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.urls import name_from_url
 from corpusloom.operators.embed import with_embedding
+from corpusloom.operators.memo import remembered_embedding
 from corpusloom.operators.ingest import build_chunks, gate_embeddings, reduce_chunks
 from corpusloom.session import materialize
 from corpusloom.sources.collections import append_collection
@@ -22,16 +23,18 @@ def collection_for(spark: SparkSession, url: str) -> str:
 
 def ingest_pages(
     pages: DataFrame, root: str, name: str, embedder: Callable | None = None,
-    max_len: int = 1500, overlap: int = 150, max_chunks: int | None = None,
+    max_len: int = 1500, overlap: int = 150, max_chunks: int | None = None, memo: str | None = None,
 ) -> DataFrame:
     """Load pages into a collection and return the chunks that were offered to it.
 
     The vectors are written once (checkpoint), so neither the gate's count nor the
-    write runs the model again.
+    write runs the model again. memo: a folder that keeps the vector of every text (see
+    `operators.memo`); texts that it knows are not sent to the model.
     """
     chunks = build_chunks(pages_to_docs(pages), max_len, overlap)
     if max_chunks is not None:
         chunks = reduce_chunks(chunks, "chunk_id", max_chunks)
-    embedded = gate_embeddings(materialize(with_embedding(chunks, "content", embedder)))
+    vectors = remembered_embedding(chunks, "content", memo, embedder) if memo else with_embedding(chunks, "content", embedder)
+    embedded = gate_embeddings(materialize(vectors.select(*chunks.columns, "embedding")))
     append_collection(embedded, root, name)
     return embedded

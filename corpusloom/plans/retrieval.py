@@ -12,6 +12,7 @@ from corpusloom.functions.text import complexity, hyde_prompt, truncate_sentence
 from corpusloom.operators import context as ctx
 from corpusloom.operators import inverted, rank, search
 from corpusloom.operators.embed import with_embedding, with_generated
+from corpusloom.operators.memo import remembered_embedding, remembered_text
 from corpusloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 RANKING_METHOD = "enhanced_score_based_fallback"
@@ -61,20 +62,28 @@ def distinct_hits(questions: DataFrame, chunks: DataFrame, n: int, index: str |
         left, depth = materialize(left.join(short, "query_id", "left_semi")), 4 * depth
 
 
+def _generated(df: DataFrame, prompt: str, out: str, fallback: str, generate: Callable | None, memo: str | None, kind: str) -> DataFrame:
+    if memo is None:
+        return with_generated(df, prompt, out, fallback, generate)
+    return remembered_text(df, prompt, out, fallback, memo, kind, generate)
+
+
 def retrieve(
-    fanout: DataFrame, chunks: DataFrame, n: int, generate: Callable | None = None, embedder: Callable | None = None
+    fanout: DataFrame, chunks: DataFrame, n: int, generate: Callable | None = None, embedder: Callable | None = None,
+    memo: str | None = None,
 ) -> DataFrame:
     """Hybrid candidates of every query: fan-out, hypothetical answers, vectors and text, union, filter, pool.
 
     fanout: from expand_queries. chunks: chunk_id, url, content, embedding (or null).
     """
     prompts = fanout.withColumn("_prompt", hyde_prompt(F.col("text")))
-    searched = with_generated(prompts, "_prompt", "_answer", "text", generate).select(
+    searched = _generated(prompts, "_prompt", "_answer", "text", generate, memo, "hypothesis").select(
         F.struct("query_id", "variation_no").alias("key"), F.col("_answer").alias("text"), "strategy"
     ).withColumn("query_id", F.to_json("key"))
     searched = materialize(searched)  # generated text must be the same wherever it is used
     pool = max(30, 2 * n)
-    vectors = with_embedding(searched.select("query_id", "text"), "text", embedder)
+    asked = searched.select("query_id", "text")
+    vectors = remembered_embedding(asked, "text", memo, embedder) if memo else with_embedding(asked, "text", embedder)
     semantic = search.knn(vectors, chunks, pool // 2)
     lexical = search.bm25(
         searched.select("query_id", "text"), chunks.select("chunk_id", F.col("content").alias("text")), pool // 2
@@ -99,28 +108,30 @@ def retrieve(
 def answer_all(
     questions: DataFrame, chunks: DataFrame, fmt: str = "text", n: int = 15,
     vary: Callable | None = None, hypothesise: Callable | None = None, respond: Callable | None = None,
-    embedder: Callable | None = None,
+    embedder: Callable | None = None, memo: str | None = None,
 ) -> DataFrame:
     """query_id, response for every question: fan-out, retrieval, rerank, context, answer, rendering.
 
     Without a text generator there are no variations, the question is its own
     hypothetical answer, and the answer is taken from the best passage. A question
-    that ends without an answer gets an error text in the format asked for.
+    that ends without an answer gets an error text in the format asked for. memo: a folder
+    that keeps what models have answered (see `operators.memo`), so that a question asked
+    again calls none of them.
     """
     asked = questions.withColumn("strategy", complexity(F.col("text"))["strategy"])
     prompted = asked.withColumn("_prompt", variation_prompt(F.col("text"), F.col("strategy"))).withColumn(
         "_none", F.lit("")
     )
     fanout = materialize(
-        search.expand_queries(with_generated(prompted, "_prompt", "variations_text", "_none", vary))
+        search.expand_queries(_generated(prompted, "_prompt", "variations_text", "_none", vary, memo, "variations"))
     )
-    candidates = retrieve(fanout, chunks, 2 * n, hypothesise, embedder)
+    candidates = retrieve(fanout, chunks, 2 * n, hypothesise, embedder, memo)
     asked_small = broadcast_if_small(questions.select("query_id", F.col("text").alias("question")), 10 * BROADCAST_ROWS)
     ranked = materialize(rank.rerank_score(candidates.join(asked_small, "query_id"), n))
     contexts = ctx.build_context_full(ranked, RANKING_METHOD, queries=questions)
     best = ranked.filter("rank = 1").select("query_id", truncate_sentences(F.col("content")).alias("_best"))
-    texts = with_generated(
-        contexts.join(best, "query_id").withColumnRenamed("context", "_context"), "_context", "answer_text", "_best", respond
+    texts = _generated(
+        contexts.join(best, "query_id").withColumnRenamed("context", "_context"), "_context", "answer_text", "_best", respond, memo, "answer"
     )
     metadata = ctx.retrieval_metadata(ranked, fanout, RETRIEVAL_METHOD, RANKING_METHOD)
     answers = ctx.structured_answer(questions, ranked, texts, metadata)
