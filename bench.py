@@ -20,6 +20,7 @@ HEADLINE = [
     "text_features", "boilerplate", "context_quality", "high_recall_filter", "token_batches", "collection_append",
     "crawl_breadth_first", "sitemap_scan", "url_validate", "site_type", "cache_statistics", "progress_counters",
     "chat_trim", "answer_all_questions", "stream_ingest", "vector_topk_lsh", "vector_topk_blocks", "lexical_topk_blocks",
+    "index_topk", "vector_cells_topk",
 ]
 
 
