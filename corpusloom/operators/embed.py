@@ -89,8 +89,15 @@ def gate_errors(df: DataFrame, error: str, max_failed: float = 0.5) -> DataFrame
 
 
 def with_rerank(hits: DataFrame, model: Callable[[pd.Series, pd.Series], pd.Series], out: str = "rerank_score") -> DataFrame:
-    """Add the score that a rerank model gives to (question, content), a batch at a time."""
-    score = F.pandas_udf(model, "double")
+    """Add the score that a rerank model gives to (question, content), a batch at a time; null where the call fails."""
+
+    @F.pandas_udf("double")
+    def score(question: pd.Series, content: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(model(question, content), dtype="float64")
+        except Exception:  # `rank.rerank_fallback` marks the question as degraded
+            return pd.Series([None] * len(question), dtype="float64")
+
     return hits.withColumn(out, score(F.col("question"), F.col("content")))
 
 

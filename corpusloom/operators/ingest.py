@@ -98,10 +98,14 @@ def semantic_chunks(docs: DataFrame, id_col: str, text: str, target: int = 1200,
 
 def gate_embeddings(chunks: DataFrame, max_failed: float = MAX_FAILED_SHARE) -> DataFrame:
     """Drop rows without a vector; abort when more than half of them have none."""
-    total, failed = chunks.agg(F.count("*"), F.count_if(F.col("embedding").isNull())).first()
+    gate_counts(*chunks.agg(F.count("*"), F.count_if(F.col("embedding").isNull())).first(), max_failed)
+    return chunks.filter(F.col("embedding").isNotNull())
+
+
+def gate_counts(total: int, failed: int, max_failed: float = MAX_FAILED_SHARE) -> None:
+    """The same gate where another job has counted already."""
     if total and failed / total > max_failed:
         raise ValueError(f"{failed} of {total} embeddings failed")
-    return chunks.filter(F.col("embedding").isNotNull())
 
 
 def memory_estimate(chunks: DataFrame, text: str = "content") -> DataFrame:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators.embed import with_embedding, with_generated
+from corpusloom.operators.embed import with_embedding, with_generated, with_rerank
 from corpusloom.session import materialize
 from corpusloom.sources.files import children
 
@@ -76,3 +76,17 @@ def remembered_text(
 
     found = remembered(df, prompt, "_made", path, kind, name, compute)
     return found.withColumn(out, F.coalesce("_made", F.col(fallback))).drop("_made")
+
+
+def remembered_score(
+    hits: DataFrame, path: str, model: Callable[[pd.Series, pd.Series], pd.Series], out: str = "rerank_score", name: str = "default",
+) -> DataFrame:
+    """As `with_rerank`, by way of the store: a question is scored once against a content."""
+    pair = "question string, content string"
+
+    def compute(texts: DataFrame) -> DataFrame:
+        read = texts.withColumn("_pair", F.from_json("text", pair)).select("key", "_pair.*")
+        return with_rerank(read, model, "value")
+
+    keyed = hits.withColumn("_text", F.to_json(F.struct("question", "content")))
+    return remembered(keyed, "_text", out, path, "rerank", name, compute).drop("_text")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import max_variations, strip
+from corpusloom.session import materialize
+from corpusloom.sources.files import children
 
 # ---- fixed values -----------------------------------------------------------
 URL_SCHEMES = r"^(?:http://|https://|file://)"
@@ -13,11 +17,13 @@ STRATEGY_RANGES = {"simple": (0.0, 0.33), "moderate": (0.33, 0.66), "complex": (
 MAX_RETRIEVAL_SECONDS = 300
 # ------------------------------------------------------------------------------
 
+ERRORS = "run string, source string, key string, violations array<string>, row string"
+
 
 def with_violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """`violations`: names of the rules a row breaks (a null condition counts as broken)."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]
-    return df.withColumn("violations", F.array_compact(F.array(*broken)))
+    return df.withColumn("violations", F.array_compact(F.array(*broken).cast("array<string>")))
 
 
 def ok_rows(df: DataFrame) -> DataFrame:
@@ -28,6 +34,48 @@ def quarantined(df: DataFrame) -> DataFrame:
     return df.filter(F.size("violations") > 0)
 
 
+def add_rule(checked: DataFrame, name: str, ok: Column) -> DataFrame:
+    """One more rule for rows that have been checked; a null condition counts as broken."""
+    broken = ~F.coalesce(ok, F.lit(False))
+    return checked.withColumn("violations", F.when(broken, F.array_append("violations", F.lit(name))).otherwise(F.col("violations")))
+
+
+def judge(checked: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Checked rows, computed and written once, and what that same job counted: rows, rejected and further aggregates."""
+    seen = Observation()
+    more = [value.alias(name) for name, value in counts.items()]
+    watched = checked.observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.size("violations") > 0).alias("rejected"), *more)
+    return materialize(watched), seen.get
+
+
+def quarantine(checked: DataFrame, path: str, source: str, key: str) -> None:
+    """Append the rows that break a rule to an errors table.
+
+    run, source (what was checked), key (of the row), violations, row (the whole of it as JSON). Every call is a run of its own.
+    """
+    rest = [F.col(f"`{c}`") for c in checked.columns if c != "violations"]
+    quarantined(checked).select(
+        F.lit(uuid.uuid4().hex).alias("run"), F.lit(source).alias("source"), F.col(key).cast("string").alias("key"), "violations",
+        F.to_json(F.struct(*rest)).alias("row"),
+    ).write.mode("append").parquet(path)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The errors table in a folder; no rows where nothing has been rejected."""
+    if not children(spark, path):
+        return spark.createDataFrame([], ERRORS)
+    return spark.read.schema(ERRORS).parquet(path)
+
+
+def accepted(checked: DataFrame, path: str | None, source: str, key: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The rows that break no rule, and the counts of `judge`; the others go to the errors table, if there is one to go to."""
+    rows, seen = judge(checked, **counts)
+    if path and seen["rejected"]:
+        quarantine(rows, path, source, key)
+    return ok_rows(rows), seen
+
+
 def check_chunks(chunks: DataFrame) -> DataFrame:
     return with_violations(chunks, {
         "url": strip(F.col("url")).rlike(URL_SCHEMES),

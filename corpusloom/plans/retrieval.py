@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.chunks import chunk_fixed
-from corpusloom.functions.text import complexity, hyde_prompt, truncate_sentences, variation_prompt
+from corpusloom.functions.text import complexity, hyde_prompt, strip, truncate_sentences, variation_prompt
 from corpusloom.operators import context as ctx
 from corpusloom.operators import inverted, rank, search
-from corpusloom.operators.embed import with_embedding, with_generated
-from corpusloom.operators.memo import remembered_embedding, remembered_text
+from corpusloom.operators.embed import with_embedding, with_generated, with_rerank
+from corpusloom.operators.memo import remembered_embedding, remembered_score, remembered_text
+from corpusloom.operators.validate import accepted, check_answers, check_variations
 from corpusloom.session import BROADCAST_ROWS, broadcast_if_small, materialize
 
 RANKING_METHOD = "enhanced_score_based_fallback"
+MODEL_RANKING_METHOD = "rerank_model"
 RETRIEVAL_METHOD = "high_recall_candidate_generation"
 
 
@@ -105,10 +107,27 @@ def retrieve(
     return rank.progressive_k(kept.withColumnRenamed("merged_rank", "rank"), n)
 
 
+def _kept_variations(generated: DataFrame, errors: str) -> DataFrame:
+    """Questions whose variations break a rule are asked as they are; what was generated for them goes to the errors table."""
+    lines = F.array_remove(F.transform(F.split(F.coalesce("variations_text", F.lit("")), "\n"), strip), "")
+    read = generated.withColumn("variations", lines).withColumn("score", complexity(F.col("text"))["score"])
+    kept, _ = accepted(check_variations(read), errors, "variations", "query_id")
+    return generated.drop("variations_text").join(kept.select("query_id", "variations_text"), "query_id", "left")
+
+
+def _ranked(hits: DataFrame, n: int, rerank: Callable | None, memo: str | None) -> DataFrame:
+    """The n best hits of every question and the method that ranked them."""
+    if rerank is None:
+        return rank.rerank_score(hits, n)
+    scored = remembered_score(hits, memo, rerank) if memo else with_rerank(hits, rerank)
+    method = F.when(F.col("degraded"), RANKING_METHOD).otherwise(MODEL_RANKING_METHOD)
+    return rank.rerank_fallback(materialize(scored), n).withColumn("ranking_method", method).drop("degraded")
+
+
 def answer_all(
     questions: DataFrame, chunks: DataFrame, fmt: str = "text", n: int = 15,
     vary: Callable | None = None, hypothesise: Callable | None = None, respond: Callable | None = None,
-    embedder: Callable | None = None, memo: str | None = None,
+    embedder: Callable | None = None, memo: str | None = None, rerank: Callable | None = None, errors: str | None = None,
 ) -> DataFrame:
     """query_id, response for every question: fan-out, retrieval, rerank, context, answer, rendering.
 
@@ -116,25 +135,34 @@ def answer_all(
     hypothetical answer, and the answer is taken from the best passage. A question
     that ends without an answer gets an error text in the format asked for. memo: a folder
     that keeps what models have answered (see `operators.memo`), so that a question asked
-    again calls none of them.
+    again calls none of them. rerank: a model that scores (question, content); questions it fails for are
+    ranked by the built-in scores. errors: a folder for an errors table; with it, variations and answers
+    must keep their rules (`check_variations`, `check_answers`), and what doesn't goes there: such a question is
+    asked without variations, or gets the error text.
     """
     asked = questions.withColumn("strategy", complexity(F.col("text"))["strategy"])
     prompted = asked.withColumn("_prompt", variation_prompt(F.col("text"), F.col("strategy"))).withColumn(
         "_none", F.lit("")
     )
-    fanout = materialize(
-        search.expand_queries(_generated(prompted, "_prompt", "variations_text", "_none", vary, memo, "variations"))
-    )
+    generated = _generated(prompted, "_prompt", "variations_text", "_none", vary, memo, "variations")
+    fanout = materialize(search.expand_queries(_kept_variations(materialize(generated), errors) if errors else generated))
     candidates = retrieve(fanout, chunks, 2 * n, hypothesise, embedder, memo)
     asked_small = broadcast_if_small(questions.select("query_id", F.col("text").alias("question")), 10 * BROADCAST_ROWS)
-    ranked = materialize(rank.rerank_score(candidates.join(asked_small, "query_id"), n))
-    contexts = ctx.build_context_full(ranked, RANKING_METHOD, queries=questions)
+    ranked = materialize(_ranked(candidates.join(asked_small, "query_id"), n, rerank, memo))
+    contexts = ctx.build_context_full(ranked, RANKING_METHOD if rerank is None else MODEL_RANKING_METHOD, queries=questions)
     best = ranked.filter("rank = 1").select("query_id", truncate_sentences(F.col("content")).alias("_best"))
     texts = _generated(
         contexts.join(best, "query_id").withColumnRenamed("context", "_context"), "_context", "answer_text", "_best", respond, memo, "answer"
     )
     metadata = ctx.retrieval_metadata(ranked, fanout, RETRIEVAL_METHOD, RANKING_METHOD)
+    if rerank is not None:
+        used = ranked.groupBy("query_id").agg(F.max("ranking_method").alias("reranking_method"))
+        metadata = metadata.drop("reranking_method").join(used, "query_id", "left")
     answers = ctx.structured_answer(questions, ranked, texts, metadata)
+    if errors:
+        answers, _ = accepted(check_answers(answers), errors, "answers", "query_id")
     rendered = ctx.render_answer(answers, fmt)
     failed = ctx.error_response(F.lit("no answer could be built"), fmt)
+    if errors:
+        rendered = questions.select("query_id").join(rendered, "query_id", "left")
     return rendered.withColumn("response", F.coalesce("response", failed))

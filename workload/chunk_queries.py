@@ -12,7 +12,7 @@ from corpusloom.session import where_computed
 from corpusloom import sql_functions
 from corpusloom.sources import collections as S
 from corpusloom.sources.pages import read_text_docs
-from workload.base import DOC_URL_SQL, documents, query, scratch, strip_sql, table, words_sql
+from workload.base import DOC_URL_SQL, SQL, documents, query, scratch, strip_sql, table, words_sql
 from workload.page_queries import DOCS, markdown_sql, pages
 from workload.text_queries import HEADED, headed, headers_sql
 
@@ -196,6 +196,15 @@ def chunk_semantic(spark, sf_dir):
     return ingest.semantic_chunks(docs.unionByName(web), "id", "text")
 
 
+@query("sql_semantic_chunks", SQL["chunk_semantic"])
+def sql_semantic_chunks(spark, sf_dir):
+    """The semantic cascade as a SQL table function."""
+    sql_functions.register(spark)
+    docs = documents(spark, sf_dir).select(F.col("chunk_id").cast("string").alias("id"), "text")
+    web = page_docs(spark, sf_dir).select(F.col("url").alias("id"), F.col("markdown").alias("text"))
+    return spark.sql("SELECT d.id, c.* FROM {docs} d, LATERAL chunk_semantic(d.text, 1200, 150, true) c", docs=docs.unionByName(web))
+
+
 @query("token_batches", """
 WITH RECURSIVE t AS (SELECT source, doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 3)::BIGINT) END AS tokens,
   row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),

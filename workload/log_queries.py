@@ -9,9 +9,11 @@ from corpusloom.functions.text import query_key
 from corpusloom.operators import cache as C
 from corpusloom.operators import metrics as M
 from corpusloom.operators.embed import map_items
+from corpusloom.operators.validate import read_errors
+from corpusloom.plans.ingestion import ingest_pages
 from corpusloom.sources.collections import create_collection, read_collection
 from corpusloom.streaming import jobs
-from workload.base import query, scratch, table
+from workload.base import query, scratch, strip_sql, table
 from workload.chunk_queries import PAGE_CHUNKS  # noqa: F401
 from workload.page_queries import DOCS  # noqa: F401
 from workload.page_queries import markdown_sql
@@ -209,3 +211,20 @@ def stream_ingest(spark, sf_dir):
     for run in range(2):  # a second consumer replays the same pages
         jobs.stream_ingest(stream, root, "live", f"{root}/state-{run}").trigger(availableNow=True).start().awaitTermination()
     return read_collection(spark, root, "live").select("chunk_id", "content")
+
+
+@query("ingest_rules", f"""WITH pg AS (SELECT CASE WHEN page_id % 7 = 3 THEN 'ftp' || substr(url, 6) ELSE url END AS url, html FROM pages), md AS (
+  SELECT url AS chunk_id, {markdown_sql('html')} AS text FROM pg), {header_chunks_sql('md', 400, 40)},
+r AS (SELECT 'doc_' || chunk_id || '_' || chunk_index AS chunk_id, content, array_to_string(list_filter([CASE WHEN chunk_id LIKE 'ftp%' THEN 'url' END,
+  CASE WHEN length({strip_sql('content')}) < 3 THEN 'content' END], lambda v: v IS NOT NULL), '|') AS violations FROM hc)
+SELECT CASE WHEN violations = '' THEN 'stored' ELSE 'errors' END AS side, * FROM r""")
+def ingest_rules(spark, sf_dir):
+    """Pages, some with a url of a scheme that isn't taken: what a collection holds, and what the errors table does."""
+    root = scratch(spark)
+    pages = table(spark, sf_dir, "pages").withColumn(
+        "url", F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("ftp"), F.substring("url", 6, 2**31 - 1))).otherwise(F.col("url")))
+    ingest_pages(pages, root, "ruled", max_len=400, overlap=40, errors=f"{root}/errors")
+    stored = read_collection(spark, root, "ruled").select(F.lit("stored").alias("side"), "chunk_id", "content", F.lit("").alias("violations"))
+    return stored.unionByName(read_errors(spark, f"{root}/errors").select(
+        F.lit("errors").alias("side"), F.col("key").alias("chunk_id"), F.get_json_object("row", "$.content").alias("content"),
+        F.array_join("violations", "|").alias("violations")))
