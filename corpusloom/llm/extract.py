@@ -41,10 +41,28 @@ _NAMED = re.compile(
     r"comments|disqus|respond|replies|share|sharing|social|related|newsletter|subscribe|signup|login|widget|toolbar|pager|pagination)"
     r"(?:$|[\s_\d-])")
 _STATE = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|hide)[-_]\S*")  # names that tell what an element has or lacks
+# Words beside these in a name that say nothing of the content.
+_NEUTRAL = set("area bar block body bottom box btn button buttons column container content group holder icons inner item items left "
+               "list link links main module outer panel right row section slot space text top unit wrap wrapper zone".split())
+
+
+def _outside_by_name(names: str, inside: bool) -> bool:
+    """A listed word in a name; inside of the article all words of that name must be listed or neutral."""
+    if not inside:
+        return bool(names) and _NAMED.search(_STATE.sub("", names)) is not None
+    for name in _STATE.sub("", names).split():
+        words = [w for w in re.split(r"[_\-\d]+", name) if w]
+        listed = [_NAMED.fullmatch(w) is not None for w in words]
+        if any(listed) and all(found or w in _NEUTRAL for w, found in zip(words, listed)):
+            return True
+    return False
+
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
-    r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+    r"|<([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)", re.S)  # quotes count after = only
+_ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_NAMES = {"class", "id", "role"}
 _ENDS = {tag: re.compile(rf"</{tag}\s*[^>]*>", re.I) for tag in RAW}
 _CLOSES_P = re.compile(r"h[1-6]|p|div|ul|ol|dl|table|section|article|header|footer|nav|aside|main|blockquote|pre|form|hr|figure|address|fieldset|details")
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -110,10 +128,10 @@ def parse(html: str) -> Iterator[tuple[str, str, bool, bool]]:
             if tag in VOID:
                 continue
             _, path, inside, outside = stack[-1] if stack else ("", "", False, False)
-            names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])).lower()
+            names = " ".join(a or b or c for name, a, b, c in _ATTRIBUTE.findall(m[3]) if name.lower() in _NAMES).lower()
             main = tag in ("article", "main")
             outside = outside or tag in OUTSIDE or (tag == "header" and not inside) or (
-                not main and tag not in ("html", "body") and bool(names) and _NAMED.search(_STATE.sub("", names)) is not None)
+                not main and tag not in ("html", "body") and _outside_by_name(names, inside))
             path = f"{path}/{tag}" + (f".{names}" if names else "")
             if not m[3].rstrip().endswith("/"):
                 stack.append((tag, path, inside or main, outside))

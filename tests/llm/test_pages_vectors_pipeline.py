@@ -34,6 +34,17 @@ def test_blocks_of_a_page():
     assert text_of("<main><div class='adapter'>kept</div></main>") == ["kept"]
 
 
+def test_quotes_count_after_equals_and_names_inside_the_article_need_every_word():
+    assert text_of("<p title=don't>It's main text one.</p><p>Two's</p>") == ["It's main text one.", "Two's"]
+    assert text_of('<p title="5" tall">quoted</p>') == ["quoted"]
+    assert text_of("<p title='a>b' data-x = \"c>d\" e=f/g=\"h\">text</p>") == ["text"]
+    assert text_of('<p title="never closed>text</p>') == ["text"] and text_of("<p a= >x</p><p =>y</p>") == ["x", "y"]
+    assert text_of('<div title="x class=ad">kept</div>') == ["kept"]
+    inside = "".join(f"<div {name}>{k}</div>" for k, name in enumerate(
+        ('class="related-work"', 'class="side-effects"', 'id="notice-of-intent"', 'class="ad-slot"', 'class="text comments"', "id=share-buttons-2")))
+    assert text_of(f"<article>{inside}</article>") == ["0", "1", "2"] and text_of(inside) == []
+
+
 def page(k, host, body, extra=""):
     return (k, f"https://{host}/p{k}", f"<html><body><nav>menu</nav><div class='content'>{extra}{body}</div><footer>f{k}</footer></body></html>")
 
