@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +22,8 @@ MEMORY_WARN_MB, MEMORY_FAIL_MB = 800.0, 1200.0
 MAX_FAILED_SHARE = 0.5
 # ------------------------------------------------------------------------------
 
+FAN_IN = 32  # summaries of segments that one task composes
+
 
 def ok_pages(crawled: DataFrame) -> DataFrame:
     return crawled.filter(F.col("success") & (F.coalesce("markdown", F.lit("")) != ""))
@@ -144,16 +149,80 @@ def ingest_summary(pages: DataFrame, chunks: DataFrame, seconds: float) -> DataF
     ).withColumn("chunks_per_minute", F.coalesce(F.try_divide(F.col("chunks") * 60, F.lit(seconds)), F.lit(0.0)))
 
 
+Interval = tuple[int, int, bool, int, int]  # carries lo..hi: batches closed, and the carry out (used, or carry + used if it adds)
+
+
+def compose_carries(first: list[Interval], then: list[Interval]) -> list[Interval]:
+    """The map of two adjoining stretches of rows. Both maps are sorted and cover all carries from 0 to the budget."""
+    out: list[Interval] = []
+    starts = [lo for lo, *_ in then]
+    for lo, hi, adds, closed, used in first:
+        if adds:  # the carry goes on: every interval that it can reach
+            pieces = [
+                (max(lo, lo2 - used), min(hi, hi2 - used), adds2, closed + closed2, used2 + used if adds2 else used2)
+                for lo2, hi2, adds2, closed2, used2 in then]
+            pieces = [p for p in pieces if p[0] <= p[1]]
+        else:
+            _, _, adds2, closed2, used2 = then[bisect_right(starts, used) - 1]
+            pieces = [(lo, hi, False, closed + closed2, used + used2 if adds2 else used2)]
+        for piece in pieces:
+            if out and out[-1][2:] == piece[2:]:
+                out[-1] = (out[-1][0], piece[1], *piece[2:])
+            else:
+                out.append(piece)
+    return out
+
+
+def _carry_maps(pdf: pd.DataFrame) -> list[tuple[int, list[Interval]]]:
+    """(node, map) in order of the nodes."""
+    maps: dict[int, list[Interval]] = {}
+    for node, lo, hi, adds, closed, used in pdf.sort_values(["node", "lo"])[["node", "lo", "hi", "adds", "closed", "used"]].itertuples(index=False):
+        if lo <= hi:  # rows without tokens leave empty intervals
+            maps.setdefault(int(node), []).append((int(lo), int(hi), bool(adds), int(closed), int(used)))
+    return list(maps.items())
+
+
+def _carries(summary: DataFrame, g_type: str, fan_in: int) -> DataFrame:
+    """(g, _seg, carry, base) at the start of every segment, by a prefix scan over the segments' maps."""
+    fields = f"g {g_type}, node int, lo long, hi long, adds boolean, closed long, used long"
+    parent = F.floor(F.col("node") / fan_in).cast("int")
+
+    def up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(compose_carries, [m for _, m in _carry_maps(pdf)])
+        return pd.DataFrame([(key[0], key[1], *part) for part in whole], columns=["g", "node", "lo", "hi", "adds", "closed", "used"])
+
+    def down(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        out, carry, base = [], int(start["carry"].iloc[0]), int(start["base"].iloc[0])
+        for node, intervals in _carry_maps(pdf):
+            out.append((key[0], node, carry, base))
+            _, _, adds, closed, used = intervals[bisect_right([lo for lo, *_ in intervals], carry) - 1]
+            carry, base = carry + used if adds else used, base + closed
+        return pd.DataFrame(out, columns=["g", "node", "carry", "base"])
+
+    levels = [materialize(summary.withColumnRenamed("_seg", "node"))]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last >= fan_in:
+        levels.append(materialize(levels[-1].groupBy("g", parent.alias("node")).applyInPandas(up, fields)))
+        last //= fan_in
+    starts = levels[-1].select("g").distinct().select("g", *[F.lit(0).cast(t).alias(c) for c, t in (("node", "int"), ("carry", "long"), ("base", "long"))])
+    for level in reversed(levels):
+        below = level.withColumn("_parent", parent).groupBy("g", "_parent")
+        starts = below.cogroup(starts.withColumnRenamed("node", "_parent").groupBy("g", "_parent")).applyInPandas(
+            down, f"g {g_type}, node int, carry long, base long")
+    return starts.withColumnRenamed("node", "_seg")
+
+
 def pack_batches(
-    texts: DataFrame, group: str, order: str, text: str = "content", budget: int = TOKEN_BUDGET
+    texts: DataFrame, group: str, order: str, text: str = "content", budget: int = TOKEN_BUDGET,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Greedy token-budget batches in unique order, per group; a text above the budget is a batch of its own, flagged `oversized`.
 
     Greedy filling is sequential, but its whole state at a cut is one number: the
     tokens of the open batch. The ordered rows are range partitioned (a large group
     spans many partitions); each segment is summarised as "carry in -> (batches
-    closed, carry out)", the tiny summaries are chained, and every segment then
-    numbers its rows from its own carry. No group is ever gathered in one task.
+    closed, carry out)", a prefix scan composes the summaries in a tree, `fan_in` of them in a task, and every
+    segment then numbers its rows from its own carry. No task sees all rows of a group, or all of its summaries.
     """
     size = approx_tokens(F.col(text))
     counted = texts.select(group, order, size.alias("size"), F.least(size, F.lit(budget)).alias("tokens"))
@@ -191,21 +260,12 @@ def pack_batches(
             [(key[0], key[1], *o) for o in out], columns=["g", "_seg", "lo", "hi", "adds", "closed", "used"]
         )
 
-    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, carry, batch = [], 0, 0
-        for seg, part in pdf.sort_values(["_seg", "lo"]).groupby("_seg", sort=True):
-            out.append((key[0], seg, carry, batch))
-            hit = part[(part["lo"] <= carry) & (carry <= part["hi"])].iloc[0]
-            batch += int(hit["closed"])
-            carry = carry + int(hit["used"]) if hit["adds"] else int(hit["used"])
-        return pd.DataFrame(out, columns=["g", "_seg", "carry", "base"])
-
     g_type = rows.schema[group].dataType.simpleString()
     o_type = rows.schema[order].dataType.simpleString()
     summary = rows.groupBy(group, "_seg").applyInPandas(
         summarise, f"g {g_type}, _seg int, lo long, hi long, adds boolean, closed long, used long"
     )
-    starts = summary.groupBy("g").applyInPandas(chain, f"g {g_type}, _seg int, carry long, base long")
+    starts = _carries(summary, g_type, fan_in)
 
     def number(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(order, kind="stable")

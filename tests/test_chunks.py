@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import chunks as C
-from corpusloom.operators.ingest import build_chunks, pack_batches
+from corpusloom.operators.ingest import build_chunks, compose_carries, pack_batches
 
 SETTINGS = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 TEXTS = st.lists(st.text(alphabet="aB. \n#!:1", max_size=120), min_size=1, max_size=30)
@@ -148,8 +148,36 @@ def test_chunk_rows(spark):
     ]
 
 
-@pytest.mark.parametrize("parts", ["1", "3", "8"])
-def test_batches_equal_greedy_for_any_partitioning(spark, parts):
+def test_carry_maps_compose():
+    import random
+
+    rnd, budget = random.Random(3), 20
+
+    def fill(tokens, carry):
+        closed = 0
+        for t in tokens:
+            closed, carry = (closed + 1, t) if carry + t > budget else (closed, carry + t)
+        return closed, carry
+
+    def intervals(tokens):
+        out = []
+        for carry in range(budget + 1):
+            closed, used = fill(tokens, carry)
+            row = (True, 0, used - carry) if not closed else (False, closed, used)
+            if out and out[-1][2:] == row:
+                out[-1] = (out[-1][0], carry, *row)
+            else:
+                out.append((carry, carry, *row))
+        return out
+
+    for _ in range(300):
+        a, b, c = ([rnd.randint(0, 9) for _ in range(rnd.randint(1, 6))] for _ in range(3))
+        left = compose_carries(compose_carries(intervals(a), intervals(b)), intervals(c))
+        assert left == compose_carries(intervals(a), compose_carries(intervals(b), intervals(c))) == intervals(a + b + c)
+
+
+@pytest.mark.parametrize("parts, fan_in", [("1", 32), ("3", 2), ("8", 32), ("20", 3)])
+def test_batches_equal_greedy_for_any_partitioning(spark, parts, fan_in):
     import random
 
     rnd = random.Random(5)
@@ -158,7 +186,7 @@ def test_batches_equal_greedy_for_any_partitioning(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
         df = spark.createDataFrame(rows, "g string, i int, content string")
-        got = {r.i: r.batch_no for r in pack_batches(df, "g", "i", budget=100).collect()}
+        got = {r.i: r.batch_no for r in pack_batches(df, "g", "i", budget=100, fan_in=fan_in).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want, state = {}, {}
