@@ -5,7 +5,7 @@ from corpusloom.functions import html as H
 from corpusloom.operators import crawl
 from corpusloom.operators.ingest import gate_embeddings, page_links, reduce_chunks
 from corpusloom.sources.pages import read_text_docs
-from corpusloom.sources.sitemaps import read_robots, read_sitemap_locs, read_sitemaps
+from corpusloom.sources.sitemaps import large_files, read_large_sitemaps, read_robots, read_sitemap_locs, read_sitemaps
 
 PAGE = """<!DOCTYPE html><HTML class=x lang='de-AT'><head><title a=b> Ein &amp; <
  Titel </title><meta name="description" content=" Text "><meta content='noindex' name='robots'>
@@ -43,6 +43,29 @@ def write(folder, name, text):
     return path
 
 
+def test_a_large_sitemap_is_read_by_many_tasks(spark, folder):
+    entry = lambda k: (
+        f"<x:url a='1'>\n<x:loc>https://a.org/ü{k}?a&amp;b</x:loc>" + (f"<x:priority>0.{k % 10}</x:priority>" if k % 3 else "") + "</x:url>"
+        + ("<x:url><x:loc/></x:url>" if k % 50 == 0 else "") + ("\n" if k % 2 else ""))
+    body = "".join(map(entry, range(3000)))
+    head = "<?xml version='1.0'?><!-- <url> --><x:urlset xmlns:x='http://x'>".replace("<url>", "url")
+    write(folder, "big.xml", f"{head}{body}</x:urlset>")
+    write(folder, "cut.xml", f"{head}{body}")
+    write(folder, "bad.xml", f"{head}{body}<x:url><x:loc>a & b</x:loc></x:url></x:urlset>")
+    write(folder, "none.xml", "<urlset></urlset>")
+    write(folder, "a b%20[c].xml", "<urlset><url><loc>https://a/1</loc></url></urlset>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(repr, read_sitemaps(spark, folder).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        assert large_files(spark, f"{folder}/big.xml").count() == 1
+        splits = spark.read.option("lineSep", ">").text(f"{folder}/big.xml").rdd.getNumPartitions()
+        got = sorted(map(repr, read_large_sitemaps(spark, folder).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert splits > 8 and got == want and len(got) == 3004
+
+
 def test_sitemaps(spark, folder):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     write(folder, "a.xml", f'<?xml version="1.0" encoding="UTF-8"?><!-- c --><urlset {ns}><url><loc> https://a/1 </loc>'
@@ -58,6 +81,8 @@ def test_sitemaps(spark, folder):
     assert (rows["c.xml"].is_valid, rows["c.xml"].error) == (False, "XML parsing error")
     assert rows["d.xml"].error == "Unknown sitemap format: rss"
     assert rows["e.xml"].url == "https://a/3"
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(read_large_sitemaps(spark, folder)) == order(read_sitemaps(spark, folder))
     locs = {r.url for r in read_sitemap_locs(spark, folder).collect()}
     assert {"https://a/2", "https://a/3", "https://a/s.xml"} <= locs
 

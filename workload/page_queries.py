@@ -8,8 +8,8 @@ from corpusloom.operators import crawl as C
 from corpusloom.operators import metrics as M
 from corpusloom.operators.ingest import crawl_stats, ok_pages, page_info, page_links
 from corpusloom.sources.pages import pages_to_docs, read_pages
-from corpusloom.sources.sitemaps import parse_sitemaps, robots_sitemaps, sitemap_locs
-from workload.base import query, scratch, strip_sql, table
+from corpusloom.sources.sitemaps import parse_sitemaps, read_large_sitemaps, robots_sitemaps, sitemap_locs
+from workload.base import SQL, query, scratch, strip_sql, table
 from workload.url_queries import netloc_sql, path_sql, scheme_sql
 
 
@@ -167,6 +167,17 @@ def sitemap_scan(spark, sf_dir):
     return parse_sitemaps(sitemap_files(spark, sf_dir)).drop("file_size")
 
 
+@query("sitemap_scan_large", SQL["sitemap_scan"])
+def sitemap_scan_large(spark, sf_dir):
+    """The sitemap files of all hosts written as text, a folder each, and read in splits."""
+    out = scratch(spark)
+    sitemap_files(spark, sf_dir).select("content", F.hex("file").alias("name")).repartition("name").write.partitionBy(
+        "name").text(out)
+    read = read_large_sitemaps(spark, f"{out}/*")
+    name = F.decode(F.unhex(F.regexp_extract("file", "name=([^/]+)", 1)), "UTF-8")
+    return read.withColumn("file", name).drop("file_size")
+
+
 @query("sitemap_locs", f"""WITH {SITEMAPS}
 SELECT file, ' ' || replace(url, '&', '&amp;') AS loc FROM sm
 UNION ALL SELECT DISTINCT file, 'broken' FROM sm WHERE m = 0""")
