@@ -77,7 +77,7 @@ def check_dims(chunks: DataFrame, batch: DataFrame, key: str = "collection") ->
 def sitemap_quality(urls: DataFrame, key: str = "sitemap", listed: int = 100) -> DataFrame:
     """Quality of each sitemap. urls: sitemap, url, lastmod, changefreq, priority, file_size.
 
-    Hosts are counted; the first `listed` of them by name are listed (each row of the sums holds one host at most).
+    `host_count` counts all hosts; the first `listed` of them by name are in `domains` (each row of the sums holds one host at most).
     """
     host, proto = netloc(F.col("url")), scheme(F.col("url"))
     per = urls.groupBy(key).agg(
@@ -107,7 +107,7 @@ def sitemap_quality(urls: DataFrame, key: str = "sitemap", listed: int = 100) ->
     ))
     complete = (F.col("urls_with_lastmod") + F.col("urls_with_priority") + F.col("urls_with_changefreq")) / total / 3
     score = 1.0 - F.size("issues") * 0.1 + complete * 0.2
-    return per.withColumn("issues", issues).drop("host_count").withColumn(
+    return per.withColumn("issues", issues).withColumn(
         "quality_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)
     )
 

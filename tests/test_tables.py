@@ -113,6 +113,8 @@ def test_metrics(spark):
     r = metrics.sitemap_quality(urls).first()
     assert (r.total_urls, r.unique_urls, r.urls_with_priority, r.domains, r.protocols) == (3, 2, 1, ["a", "b"], ["http", "https"])
     assert r.issues == ["Duplicate URLs found (1 duplicates)", "Multiple domains found in sitemap: a, b"]
+    short = metrics.sitemap_quality(urls, listed=1).first()
+    assert (short.host_count, short.domains, short.issues[1]) == (2, ["a"], "Multiple domains found in sitemap: a, ...")
     assert r.quality_score == pytest.approx(0.8 + 0.2 * (2 / 3) / 3, abs=1e-6)
     widths = lambda *ws: spark.createDataFrame([(c, [0.1] * w if w else None) for c, w in ws], "collection string, embedding array<float>")
     out = {r.collection: (r.compatible, r.reason) for r in metrics.check_dims(

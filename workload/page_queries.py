@@ -254,7 +254,7 @@ i AS (SELECT *, list_filter([CASE WHEN total_urls <> unique_urls THEN 'Duplicate
     CASE WHEN file_size_kb > 10240 THEN 'Sitemap file is larger than 10MB (consider compression)' END,
     CASE WHEN len(d) > 1 THEN 'Multiple domains found in sitemap: ' || array_to_string(d, ', ') END], lambda x: x IS NOT NULL) AS iss FROM a)
 SELECT sitemap, total_urls, unique_urls, urls_with_lastmod, urls_with_priority, urls_with_changefreq, file_size_kb,
-  array_to_string(d, '|') AS domains, array_to_string(p, '|') AS protocols, array_to_string(iss, '|') AS issues,
+  len(d)::BIGINT AS host_count, array_to_string(d, '|') AS domains, array_to_string(p, '|') AS protocols, array_to_string(iss, '|') AS issues,
   round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - len(iss) * 0.1::DOUBLE +
     (urls_with_lastmod + urls_with_priority + urls_with_changefreq) / total_urls / 3 * 0.2::DOUBLE)), 6) AS quality_score FROM i""")
 def sitemap_quality(spark, sf_dir):
