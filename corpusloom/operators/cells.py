@@ -10,8 +10,10 @@ at distance D from a question holds nothing nearer than D - r, a vector at dista
 |D - s|.
 
 `search` is exact: the nearest cells give each question a k-th score, other cells are read only where their bound
-reaches it. `search_codes` reads the codes of the `probes` nearest cells, adds up table entries, and scores the best of
-those by their vectors. Questions stream past slices of bounded size; no vector is copied, however many questions ask.
+reaches it. `search_codes` reads the codes of the `probes` nearest cells, estimates all cosines from them, and scores the
+best by their vectors. Questions near each other form blocks of bounded size. A task holds one block and the best hits of
+each of its questions; the cells that the block asks for stream past it, the nearest first. So no (question, cell) pair
+becomes a row, and a task emits k hits a question, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -20,23 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusloom.functions.vectors import cosine
 from corpusloom.session import broadcast_if_small, materialize, top_k
 from corpusloom.sources.files import children
 
 SCORE_DIGITS = 6
 SAMPLE_ROWS = 20_000  # vectors that centres and codebooks are fitted to, at most
 MOST_CELLS = 1024
-SLICE_ROWS = 20_000  # vectors of a cell that a task holds at a time
+SLICE_ROWS = 20_000  # vectors of a cell that lie in one stored slice
+BLOCK_ROWS, LEAST_BLOCK, BLOCKS = 4096, 256, 24  # questions of a block, at most and at least; blocks if there is a choice
+LOOSE = 500_000  # candidates of a block that wait to be sorted in
 SEED_CELLS = 2  # nearest cells that give a question its first k-th score
 PART_DIMS, WORDS = 4, 256  # of the product code
 ROUNDS = 8  # of k-means
-PRODUCT = 4_000_000  # scores computed at a time inside a task
+PRODUCT = 2_000_000  # scores computed at a time inside a task
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -100,9 +104,8 @@ def build(chunks: DataFrame, path: str, cells: int | None = None, seed: int = 7,
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, books = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PRODUCT // max(WORDS, len(centres)))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             unit = _unit(_matrix(batch.column(1)))
             d = _distances(unit, centres)
             cell = d.argmin(1)
@@ -150,7 +153,7 @@ def _asked(queries: DataFrame, centres: tuple, choose) -> DataFrame:
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, centre, radius = shared.value
         for batch in batches:
-            step = max(1, 2_000_000 // max(1, len(cells)))
+            step = max(1, 4 * PRODUCT // max(1, centre.size))  # all cells of so many questions may be picked
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 unit = _unit(_matrix(part.column(1)))
@@ -166,118 +169,253 @@ def _asked(queries: DataFrame, centres: tuple, choose) -> DataFrame:
     return queries.select("query_id", "embedding", "floor").mapInArrow(chosen, schema)
 
 
-def _met(asked: DataFrame, rows: DataFrame, path: str, columns: list[str], schema: T.StructType, score) -> DataFrame:
-    """score(vectors or codes of one slice, one question) for every question of a slice's cell.
+class _Top:
+    """The k best rows of every question of a block so far: score descending, then id; with `distinct` an id counts once.
+
+    `floor` is what a further row has to reach. Rows wait unsorted until there are many.
+    """
 
-    The vectors of a slice come first, SLICE_ROWS or so of them, then its questions one by one: bounded memory, and a
-    slice travels once.
+    def __init__(self, floor: np.ndarray, k: int, distinct: bool):
+        self.floor, self.k, self.distinct = floor.copy(), k, distinct
+        self.held: list[tuple] = []
+        self.size, self.limit = 0, max(LOOSE, 2 * k * len(floor))
+
+    def add(self, q: np.ndarray, ids: pa.Array, score: np.ndarray, exact: np.ndarray) -> None:
+        if len(q):
+            self.held.append((q, ids, score, exact))
+            self.size += len(q)
+        if self.size > self.limit:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, int), pa.array([]), np.empty(0), np.empty(0)
+        q, score, exact = (np.concatenate([h[i] for h in self.held]) for i in (0, 2, 3))
+        ids = pa.concat_arrays([h[1] for h in self.held])
+        code = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        at = np.lexsort((code, -score, q))
+        if self.distinct:
+            _, one = np.unique(q[at] * (code.max() + 1) + code[at], return_index=True)
+            at = at[np.sort(one)]
+        start = np.searchsorted(q[at], np.arange(len(self.floor)))
+        at = at[np.arange(len(at)) - start[q[at]] < self.k]
+        q, ids, score, exact = q[at], ids.take(pa.array(at)), score[at], exact[at]
+        end = np.searchsorted(q, np.arange(len(self.floor)), "right")
+        full = np.flatnonzero(np.bincount(q, minlength=len(self.floor)) == self.k)
+        self.floor[full] = np.maximum(self.floor[full], score[end[full] - 1])
+        self.held, self.size = [(q, ids, score, exact)], len(q)
+        return self.held[0]
+
+
+def _rounded(score: np.ndarray) -> np.ndarray:
+    return np.rint(score * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
+
+
+def _blocks(asked: DataFrame, centres: tuple, most: int, choose) -> tuple[DataFrame, DataFrame, int]:
+    """(block, query_id, embedding, floor), (block, cell, near) of the cells that `choose` picks for a question of the block, and the
+    number of blocks.
+
+    Blocks are runs of nearest cells, ordered along the centres' widest direction; a cell of many questions is split by a hash.
     """
-    key = ["cell", "slice"]
-    slices = F.broadcast(asked.sparkSession.read.parquet(f"{path}/centres").select("cell", "slices"))  # MOST_CELLS rows
-    asked = asked.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    types = {f.name: f.dataType for f in [*rows.schema, *asked.schema]}
-    names = [*columns, "query_id", "vec", "off", "floor"]
+    spark = asked.sparkSession
+    cells, centre, radius = centres
+    shared = spark.sparkContext.broadcast(centres)
+    schema = T.StructType([*asked.select("query_id", "embedding", "floor").schema, T.StructField("home", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        step = max(1, PRODUCT // max(1, len(shared.value[0])))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield part, _distances(_unit(_matrix(part.column(1))), shared.value[1])
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, off in steps(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(off.argmin(1), pa.int32())], schema=arrow)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {}
+        for part, off in steps(batches):
+            block = part.column(3).to_numpy()
+            chosen = choose(off, _bound(off, shared.value[2]), part.column(2).to_numpy(zero_copy_only=False))
+            for b in np.unique(block):
+                one = (np.zeros(len(cells), bool), np.full(len(cells), np.inf)) if b not in seen else seen[b]
+                seen[b] = (one[0] | chosen[block == b].any(0), np.fmin(one[1], np.fmin.reduce(off[block == b], 0)))
+        for b, (wanted, near) in seen.items():
+            at = np.flatnonzero(wanted)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(at), b), pa.int32()), pa.array(shared.value[0][at], pa.int32()), pa.array(near[at])], ["block", "cell", "near"])
+
+    placed = materialize(asked.select("query_id", "embedding", "floor").mapInArrow(homes, schema))
+    sizes = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}  # MOST_CELLS rows
+    target = min(most, max(LEAST_BLOCK, -(-sum(sizes.values()) // BLOCKS)))
+    spare = centre - centre.mean(0)
+    line = np.nan_to_num(spare @ np.linalg.eigh(np.nan_to_num(spare.T @ spare))[1][:, -1])
+    table, block, filled = [], 0, 0
+    for home in np.argsort(line, kind="stable").tolist():
+        n = sizes.get(home, 0)
+        parts = -(-n // target)
+        if filled and filled + n > target:
+            block, filled = block + 1, 0
+        table.append((home, block, max(1, parts)))
+        block, filled = (block + parts, 0) if parts > 1 else (block, filled + n)
+    table = spark.createDataFrame(table, "home int, first int, parts int")
+    dealt = placed.join(F.broadcast(table), "home").select(  # MOST_CELLS rows
+        "query_id", "embedding", "floor", (F.col("first") + F.pmod(F.xxhash64("query_id", "embedding"), F.col("parts"))).cast("int").alias("block"))
+    dealt = materialize(dealt)
+    wanted = dealt.mapInArrow(picked, "block int, cell int, near double").groupBy("block", "cell").agg(F.min("near").alias("near"))
+    return dealt, materialize(wanted), block + 1
+
+
+def _bound(off: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The highest cosine that a cell can hold for a question at distance `off` of its centre."""
+    return 1 - np.maximum(off - radius - 1e-9, 0) ** 2 / 2 + 10.0**-SCORE_DIGITS
+
+
+def _met(asked: DataFrame, centres: tuple, path: str, columns: list[str], schema: T.StructType, most: int, choose, begin) -> DataFrame:
+    """The hits of every question among the cells that `choose` picks for it.
+
+    A block's questions come first, then the rows of its cells, each copied to the blocks that ask for its cell.
+    begin(vectors, floors, cells chosen) makes what meets the rows: meet(cell, batch), and end() with (question, id, score).
+    """
+    spark = asked.sparkSession
+    dealt, wanted, blocks = _blocks(asked, centres, most, choose)
+    rows = _rows(spark, path, wanted).select("cell", *columns).join(F.broadcast(wanted), "cell")  # blocks x MOST_CELLS rows
+    types = {f.name: f.dataType for f in [*rows.schema, *dealt.withColumnRenamed("embedding", "vec").schema]}
+    names = ["cell", *columns, "query_id", "vec", "floor"]
+    shared = spark.sparkContext.broadcast(centres)
 
     def lined(df: DataFrame, kind: int) -> DataFrame:
-        return df.select(*key, F.lit(kind).alias("kind"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names])
+        near = F.col("near") if kind else F.lit(0.0)
+        return df.select("block", F.lit(kind).alias("kind"), near.alias("near"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names])
 
-    both = lined(rows, 0).unionByName(lined(asked, 1))
+    both = lined(dealt.withColumnRenamed("embedding", "vec"), 0).unionByName(lined(rows, 1))
     arrow = to_arrow_schema(schema)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, ready = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if ready is not None:
+                q, ids, score = ready.end()
+                if len(q):
+                    yield pa.RecordBatch.from_arrays([asking.take(pa.array(q)).cast(arrow.field(0).type), ids.cast(arrow.field(1).type), pa.array(score)], schema=arrow)
+
         for batch in batches:
-            col = {c: batch.column(c) for c in batch.schema.names}
-            kind, cell, part = (col[c].to_numpy() for c in ("kind", "cell", "slice"))
-            edge = np.flatnonzero(np.diff(cell, prepend=-1) | np.diff(part, prepend=-1) | np.diff(kind, prepend=-1))
-            out = []
+            col = {c: batch.column(c) for c in ("block", "kind", "cell")}
+            block, kind = col["block"].to_numpy(), col["kind"].to_numpy()
+            cell = col["cell"].fill_null(-1).to_numpy()
+            edge = np.flatnonzero(np.diff(block, prepend=-1) | np.diff(kind, prepend=-1) | np.diff(cell, prepend=-2))
             for lo, hi in zip(edge, [*edge[1:], batch.num_rows]):
-                if (cell[lo], part[lo]) != here:
-                    here, held, ready = (cell[lo], part[lo]), [], None
-                piece = batch.slice(lo, hi - lo)
+                if block[lo] != here:
+                    yield from done()
+                    here, held, ready = block[lo], [], None
                 if kind[lo] == 0:
-                    held.append(piece)
+                    held.append(batch.slice(lo, hi - lo).select(["query_id", "vec", "floor"]))
                     continue
                 if ready is None:
-                    ready = score.prepare(pa.Table.from_batches(held), int(here[0]))
-                out += score.answer(ready, piece)
-            if out:
-                yield pa.concat_tables([pa.Table.from_arrays(x, schema=arrow) for x in out]).combine_chunks().to_batches()[0]
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    asking, held = table.column("query_id").combine_chunks(), []
+                    vectors, floor = _unit(_matrix(table.column("vec").combine_chunks())), table.column("floor").to_numpy()
+                    off = _distances(vectors, shared.value[1])
+                    chosen = choose(off, _bound(off, shared.value[2]), floor)
+                    ready = begin(vectors, floor, off, chosen)
+                ready.meet(int(np.searchsorted(shared.value[0], cell[lo])), batch.slice(lo, hi - lo))
+        yield from done()
 
-    return both.repartition(*key).sortWithinPartitions(*key, "kind").mapInArrow(met, schema)
+    dealt = both.repartition(4 * blocks, "block")
+    order = ["block", "kind", "near", "cell", *(["dist"] if "dist" in columns else [])]
+    return dealt.sortWithinPartitions(*order).mapInArrow(met, schema)
 
 
 class _Exact:
-    """The best k of a slice for each question; only vectors that the triangle inequality can't leave out are scored."""
-
-    def __init__(self, k: int, types: list[pa.DataType], counter):
-        self.k, self.types, self.counter = k, types, counter
-
-    @staticmethod
-    def prepare(table: pa.Table, cell: int) -> tuple:
-        table = table.sort_by("dist").combine_chunks()
-        return table.column("chunk_id").combine_chunks(), _unit(_matrix(table.column("embedding").combine_chunks())), table.column("dist").to_numpy()
-
-    def answer(self, ready: tuple, asked: pa.RecordBatch) -> list:
-        ids, unit, dist = ready
-        floor, off = (asked.column(c).to_numpy(zero_copy_only=False) for c in ("floor", "off"))
-        q = _matrix(asked.column("vec"))
-        reach = np.sqrt(np.maximum(2 - 2 * (floor - 10.0**-SCORE_DIGITS), 0)) + 1e-9
-        first, end = np.searchsorted(dist, off - reach), np.searchsorted(dist, off + reach, "right")
-        out = []
-        if 3 * int((end - first).clip(0).sum()) > len(q) * len(dist):  # little to leave out: all questions in one product
-            step = max(1, PRODUCT // max(1, len(dist)))
-            for at in range(0, len(q), step):
-                if self.counter is not None:
-                    self.counter.add(len(q[at:at + step]) * len(dist))
-                score = np.rint(q[at:at + step] @ unit.T * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
-                least = floor[at:at + step]
-                if len(dist) > self.k:
-                    least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
-                i, found = np.nonzero(score >= least[:, None])
-                who = asked.column("query_id").take(pa.array(i + at))
-                out.append([who.cast(self.types[0]), ids.take(pa.array(found)).cast(self.types[1]), pa.array(score[i, found])])
-            return out
-        for i, (lo, hi) in enumerate(zip(first.tolist(), end.tolist())):
-            if hi <= lo:
+    """The best k for each question; only vectors that the triangle inequality can't leave out are scored."""
+
+    def __init__(self, k: int, counter, radius: np.ndarray, vectors: np.ndarray, floor: np.ndarray, off: np.ndarray, chosen: np.ndarray):
+        self.counter, self.radius, self.vectors, self.off, self.chosen = counter, radius, vectors, off, chosen
+        self.top = _Top(floor, k, True)
+
+    def meet(self, cell: int, rows: pa.RecordBatch) -> None:
+        off, floor = self.off[:, cell], self.top.floor
+        at = np.flatnonzero(self.chosen[:, cell] & ~(_bound(off, self.radius[cell]) < floor))
+        if not len(at):
+            return
+        ids, dist = rows.column("chunk_id"), rows.column("dist").to_numpy()
+        unit = _unit(_matrix(rows.column("embedding")))
+        step = max(1, PRODUCT // len(dist))
+        for at in np.split(at, range(step, len(at), step)):
+            reach = np.sqrt(np.maximum(2 - 2 * (floor[at] - 10.0**-SCORE_DIGITS), 0)) + 1e-9
+            first, end = np.searchsorted(dist, off[at] - reach), np.searchsorted(dist, off[at] + reach, "right")
+            size = (end - first).clip(0)
+            if 3 * int(size.sum()) > len(at) * len(dist):  # little to leave out: all questions in one product
+                self._count(len(at) * len(dist))
+                score = _rounded(self.vectors[at] @ unit.T)
+                q, found = np.nonzero(score >= floor[at][:, None])
+                self.top.add(at[q], ids.take(pa.array(found)), score[q, found], score[q, found])
                 continue
-            if self.counter is not None:
-                self.counter.add(hi - lo)
-            score = np.rint(unit[lo:hi] @ q[i] * 10**SCORE_DIGITS) / 10**SCORE_DIGITS
-            least = max(floor[i], np.partition(score, -self.k)[-self.k] if len(score) > self.k else -np.inf)
-            found = np.flatnonzero(score >= least)
-            out.append((i, ids.take(pa.array(found + lo)), score[found]))
-        if not out:
-            return []
-        who = asked.column("query_id").take(pa.array(np.repeat([i for i, _, _ in out], [len(s) for _, _, s in out])))
-        return [[who.cast(self.types[0]), pa.concat_arrays([x for _, x, _ in out]).cast(self.types[1]), pa.array(np.concatenate([s for _, _, s in out]))]]
+            self._count(int(size.sum()))
+            q = np.repeat(np.arange(len(at)), size)
+            found = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+            score = _rounded(_pairs(self.vectors[at], q, unit, found))
+            good = score >= floor[at][q]
+            self.top.add(at[q[good]], ids.take(pa.array(found[good])), score[good], score[good])
+
+    def _count(self, n: int) -> None:
+        if self.counter is not None:
+            self.counter.add(n)
+
+    def end(self) -> tuple:
+        return self.top.settle()[:3]
+
+
+def _pairs(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of single pairs of rows, in steps."""
+    step = max(1, PRODUCT // max(1, a.shape[1]))
+    parts = [(a[i[at:at + step]] * b[j[at:at + step]]).sum(1) for at in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 class _Codes:
-    """The `depth` best of a slice for each question by sums over the tables of its product code."""
-
-    def __init__(self, depth: int, types: list[pa.DataType], shared):
-        self.depth, self.types, self.shared = depth, types, shared
-
-    def prepare(self, table: pa.Table, cell: int) -> tuple:
-        cells, centres, books = self.shared.value
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        return table.column("chunk_id").combine_chunks(), codes, cell, centres[np.searchsorted(cells, cell)]
-
-    def answer(self, ready: tuple, asked: pa.RecordBatch) -> list:
-        ids, codes, cell, centre = ready
-        books = self.shared.value[2]
-        out = []
-        for i, q in enumerate(_matrix(asked.column("vec"))):
-            estimate = np.full(len(codes), q @ centre)
-            for j, (part, words) in enumerate(zip(_parts(len(q)), books)):
-                estimate += (words @ q[part])[codes[:, j]]
-            found = np.arange(len(estimate)) if len(estimate) <= self.depth else np.argpartition(-estimate, self.depth - 1)[:self.depth]
-            out.append((i, ids.take(pa.array(found)), estimate[found]))
-        sizes = [len(s) for _, _, s in out]
-        who = asked.column("query_id").take(pa.array(np.repeat([i for i, _, _ in out], sizes)))
-        return [[who.cast(self.types[0]), pa.concat_arrays([x for _, x, _ in out]).cast(self.types[1]), pa.array(np.concatenate([s for _, _, s in out])),
-                 pa.array(np.full(sum(sizes), cell), pa.int32())]]
+    """Cosines estimated from product codes; the `depth` best of each question are scored by their vectors.
+
+    A question whose cells hold no more than `depth` vectors has all of them for its best: there only those are scored
+    whose estimate, given the error that is stored with the code, may still reach the question's k-th score.
+    """
+
+    def __init__(self, k: int, depth: int, sizes: np.ndarray, shared, vectors: np.ndarray, floor: np.ndarray, off: np.ndarray, chosen: np.ndarray):
+        self.shared, self.vectors, self.chosen = shared, vectors, chosen
+        self.every = chosen @ sizes <= depth
+        self.best = _Top(floor, k, True)  # by their vectors
+        self.likely = _Top(floor, depth, False)  # by estimates, with the score that the vector gives
+
+    def meet(self, cell: int, rows: pa.RecordBatch) -> None:
+        at = np.flatnonzero(self.chosen[:, cell])
+        if not len(at):
+            return
+        _, centres, books = self.shared.value
+        ids, unit = rows.column("chunk_id"), _unit(_matrix(rows.column("embedding")))
+        codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+        err = rows.column("err").to_numpy()
+        near = centres[cell] + np.concatenate([words[codes[:, j]] for j, words in enumerate(books)], 1)
+        step = max(1, PRODUCT // rows.num_rows)
+        for at in np.split(at, range(step, len(at), step)):
+            estimate = self.vectors[at] @ near.T
+            every = self.every[at]
+            worth = np.where(every[:, None], estimate + err + 10.0**-SCORE_DIGITS >= self.best.floor[at][:, None], estimate >= self.likely.floor[at][:, None])
+            q, found = np.nonzero(worth)
+            score = (self.vectors[at] @ unit.T)[q, found] if 8 * len(q) > worth.size else _pairs(self.vectors[at], q, unit, found)
+            score, all_of = _rounded(score), every[q]
+            good = all_of & (score >= self.best.floor[at][q])
+            self.best.add(at[q[good]], ids.take(pa.array(found[good])), score[good], score[good])
+            good = ~all_of
+            self.likely.add(at[q[good]], ids.take(pa.array(found[good])), estimate[q, found][good], score[good])
+
+    def end(self) -> tuple:
+        q, ids, _, exact = self.likely.settle()
+        if len(q):
+            self.best.add(q, ids, exact, exact)
+        return self.best.settle()[:3]
 
 
 def _questions(queries: DataFrame) -> DataFrame:
@@ -309,8 +447,8 @@ def search(queries: DataFrame, path: str, k: int, counter=None) -> DataFrame:
         return _ranked(spark.createDataFrame([], none), k, "knn_cells")
     ids = spark.read.parquet(f"{path}/rows").schema["chunk_id"]
     schema = T.StructType([queries.schema["query_id"], ids, T.StructField("score", T.DoubleType())])
-    types = [f.type for f in to_arrow_schema(schema)]
     columns = ["chunk_id", "embedding", "dist"]
+    radius = centres[2]
 
     def nearest(off: np.ndarray, bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
         return off.argsort(1, kind="stable").argsort(1) < SEED_CELLS
@@ -318,20 +456,22 @@ def search(queries: DataFrame, path: str, k: int, counter=None) -> DataFrame:
     def reached(off: np.ndarray, bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
         return (bound >= floor[:, None]) & ~nearest(off, bound, floor)
 
-    first = materialize(_asked(asked, centres, nearest))
-    hits = materialize(_met(first, _rows(spark, path, first).select("cell", "slice", *columns), path, columns, schema, _Exact(k, types, counter)))
+    def begin(*block) -> _Exact:
+        return _Exact(k, counter, radius, *block)
+
+    hits = _met(asked, centres, path, columns, schema, BLOCK_ROWS, nearest, begin)
+    hits = materialize(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")))  # repeated questions find a hit once
     kth = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k).where(f"rank = {k}").select("query_id", F.col("score").alias("_kth"))
     raised = asked.join(broadcast_if_small(kth, 200_000), "query_id", "left").select(
         "query_id", "embedding", F.coalesce("_kth", "floor").alias("floor"))
-    more = materialize(_asked(raised, centres, reached))
-    hits = hits.unionByName(_met(more, _rows(spark, path, more).select("cell", "slice", *columns), path, columns, schema, _Exact(k, types, counter)))
+    hits = hits.unionByName(_met(raised, centres, path, columns, schema, BLOCK_ROWS, reached, begin))
     return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_cells")
 
 
 def search_codes(queries: DataFrame, path: str, k: int, probes: int | None = 8, depth: int | None = None) -> DataFrame:
     """Cosine top-k among the `probes` nearest cells of every query (all cells if None), columns as `search`.
 
-    Codes are read first; the `depth` best of them (32 k unless given) are scored by their vectors, exactly.
+    The `depth` best by their codes (32 k unless given) are scored by their vectors, exactly.
     """
     spark = queries.sparkSession
     depth = depth or 32 * k
@@ -342,19 +482,21 @@ def search_codes(queries: DataFrame, path: str, k: int, probes: int | None = 8,
     def nearest(off: np.ndarray, bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
         return off.argsort(1, kind="stable").argsort(1) < probes
 
-    pairs = materialize(_asked(asked, centres, nearest))
-    stored = _rows(spark, path, pairs)
+    stored = spark.read.parquet(f"{path}/rows")
     books = [np.array(r["words"]) for r in spark.read.parquet(f"{path}/books").orderBy("part").collect()]  # WORDS vectors
     if not books:
         raise ValueError(f"the index in {path} has no codes")
-    schema = T.StructType([queries.schema["query_id"], stored.schema["chunk_id"], *T.StructType.fromDDL("estimate double, cell int")])
-    types = [f.type for f in to_arrow_schema(schema)]
+    sizes = np.array([r["size"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()])
+    schema = T.StructType([queries.schema["query_id"], stored.schema["chunk_id"], T.StructField("score", T.DoubleType())])
     shared = spark.sparkContext.broadcast((cells, centre, books))
-    likely = _met(pairs, stored.select("cell", "slice", "chunk_id", "code"), path, ["chunk_id", "code"], schema, _Codes(depth, types, shared))
-    likely = top_k(likely, ["query_id"], [F.col("estimate").desc(), F.col("chunk_id")], depth).select("query_id", "cell", "chunk_id")
-    vectors = stored.select("cell", "chunk_id", F.col("embedding").alias("_vector"))
-    scored = likely.join(vectors, ["cell", "chunk_id"]).join(asked.select("query_id", F.col("embedding").alias("_asked")), "query_id")
-    scored = scored.select("query_id", "chunk_id", F.round(cosine(F.col("_asked"), F.col("_vector")), SCORE_DIGITS).alias("score"))
+
+    def begin(*block) -> _Codes:
+        return _Codes(k, depth, sizes, shared, *block)
+
+    most = max(1, min(BLOCK_ROWS // 2, PRODUCT // depth))  # a block keeps `depth` estimates a question
+    if sizes.sum() <= depth:
+        most = BLOCK_ROWS  # no question has more vectors than that, so none are kept
+    scored = _met(asked, centres, path, ["chunk_id", "code", "err", "embedding"], schema, most, nearest, begin)
     return _ranked(scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_codes")
 
 

@@ -114,6 +114,31 @@ def test_cells_are_exact_and_leave_out_most_of_clustered_vectors(spark, folder,
     assert share["queries"] == 303 and share["recall"] >= 0.95
 
 
+def test_hits_leave_a_task_as_k_a_question(spark, folder, monkeypatch):
+    rng = np.random.default_rng(3)  # no clusters: every question meets every cell
+    made = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((2000, 16)))]
+    chunks = spark.createDataFrame(made, "chunk_id long, embedding array<float>")
+    asked = chunks.where("chunk_id % 4 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    cells.build(chunks, f"{folder}/v", cells=40)
+    left, met = [], cells._met
+    monkeypatch.setattr(cells, "_met", lambda *a: left.append(met(*a)) or left[-1])
+    exact = hits(search.knn(asked, chunks, 5))
+    assert hits(cells.search(asked, f"{folder}/v", 5)) == exact
+    assert hits(cells.search_codes(asked, f"{folder}/v", 5, probes=None, depth=2000)) == exact
+    assert len(left) == 3 and all(df.count() <= 5 * 500 for df in left)
+    few = cells.search_codes(asked, f"{folder}/v", 5, probes=30, depth=100)
+    assert left[-1].count() == 5 * 500 and few.groupBy("query_id").count().where("count = 5").count() == 500
+
+
+def test_copies_of_a_row_take_no_place_of_other_hits(spark, folder, monkeypatch):
+    chunks, asked = clustered(spark, 300, 1, 1, "chunk_id"), clustered(spark, 40, 1, 2, "query_id")
+    null = spark.createDataFrame([(None, [1.0] * 16)], chunks.schema)
+    exact = hits(search.knn(asked, chunks.unionAll(null), 5))
+    monkeypatch.setattr(cells, "LOOSE", 50)
+    cells.build(chunks.unionAll(chunks).unionAll(null).unionAll(chunks), f"{folder}/v", cells=4)
+    assert hits(cells.search(asked.unionAll(asked), f"{folder}/v", 5)) == exact
+
+
 def test_few_vectors_none_and_mixed_widths(spark, folder):
     one = spark.createDataFrame([(1, [3.0, 4.0])], "chunk_id int, embedding array<float>")
     asked = spark.createDataFrame([("a", [4.0, 3.0]), ("b", None)], "query_id string, embedding array<float>")
