@@ -364,10 +364,11 @@ def hybrid(semantic: DataFrame, lexical: DataFrame, k: int) -> DataFrame:
     both = semantic.select(*cols, F.lit(0).alias("_side")).unionByName(
         lexical.select(*cols, F.lit(1).alias("_side"))
     ).filter(F.col("rank") <= half)
+    both = both.withColumn("_text", text_key(F.col("content")))  # a key shuffles for the windows, no text that is dropped later
     per_query = Window.partitionBy("query_id")  # at most k rows per query from here on
     both = both.withColumn("_mixed", F.min("_side").over(per_query) != F.max("_side").over(per_query))
     order = [F.col("_side"), F.col("rank")]
-    copies = Window.partitionBy("query_id", F.when(F.col("_mixed"), text_key(F.col("content"))).otherwise(
+    copies = Window.partitionBy("query_id", F.when(F.col("_mixed"), F.col("_text")).otherwise(
         F.concat_ws("_", F.col("_side"), F.col("rank"))))
     first = both.withColumn("_copy", F.row_number().over(copies.orderBy(*order))).filter("_copy = 1")
     first = first.withColumnRenamed("rank", "_rank")

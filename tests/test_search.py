@@ -157,6 +157,17 @@ def test_hybrid_sides(spark):
         (2, 5, "semantic"), (2, 6, "semantic"), (3, 7, "lexical")]  # one side only: kept as it is
 
 
+def test_hybrid_shuffles_no_text_that_is_dropped(spark):
+    cols = "query_id int, chunk_id int, content string, score double, rank int"
+    sem, lex = (spark.createDataFrame([(1, k, "a", 0.9, 1)], cols) for k in (1, 2))
+    plan, carried = search.hybrid(sem, lex, 4).drop("content")._jdf.queryExecution().optimizedPlan(), []
+    while plan.children().size():
+        if plan.nodeName() == "Window":
+            carried.append(plan.children().head().output().toString())
+        plan = plan.children().head()
+    assert carried and not any("content#" in c for c in carried)
+
+
 def test_selection_rules(spark):
     rows = [(1, i, 0.9 - i * 0.01, i + 1, i * 0.1) for i in range(40)] + [(2, i, 0.3 - i * 0.01, i + 1, 0.0) for i in range(40)]
     hits = spark.createDataFrame(rows, "query_id int, chunk_id int, score double, rank int, distance double")
