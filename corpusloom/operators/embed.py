@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EMBED_DIM = 64
+TOKENS_KEPT = 100_000  # tokens whose bucket a task remembers, at most
 
 
 def hashing_embedder(dim: int = EMBED_DIM) -> Callable:
@@ -28,7 +29,7 @@ def hashing_embedder(dim: int = EMBED_DIM) -> Callable:
         def bucket(token: str) -> int:
             found = buckets.get(token)
             if found is None:
-                if len(buckets) > 1_000_000:
+                if len(buckets) > TOKENS_KEPT:
                     buckets.clear()
                 found = buckets[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
             return found

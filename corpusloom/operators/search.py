@@ -27,6 +27,7 @@ SCORE_DIGITS = 6  # scores are compared at this precision, ties by id
 # ------------------------------------------------------------------------------
 
 CELLS = 4_000_000  # scores computed at a time inside a task
+TOKENS = 200_000  # of documents that are scored together
 TERM_ROWS = 2_000_000  # (query, term) pairs that may be broadcast (about 30 MB): questions beyond them search an index
 HIT_ROWS = 50_000  # hits (ids and scores) that may be broadcast
 BUCKET_ROWS = 1_000  # chunks that a hashed bucket holds on average
@@ -146,7 +147,7 @@ def knn(
     def score(batches):
         q_ids, q_unit = q.value
         best = _Best(q_ids, k)  # of the whole task: k rows a query leave it, however many batches it reads
-        step = max(1, CELLS // len(q_ids))
+        step = max(1, CELLS // 4 // len(q_ids))
         for batch in batches:
             if batch.num_rows:
                 unit = _unit(_matrix(batch.column("embedding"), batch.num_rows))
@@ -263,12 +264,11 @@ def bm25(
     def score(batches):
         q_ids, *index = shared.value
         best = _Best(q_ids, k)  # of the whole task
-        step = max(1, CELLS // max(1, len(q_ids)))
+        step = max(1, CELLS // 4 // max(1, len(q_ids), index[-1].shape[1]))
         for batch in batches:
             if not batch.num_rows or not q_ids:
                 continue
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
+            for part in _parts(batch, step):
                 raw = _lexical_scores(part.column("_terms"), len(q_ids), k1, b, *index)
                 best.add(part.column("chunk_id").to_numpy(zero_copy_only=False), raw)
         yield _emit(best.frame(), arrow_schema)
@@ -276,6 +276,16 @@ def bm25(
     return _ranked_lexical(tokens.mapInArrow(score, schema), k)
 
 
+def _parts(batch: pa.RecordBatch, step: int):
+    """Slices of `step` documents and TOKENS words at most; a longer document is one of its own."""
+    words = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_terms")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, min(at + step, int(np.searchsorted(words, before + TOKENS, "right"))))
+        yield batch.slice(at, end - at)
+        at, before = end, int(words[end - 1])
+
+
 def _common_terms(q_of: np.ndarray, starts: np.ndarray, n_queries: int) -> tuple[np.ndarray, np.ndarray]:
     """Terms that many queries hold: their column (-1 for the others) and the query x column membership matrix."""
     fan = np.diff(starts)

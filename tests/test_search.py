@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,20 @@ def test_hybrid_sides(spark):
         (2, 5, "semantic"), (2, 6, "semantic"), (3, 7, "lexical")]  # one side only: kept as it is
 
 
+def test_documents_are_scored_in_slices_of_bounded_words(spark, monkeypatch):
+    monkeypatch.setattr(search, "TOKENS", 40)
+    lists = [["a"] * n for n in (0, 100, 5, 30, 6, 0, 41, 3, 40)] + [None, ["b"]]
+    batch = pa.RecordBatch.from_pydict({"_terms": pa.array(lists, pa.list_(pa.string()))})
+    parts = [p.column("_terms").to_pylist() for p in search._parts(batch, 3)]
+    assert sum(parts, []) == lists and all(len(p) <= 3 for p in parts)
+    assert all(len(p) == 1 or sum(len(x or ()) for x in p) <= 40 for p in parts)
+    docs = spark.createDataFrame([(k, f"w{k % 7} w{k % 5} " * (k % 9)) for k in range(90)], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w3"), (3, "none")], "query_id int, text string")
+    small = sorted(map(tuple, search.bm25(asked, docs, 4).collect()))
+    monkeypatch.setattr(search, "TOKENS", 10**9)
+    assert small == sorted(map(tuple, search.bm25(asked, docs, 4).collect())) and len(small) == 8
+
+
 def test_hybrid_shuffles_no_text_that_is_dropped(spark):
     cols = "query_id int, chunk_id int, content string, score double, rank int"
     sem, lex = (spark.createDataFrame([(1, k, "a", 0.9, 1)], cols) for k in (1, 2))
