@@ -105,8 +105,9 @@ def extend(docs: DataFrame, path: str, buckets: int = BUCKETS, range_docs: int =
     number = max([0, *old, *begun]) + 1
     docs = docs.select("chunk_id", "text")
     ranges = max(1, -(-docs.count() // range_docs))
-    dealt = docs.select("chunk_id", F.pmod(F.xxhash64("chunk_id", "text"), F.lit(ranges)).cast("int").alias("_range"),
-                        terms(F.col("text")).alias("_terms"))
+    dealt = docs.withColumn("_range", F.pmod(F.xxhash64("chunk_id", "text"), F.lit(ranges)).cast("int"))
+    # texts are shuffled and sorted, their terms (several times as long in a row) made afterwards
+    dealt = dealt.repartition("_range").sortWithinPartitions("_range").select("chunk_id", "_range", terms(F.col("text")).alias("_terms"))
     schema = _row_schema(_id_type(docs))
     rows = dealt.groupBy("_range").applyInArrow(_invert(to_arrow_schema(schema)), schema)
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)))

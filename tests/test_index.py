@@ -80,6 +80,17 @@ def test_contexts_from_an_index(spark, folder):
     assert result(cited_contexts(asked, docs, 3, index=f"{folder}/p")) == result(cited_contexts(asked, docs, 3))
 
 
+def test_texts_not_terms_are_shuffled_and_sorted(spark, folder, texts, monkeypatch):
+    frames, group = [], type(texts).groupBy
+    monkeypatch.setattr(type(texts), "groupBy", lambda df, *by: frames.append((df, by)) or group(df, *by))
+    inverted.extend(texts, f"{folder}/x")
+    dealt = next(df for df, by in frames if by == ("_range",))
+    grouped = group(dealt, "_range").applyInArrow(lambda t: t, dealt.schema)
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "hashpartitioning(_range" in plan
+    assert "_terms" in plan and "_terms" not in plan[plan.index("Sort ["):]
+
+
 # ---- cells ---------------------------------------------------------------------
 
 
