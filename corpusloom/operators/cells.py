@@ -330,14 +330,19 @@ def _met(asked: DataFrame, centres: tuple, path: str, columns: list[str], schema
 
 
 class _Exact:
-    """The best k for each question; only vectors that the triangle inequality can't leave out are scored."""
+    """The best k for each question; only vectors that the triangle inequality can't leave out are scored.
 
-    def __init__(self, k: int, counter, radius: np.ndarray, vectors: np.ndarray, floor: np.ndarray, off: np.ndarray, chosen: np.ndarray):
-        self.counter, self.radius, self.vectors, self.off, self.chosen = counter, radius, vectors, off, chosen
-        self.top = _Top(floor, k, True)
+    With `lists` above 1, a question has that many cells, and each gives its own best k, repeated rows as they come.
+    """
+
+    def __init__(self, k: int, counter, radius: np.ndarray, lists: int, vectors: np.ndarray, floor: np.ndarray, off: np.ndarray, chosen: np.ndarray):
+        self.counter, self.radius, self.vectors, self.off, self.chosen, self.lists = counter, radius, vectors, off, chosen, lists
+        self.top = _Top(np.repeat(floor, lists), k, lists == 1)
 
     def meet(self, cell: int, rows: pa.RecordBatch) -> None:
-        off, floor = self.off[:, cell], self.top.floor
+        off = self.off[:, cell]
+        line = np.arange(len(off)) * self.lists + (self.chosen[:, :cell].sum(1) if self.lists > 1 else 0)
+        floor = self.top.floor[np.minimum(line, len(self.top.floor) - 1)]
         at = np.flatnonzero(self.chosen[:, cell] & ~(_bound(off, self.radius[cell]) < floor))
         if not len(at):
             return
@@ -352,21 +357,22 @@ class _Exact:
                 self._count(len(at) * len(dist))
                 score = _rounded(self.vectors[at] @ unit.T)
                 q, found = np.nonzero(score >= floor[at][:, None])
-                self.top.add(at[q], ids.take(pa.array(found)), score[q, found], score[q, found])
+                self.top.add(line[at[q]], ids.take(pa.array(found)), score[q, found], score[q, found])
                 continue
             self._count(int(size.sum()))
             q = np.repeat(np.arange(len(at)), size)
             found = np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
             score = _rounded(_pairs(self.vectors[at], q, unit, found))
             good = score >= floor[at][q]
-            self.top.add(at[q[good]], ids.take(pa.array(found[good])), score[good], score[good])
+            self.top.add(line[at[q[good]]], ids.take(pa.array(found[good])), score[good], score[good])
 
     def _count(self, n: int) -> None:
         if self.counter is not None:
             self.counter.add(n)
 
     def end(self) -> tuple:
-        return self.top.settle()[:3]
+        line, ids, score, _ = self.top.settle()
+        return line // self.lists, ids, score
 
 
 def _pairs(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -456,15 +462,14 @@ def search(queries: DataFrame, path: str, k: int, counter=None) -> DataFrame:
     def reached(off: np.ndarray, bound: np.ndarray, floor: np.ndarray) -> np.ndarray:
         return (bound >= floor[:, None]) & ~nearest(off, bound, floor)
 
-    def begin(*block) -> _Exact:
-        return _Exact(k, counter, radius, *block)
+    def begin(lists: int):
+        return lambda *block: _Exact(k, counter, radius, lists, *block)
 
-    hits = _met(asked, centres, path, columns, schema, BLOCK_ROWS, nearest, begin)
-    hits = materialize(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")))  # repeated questions find a hit once
+    hits = materialize(_met(asked, centres, path, columns, schema, BLOCK_ROWS, nearest, begin(min(SEED_CELLS, len(radius)))))
     kth = top_k(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k).where(f"rank = {k}").select("query_id", F.col("score").alias("_kth"))
     raised = asked.join(broadcast_if_small(kth, 200_000), "query_id", "left").select(
         "query_id", "embedding", F.coalesce("_kth", "floor").alias("floor"))
-    hits = hits.unionByName(_met(raised, centres, path, columns, schema, BLOCK_ROWS, reached, begin))
+    hits = hits.unionByName(_met(raised, centres, path, columns, schema, BLOCK_ROWS, reached, begin(1)))
     return _ranked(hits.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), k, "knn_cells")
 
 
